@@ -117,3 +117,170 @@ def _():
     return f"""select ticker, date, cast(month(date) as integer) as month, cast(day(date) as integer) as day,
   {r(f'sin(2 * pi() * {wd} / 5)', 'weekday_sin')}, {r(f'cos(2 * pi() * {wd} / 5)', 'weekday_cos')}
 from ({bars_sql('supplier')}) b"""
+
+
+# ------------------------------------------------------------------ W-08 .. W-19
+def _sup():
+    return f"({bars_sql('supplier')})"
+
+
+@q("parkinson")
+def _():
+    lr2 = f"pow({sln(sdiv('high', 'low'))}, 2)"
+    cols = ", ".join(r(f"sqrt({roll('avg', 'lr2', k)} / (4 * ln(2)))", f"parkinson_{k}") for k in IV)
+    return f"select ticker, date, {cols} from (select ticker, date, {lr2} as lr2 from {_sup()} b) x"
+
+
+@q("momentum_ratio")
+def _():
+    cols = []
+    for k in IV:
+        fr = f"over (partition by ticker order by date rows between {k - 1} preceding and current row)"
+        cols.append(r(f"case when count(*) {fr} = {k} then (sum(up) {fr} + 1.0) / (sum(dn) {fr} + 1.0) end",
+                      f"mom_ratio_{k}"))
+    return f"""select ticker, date, {', '.join(cols)} from (
+  select ticker, date, case when r1 > 0 then 1 else 0 end as up, case when r1 < 0 then 1 else 0 end as dn
+  from (select ticker, date, {sdiv('close', f'lag(close, 1) {W}')} - 1 as r1 from {_sup()} b) y) x"""
+
+
+@q("variance_ratio")
+def _():
+    lrs = ", ".join(f"{sln(sdiv('close', f'lag(close, {k}) {W}'))} as lr{k}" for k in IV)
+    cols = [r(clip(sdiv(roll('var_samp', f'lr{k}', k), f"{roll('var_samp', 'lr1', k)} * {k}"), 0, 5),
+              f"var_ratio_{k}") for k in IV if k > 1]
+    return f"select ticker, date, {', '.join(cols)} from (select ticker, date, {lrs} from {_sup()} b) x"
+
+
+@q("bollinger")
+def _():
+    fr = "over (partition by ticker order by date rows between 19 preceding and current row)"
+    up = f"case when count(close) {fr} = 20 then avg(close) {fr} + 2 * stddev_pop(close) {fr} end"
+    lo = f"case when count(close) {fr} = 20 then avg(close) {fr} - 2 * stddev_pop(close) {fr} end"
+    return f"""select ticker, date, {r(sdiv('up', 'close'), 'bbu')}, {r(sdiv('close', 'lo'), 'bbl')}
+from (select ticker, date, close, {up} as up, {lo} as lo from {_sup()} b) x"""
+
+
+@q("ibs")
+def _():
+    return f"select ticker, date, {r(clip(sdiv('close - low', 'high - low'), 0, 1), 'ibs')} from {_sup()} b"
+
+
+# Wilder smoothing by its actual recursion (recursive CTE), independent of the
+# closed form used on the Spark side.
+def _wilder_sql(select: str) -> str:
+    return f"""with recursive x as (
+  select ticker, date, close, row_number() over w - 1 as i,
+         close - lag(close) over w as d,
+         greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) as tr
+  from {_sup()} b window w as (partition by ticker order by date)),
+seed as (
+  select ticker, avg(greatest(d, 0)) as g, avg(greatest(-d, 0)) as l, avg(tr) as a
+  from x where i between 1 and 14 group by ticker having count(*) = 14),
+rec(ticker, i, g, l, a) as (
+  select ticker, 14, g, l, a from seed
+  union all
+  select rec.ticker, rec.i + 1, (13 * rec.g + greatest(x.d, 0)) / 14, (13 * rec.l + greatest(-x.d, 0)) / 14,
+         (13 * rec.a + x.tr) / 14
+  from rec join x on x.ticker = rec.ticker and x.i = rec.i + 1)
+select {select} from x left join rec on rec.ticker = x.ticker and rec.i = x.i"""
+
+
+@q("rsi")
+def _():
+    rsi = "case when g + l = 0 then 0.0 else 100 * g / (g + l) end"
+    return _wilder_sql(f"x.ticker, x.date, {r(rsi, 'RSI')}")
+
+
+@q("atr_natr")
+def _():
+    natr = "case when x.close = 0 then (case when a is not null then 0.0 end) else 100 * a / x.close end"
+    return _wilder_sql(f"x.ticker, x.date, {r('a', 'ATR')}, {r(natr, 'NATR')}")
+
+
+@q("vam")
+def _():
+    inner = _wilder_sql("x.ticker, x.date, x.close, a")
+    cols = []
+    for k in IV:
+        rk = f"{sdiv('close', f'lag(close, {k}) {W}')} - 1"
+        cols.append(r(clip(sdiv(rk, 'a'), -10, 10), f"vam_{k}"))
+    return f"select ticker, date, {', '.join(cols)} from ({inner}) v"
+
+
+def _frac_weights(d=0.4, width=100):
+    w = [1.0]
+    for j in range(1, width):
+        w.append(-w[-1] * (d - j + 1) / j)
+    return w
+
+
+def _frac_sql():
+    ws = _frac_weights()
+    terms = [f"{ws[0]!r} * close"] + [f"{ws[j]!r} * lag(close, {j}) {W}" for j in range(1, len(ws))]
+    return " + ".join(terms)
+
+
+@q("fracdiff")
+def _():
+    return f"select ticker, date, {r(_frac_sql(), 'frac_diff')} from {_sup()} b"
+
+
+@q("frac_ret")
+def _():
+    cols = ", ".join(r(f"{sdiv('fd', f'lag(fd, {t}) {W}')} - 1", f"frac_ret_{t}") for t in IV)
+    return f"select ticker, date, {cols} from (select ticker, date, {_frac_sql()} as fd from {_sup()} b) x"
+
+
+# ------------------------------------------------------------------ L-01 .. L-06
+@q("fwd_returns")
+def _():
+    cols = []
+    for t in IV:
+        ratio = sdiv(f"lead(close, {t}) {W}", "close")
+        cols += [r(f"{ratio} - 1", f"fwd_ret_{t:02}"), r(sln(ratio), f"fwd_log_ret_{t:02}")]
+    return f"select ticker, date, {', '.join(cols)} from {_sup()} b"
+
+
+@q("fwd_vola")
+def _():
+    cur_fr = "over (partition by ticker order by date rows between 19 preceding and current row)"
+    cur = f"case when count(r1) {cur_fr} = 20 then stddev_samp(r1) {cur_fr} end"
+    cols = []
+    for t in IV:
+        if t == 1:
+            continue
+        fr = f"over (partition by ticker order by date rows between 1 following and {t} following)"
+        fut = f"case when count(r1) {fr} = {t} then stddev_samp(r1) {fr} end"
+        cols.append(r(sdiv(fut, cur), f"fwd_vola_{t:02}"))
+    return f"""select ticker, date, {', '.join(cols)}
+from (select ticker, date, {sdiv('close', f'lag(close, 1) {W}')} - 1 as r1 from {_sup()} b) x"""
+
+
+@q("dl_label")
+def _():
+    cols = ", ".join(r(f"tanh(100 * coalesce({sln(sdiv(f'lead(close, {t}) {W}', 'close'))}, 0))", f"dl_label_{t:02}")
+                     for t in IV)
+    return f"select ticker, date, {cols} from {_sup()} b"
+
+
+@q("vertical_barrier")
+def _():
+    # as-of forward join: first trading date >= date + t days of the same ticker, else the last date
+    joins, cols = [], []
+    for t in IV:
+        joins.append(f"asof left join (select ticker as tk{t}, date as d{t}, close as c{t} from b) j{t} "
+                     f"on j{t}.tk{t} = x.ticker and j{t}.d{t} >= x.date + {t}")
+        c1 = f"coalesce(c{t}, last_close)"
+        ret = sln(sdiv(c1, "x.close"))
+        cols += [f"coalesce(d{t}, last_date) as t1_{t:02}",
+                 r(f"case when trgt > 0.005 then sign({ret}) end", f"tbm_label_{t:02}"),
+                 r(f"case when trgt > 0.005 then {ret} end", f"tbm_ret_{t:02}")]
+    return f"""with b as {_sup()},
+v as (select ticker, date, close, r1,
+        case when count(r1) over f50 = 50 then stddev_samp(r1) over f50 end as vol
+      from (select ticker, date, close, {sdiv('close', f'lag(close, 1) {W}')} - 1 as r1 from b) y
+      window f50 as (partition by ticker order by date rows between 49 preceding and current row)),
+x as (select ticker, date, close, lag(vol) over (partition by ticker order by date) as trgt,
+        max(date) over (partition by ticker) as last_date,
+        arg_max(close, date) over (partition by ticker) as last_close from v)
+select x.ticker, x.date, {', '.join(cols)} from x {' '.join(joins)}"""

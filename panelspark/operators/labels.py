@@ -76,10 +76,12 @@ def vertical_barrier(df: DataFrame, days: int, out_date: str = "t1", out_close:
     return df.select("*", t1.alias(out_date), c1.alias(out_close))
 
 
-def barrier_labels(df: DataFrame, intervals=INTERVALS, vol_n: int = 50, min_ret: float = 0.005) -> DataFrame:
+def barrier_labels(df: DataFrame, intervals=INTERVALS, vol_n: int = 50, min_ret: float = 0.005,
+                   keep_exit: bool = False) -> DataFrame:
     """Time-barrier labels (L-04, L-05): events are rows whose daily-return sd
     over ``vol_n`` rows, lagged one row, exceeds ``min_ret``. For events:
-    ``tbm_ret_tt`` = ln(close(t1)/close), ``tbm_label_tt`` = its sign; other rows NULL."""
+    ``tbm_ret_tt`` = ln(close(t1)/close), ``tbm_label_tt`` = its sign; other rows NULL.
+    ``keep_exit`` also returns the barrier date ``t1_tt`` of every row."""
     w = _w()
     x = df.withColumn("_r1", _ret1(w))
     vol = F.when(F.count("_r1").over(trailing(w, vol_n)) == vol_n, F.stddev_samp("_r1").over(trailing(w, vol_n)))
@@ -91,6 +93,8 @@ def barrier_labels(df: DataFrame, intervals=INTERVALS, vol_n: int = 50, min_ret:
     for t in intervals:
         r = safe_ln(safe_div(F.col(f"_c1_{t}"), F.col("close")))
         cols += [F.when(event, F.signum(r)).alias(f"tbm_label_{t:02}"), F.when(event, r).alias(f"tbm_ret_{t:02}")]
+        if keep_exit:
+            cols.append(F.col(f"_t1_{t}").alias(f"t1_{t:02}"))
     tmp = ["_r1", "_vol", "_trgt"] + [f"_t1_{t}" for t in intervals] + [f"_c1_{t}" for t in intervals]
     return x.select("*", *cols).drop(*tmp)
 

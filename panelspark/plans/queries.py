@@ -59,3 +59,89 @@ def q_rank_pct(spark, sf_dir):
 def q_calendar(spark, sf_dir):
     x = feat.calendar_features(_bars(spark, sf_dir))
     return round_doubles(x.select(*KEY, "month", "day", "weekday_sin", "weekday_cos"))
+
+
+def _sel(df, cols):
+    return round_doubles(df.select(*KEY, *cols))
+
+
+IV = feat.INTERVALS
+
+
+# ------------------------------------------------------------------ W-08 .. W-19
+@query("parkinson")
+def q_parkinson(spark, sf_dir):
+    return _sel(feat.parkinson(_bars(spark, sf_dir)), [f"parkinson_{k}" for k in IV])
+
+
+@query("momentum_ratio")
+def q_momentum_ratio(spark, sf_dir):
+    return _sel(feat.momentum_ratio(_bars(spark, sf_dir)), [f"mom_ratio_{k}" for k in IV])
+
+
+@query("variance_ratio")
+def q_variance_ratio(spark, sf_dir):
+    return _sel(feat.variance_ratio(_bars(spark, sf_dir)), [f"var_ratio_{k}" for k in IV if k > 1])
+
+
+@query("bollinger")
+def q_bollinger(spark, sf_dir):
+    return _sel(feat.technical_indicators(_bars(spark, sf_dir)), ["bbu", "bbl"])
+
+
+@query("ibs")
+def q_ibs(spark, sf_dir):
+    return _sel(feat.ibs(_bars(spark, sf_dir)), ["ibs"])
+
+
+@query("rsi")
+def q_rsi(spark, sf_dir):
+    return _sel(feat.technical_indicators(_bars(spark, sf_dir)), ["RSI"])
+
+
+@query("atr_natr")
+def q_atr_natr(spark, sf_dir):
+    x = feat.technical_indicators(_bars(spark, sf_dir), keep_atr=True).withColumnRenamed("_atr", "ATR")
+    return _sel(x, ["ATR", "NATR"])
+
+
+@query("vam")
+def q_vam(spark, sf_dir):
+    x = feat.vam(feat.technical_indicators(_bars(spark, sf_dir), keep_atr=True), IV)
+    return _sel(x, [f"vam_{k}" for k in IV])
+
+
+@query("fracdiff")
+def q_fracdiff(spark, sf_dir):
+    return _sel(feat.frac_diff(_bars(spark, sf_dir)), ["frac_diff"])
+
+
+@query("frac_ret")
+def q_frac_ret(spark, sf_dir):
+    return _sel(feat.frac_returns(_bars(spark, sf_dir), IV), [f"frac_ret_{t}" for t in IV])
+
+
+# ------------------------------------------------------------------ L-01 .. L-06
+from panelspark.operators import labels as lab  # noqa: E402
+
+
+@query("fwd_returns")
+def q_fwd_returns(spark, sf_dir):
+    return _sel(lab.forward_returns(_bars(spark, sf_dir)),
+                [f"{p}_{t:02}" for t in IV for p in ("fwd_ret", "fwd_log_ret")])
+
+
+@query("fwd_vola")
+def q_fwd_vola(spark, sf_dir):
+    return _sel(lab.forward_volatility(_bars(spark, sf_dir)), [f"fwd_vola_{t:02}" for t in IV if t > 1])
+
+
+@query("dl_label")
+def q_dl_label(spark, sf_dir):
+    return _sel(lab.dl_labels(lab.forward_returns(_bars(spark, sf_dir))), [f"dl_label_{t:02}" for t in IV])
+
+
+@query("vertical_barrier")
+def q_vertical_barrier(spark, sf_dir):
+    x = lab.barrier_labels(_bars(spark, sf_dir), keep_exit=True)
+    return _sel(x, [c for t in IV for c in (f"t1_{t:02}", f"tbm_label_{t:02}", f"tbm_ret_{t:02}")])
