@@ -284,3 +284,222 @@ x as (select ticker, date, close, lag(vol) over (partition by ticker order by da
         max(date) over (partition by ticker) as last_date,
         arg_max(close, date) over (partition by ticker) as last_close from v)
 select x.ticker, x.date, {', '.join(cols)} from x {' '.join(joins)}"""
+
+
+# ------------------------------------------------------------------ cleaning
+def _ghost(src: str, minp: int = 5, thr: float = 0.8) -> str:
+    return f"""select date, n_rows, rm as rolling_median, coalesce(n_rows >= rm * {thr}, false) as is_valid
+from (select date, n_rows,
+        case when count(n_rows) over w >= {minp} then quantile_cont(n_rows, 0.5) over w end as rm
+      from (select date, count(*) as n_rows from {src} group by date) d
+      window w as (order by date rows between 10 preceding and 10 following)) z"""
+
+
+def _chain(panel: str, tail: int = 3) -> str:
+    """CTEs b (bars), v (valid days), bv (bars on valid days), days, grid (full
+    product restricted to each ticker's span + tail), dense, filled, clean."""
+    return f"""b as (select * from ({bars_sql(panel)}) x where date >= date '1995-01-01'),
+v as (select date from ({_ghost('b')}) g where is_valid),
+bv as (select * from b where date in (select date from v)),
+days as (select date, row_number() over (order by date) - 1 as i from v),
+tk as (select ticker, min(i) as a, max(i) as z from bv join days using (date) group by ticker),
+grid as (select tk.ticker, days.date from tk cross join days where days.i between tk.a and tk.z + {tail}),
+dense as (select grid.ticker, grid.date, bv.open, bv.high, bv.low, bv.close, bv.vol
+          from grid left join bv on bv.ticker = grid.ticker and bv.date = grid.date),
+filled as (select ticker, date, last_value(open ignore nulls) over w as open, last_value(high ignore nulls) over w as high,
+             last_value(low ignore nulls) over w as low, last_value(close ignore nulls) over w as close,
+             last_value(vol ignore nulls) over w as vol
+           from dense window w as (partition by ticker order by date rows between 3 preceding and current row)),
+clean as (select * from filled where open is not null and high is not null and low is not null and close is not null
+            and not coalesce(high < low or close < 0 or vol < 0, false))"""
+
+
+def _gapstats(src: str) -> str:
+    # on a dense grid: NULL closes strictly inside each ticker's first..last priced date
+    return f"""select ticker, start, "end", cast(inner_gaps as bigint) as inner_gaps,
+  cast(date_diff('day', start, "end") as integer) as total_days,
+  coalesce(inner_gaps * 100.0 / nullif(date_diff('day', start, "end"), 0), 0.0) as gap_pct
+from (select s.ticker, s.start, s."end",
+        (select count(*) from {src} g where g.ticker = s.ticker and g.close is null
+           and g.date between s.start and s."end") as inner_gaps
+      from (select ticker, min(date) filter (where close is not null) as start,
+                   max(date) filter (where close is not null) as "end"
+            from {src} group by ticker) s where s.start is not null) q"""
+
+
+def _liq(src: str) -> str:
+    w = "over (partition by ticker order by date rows between 41 preceding and current row)"
+
+    def med(x):
+        return f"case when count({x}) {w} >= 42 then quantile_cont({x}, 0.5) {w} end"
+    return f"""select ticker, min(mp) as med_price, min(mv) as med_vol, min(md) as med_dvol
+from (select ticker, {med('close')} as mp, {med('vol')} as mv, {med('close * vol')} as md from {src}) m
+group by ticker"""
+
+
+def _flags(stats: str, p=1200.0, v=66.0, d=95000.0) -> str:
+    return f"""select ticker, coalesce(med_price >= {p}, false) as is_price_ok, coalesce(med_vol >= {v}, false) as is_vol_ok,
+  coalesce(med_dvol >= {d}, false) as is_dvol_ok,
+  coalesce(med_price >= {p}, false) and coalesce(med_vol >= {v}, false) and coalesce(med_dvol >= {d}, false) as is_valid
+from {stats}"""
+
+
+OHLCV_R = f"{r('open', 'open')}, {r('high', 'high')}, {r('low', 'low')}, {r('close', 'close')}, {r('vol', 'vol')}"
+
+
+def _bars_n():
+    return f"({bars_sql('nation')})"
+
+
+@q("ghost_days")
+def _():
+    return f"select date, n_rows, {r('rolling_median', 'rolling_median')}, is_valid from ({_ghost(_bars_n())}) g"
+
+
+@q("daily_counts")
+def _():
+    return f"""select date, n_tickers, {r('rm', 'rolling_median_21d')} from (
+  select date, n_tickers, case when count(n_tickers) over w >= 10 then quantile_cont(n_tickers, 0.5) over w end as rm
+  from (select date, count(distinct ticker) as n_tickers from {_bars_n()} b group by date) d
+  window w as (order by date rows between 10 preceding and 10 following)) z"""
+
+
+@q("series_summary")
+def _():
+    return f"""select {r('median(n_tickers)', 'median_tickers')}, min(n_tickers) as min_tickers,
+  max(n_tickers) as max_tickers, {r('avg(rm)', 'mean_rolling_median')} from (
+  select date, n_tickers, case when count(n_tickers) over w >= 10 then quantile_cont(n_tickers, 0.5) over w end as rm
+  from (select date, count(distinct ticker) as n_tickers from {_bars_n()} b group by date) d
+  window w as (order by date rows between 10 preceding and 10 following)) z"""
+
+
+@q("missing_report")
+def _():
+    n = "(select count(*) from dense)"
+    parts = [f"select '{c}' as \"column\", count(*) filter (where {c} is null) as missing from dense"
+             for c in ("ticker", "date", "open", "high", "low", "close", "vol")]
+    return f"""with {_chain('nation', tail=0)}
+select "column", cast(missing as bigint) as missing,
+  {r(f'cast(round_even(cast(missing * 100.0 / {n} * 100.0 as double), 0) as double) / 100.0', 'missing_pct')}
+from ({' union all '.join(parts)}) m"""
+
+
+@q("lifecycle")
+def _():
+    sp = f"(select ticker, min(date) as f, max(date) as l from ({bars_sql('supplier')}) b group by ticker)"
+    return f"""select 'start_year' as kind, cast(year(f) as integer) as bucket, count(*) as n_tickers from {sp} s group by 2
+union all select 'end_year', cast(year(l) as integer), count(*) from {sp} s group by 2
+union all select 'end_month_latest_year', cast(month(l) as integer), count(*) from {sp} s
+  where year(l) = (select max(year(l)) from {sp} s2) group by 2"""
+
+
+@q("period_start")
+def _():
+    return f"""select cast(y as integer) as start_year, n as n_tickers, make_date(cast(y as integer) + 1, 1, 1) as period_start
+from (select year(f) as y, count(*) as n from (select ticker, min(date) as f from ({bars_sql('supplier')}) b
+      group by ticker) s group by 1 order by n desc, y asc limit 1) t"""
+
+
+@q("ticker_span")
+def _():
+    return f"select ticker, min(date) as first_date, max(date) as last_date from ({bars_sql('supplier')}) b group by ticker"
+
+
+@q("dense_grid")
+def _():
+    return f"with {_chain('nation')} select ticker, date, {OHLCV_R} from dense"
+
+
+@q("gap_stats")
+def _():
+    return f"with {_chain('nation', tail=0)} select ticker, start, \"end\", inner_gaps, total_days, " \
+           f"{r('gap_pct', 'gap_pct')} from ({_gapstats('dense')}) s"
+
+
+@q("gap_summary")
+def _():
+    return f"""with {_chain('nation', tail=0)}
+select count(*) as n_tickers, cast(count_if(inner_gaps > 0) as bigint) as tickers_with_gaps,
+  {r('avg(gap_pct)', 'mean_gap_pct')}, cast(count_if(gap_pct > 35.0) as bigint) as n_deleted
+from ({_gapstats('dense')}) s"""
+
+
+@q("top_gaps")
+def _():
+    return f"""with {_chain('supplier', tail=0)}
+select ticker, {r('gap_pct', 'gap_pct')}, inner_gaps, total_days from ({_gapstats('dense')}) s
+order by gap_pct desc, ticker asc limit 10"""
+
+
+@q("ffill_limit")
+def _():
+    return f"with {_chain('nation')} select ticker, date, {OHLCV_R} from filled"
+
+
+@q("ohlc_filter")
+def _():
+    return f"with {_chain('nation')} select ticker, date, {OHLCV_R} from clean"
+
+
+@q("gap_filter")
+def _():
+    return f"""with {_chain('flags')}, gs as ({_gapstats('dense')})
+select ticker, date, {OHLCV_R} from dense where ticker not in (select ticker from gs where gap_pct > 1.8)"""
+
+
+@q("liquidity_stats")
+def _():
+    return f"""with {_chain('flags')}
+select ticker, {r('med_price', 'med_price')}, {r('med_vol', 'med_vol')}, {r('med_dvol', 'med_dvol')}
+from ({_liq('clean')}) s"""
+
+
+@q("liquidity_funnel")
+def _():
+    return f"""with {_chain('flags')}, f as ({_flags(f'({_liq("clean")})')})
+select count(*) as n_tickers, cast(count_if(is_price_ok) as bigint) as pass_price,
+  cast(count_if(is_vol_ok) as bigint) as pass_vol, cast(count_if(is_dvol_ok) as bigint) as pass_dvol,
+  cast(count_if(is_valid) as bigint) as pass_all, {r('count_if(is_valid) * 100.0 / count(*)', 'pass_all_pct')}
+from f"""
+
+
+@q("daily_flags")
+def _():
+    cols = []
+    for flag, t, f in [("is_valid", "valid", "invalid"), ("is_price_ok", "price_ok", "price_invalid"),
+                       ("is_vol_ok", "vol_ok", "vol_invalid"), ("is_dvol_ok", "dvol_ok", "dvol_invalid")]:
+        cols += [f"cast(count_if({flag}) as bigint) as {t}", f"cast(count_if(not {flag}) as bigint) as {f}"]
+    return f"""with {_chain('flags')}, f as ({_flags(f'({_liq("clean")})')})
+select clean.date, {', '.join(cols)} from clean join f using (ticker) group by clean.date"""
+
+
+@q("clean_panel")
+def _():
+    return f"""with {_chain('flags')}, gs as ({_gapstats('dense')}),
+c2 as (select * from clean where ticker not in (select ticker from gs where gap_pct > 1.8)),
+f as ({_flags(f'({_liq("c2")})')})
+select ticker, date, {OHLCV_R} from c2 where ticker in (select ticker from f where is_valid)
+  and date between date '1995-01-01' and date '2025-12-31'"""
+
+
+@q("pipeline_summary")
+def _():
+    return f"""with {_chain('flags')}, fin as (select * from clean where date between date '1996-01-01' and date '2025-12-31'),
+o as (select count(distinct ticker) as ot, count(*) as orow, min(date) as os, max(date) as oe from b),
+f as (select count(distinct ticker) as ft, count(*) as frow, min(date) as fs, max(date) as fe from fin),
+d as (select median(n) as md, min(n) as mn, max(n) as mx from (select date, count(distinct ticker) as n from fin group by date) x)
+select ot as orig_tickers, ft as final_tickers, {r('ft * 100.0 / ot', 'ticker_pct')}, orow as orig_rows, frow as final_rows,
+  {r('frow * 100.0 / orow', 'row_pct')}, os as orig_start, oe as orig_end, fs as final_start, fe as final_end,
+  {r('md', 'median_tickers_per_day')}, mn as min_tickers_per_day, mx as max_tickers_per_day
+from o, f, d"""
+
+
+@q("panel_metadata")
+def _():
+    return f"""with {_chain('flags')}, gs as ({_gapstats('dense')}),
+c2 as (select * from clean where ticker not in (select ticker from gs where gap_pct > 1.8)),
+f as ({_flags(f'({_liq("c2")})')}),
+fin as (select * from c2 where ticker in (select ticker from f where is_valid)
+          and date between date '1995-01-01' and date '2025-12-31')
+select date '1995-01-01' as period_start, date '2025-12-31' as period_end, count(distinct ticker) as final_tickers,
+  count(*) as final_rows from fin"""

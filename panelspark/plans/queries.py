@@ -145,3 +145,143 @@ def q_dl_label(spark, sf_dir):
 def q_vertical_barrier(spark, sf_dir):
     x = lab.barrier_labels(_bars(spark, sf_dir), keep_exit=True)
     return _sel(x, [c for t in IV for c in (f"t1_{t:02}", f"tbm_label_{t:02}", f"tbm_ret_{t:02}")])
+
+
+# ------------------------------------------------------------------ cleaning (P-02 pieces)
+from panelspark.operators import quality as Q  # noqa: E402
+from panelspark.plans.jobs import clean_panel  # noqa: E402
+
+# Parameters that exercise every filter on the driver tables (measured on
+# bars_flags at sf0.01); the reference's own defaults remain the defaults of
+# the operators and of ``clean_panel``.
+CLEAN_PARAMS = dict(start="1995-01-01", period_start="1995-01-01", period_end="2025-12-31",
+                    gap_threshold=1.8, min_price=1200.0, min_vol=66.0, min_dvol=95000.0)
+
+
+def _nation_valid(spark, sf_dir):
+    b = _bars(spark, sf_dir, "nation")
+    days = Q.valid_days(b)
+    return Q.drop_ghost_days(b, days), days
+
+
+@query("ghost_days")
+def q_ghost_days(spark, sf_dir):
+    return round_doubles(Q.ghost_days(_bars(spark, sf_dir, "nation")))
+
+
+@query("daily_counts")
+def q_daily_counts(spark, sf_dir):
+    return round_doubles(Q.data_quality_series(_bars(spark, sf_dir, "nation")))
+
+
+@query("series_summary")
+def q_series_summary(spark, sf_dir):
+    return round_doubles(Q.series_summary(_bars(spark, sf_dir, "nation")))
+
+
+@query("missing_report")
+def q_missing_report(spark, sf_dir):
+    b, days = _nation_valid(spark, sf_dir)
+    return round_doubles(Q.missing_report(Q.densify(b, days, fill_tail=0)))
+
+
+@query("lifecycle")
+def q_lifecycle(spark, sf_dir):
+    return Q.lifecycle_histogram(_bars(spark, sf_dir, "supplier"))
+
+
+@query("period_start")
+def q_period_start(spark, sf_dir):
+    return Q.infer_period_start(_bars(spark, sf_dir, "supplier"))
+
+
+@query("ticker_span")
+def q_ticker_span(spark, sf_dir):
+    return Q.ticker_span(_bars(spark, sf_dir, "supplier"))
+
+
+@query("dense_grid")
+def q_dense_grid(spark, sf_dir):
+    b, days = _nation_valid(spark, sf_dir)
+    return round_doubles(Q.densify(b, days, fill_tail=3))
+
+
+@query("gap_stats")
+def q_gap_stats(spark, sf_dir):
+    b, days = _nation_valid(spark, sf_dir)
+    return round_doubles(Q.gap_stats(b, days))
+
+
+@query("gap_summary")
+def q_gap_summary(spark, sf_dir):
+    b, days = _nation_valid(spark, sf_dir)
+    return round_doubles(Q.gap_summary(Q.gap_stats(b, days), 35.0))
+
+
+@query("top_gaps")
+def q_top_gaps(spark, sf_dir):
+    b = _bars(spark, sf_dir, "supplier")
+    days = Q.valid_days(b)
+    return round_doubles(Q.top_k(Q.gap_stats(Q.drop_ghost_days(b, days), days), 10, "gap_pct")
+                         .select("ticker", "gap_pct", "inner_gaps", "total_days"))
+
+
+@query("ffill_limit")
+def q_ffill_limit(spark, sf_dir):
+    b, days = _nation_valid(spark, sf_dir)
+    return round_doubles(Q.ffill_limit(Q.densify(b, days, fill_tail=3), 3))
+
+
+@query("ohlc_filter")
+def q_ohlc_filter(spark, sf_dir):
+    b, days = _nation_valid(spark, sf_dir)
+    x = Q.ffill_limit(Q.densify(b, days, fill_tail=3), 3)
+    return round_doubles(Q.drop_invalid_ohlc(Q.drop_incomplete_ohlc(x)))
+
+
+@query("gap_filter")
+def q_gap_filter(spark, sf_dir):
+    b = _bars(spark, sf_dir, "flags")
+    days = Q.valid_days(b)
+    b = Q.drop_ghost_days(b, days)
+    dense = Q.densify(b, days, fill_tail=3)
+    return round_doubles(Q.drop_gappy_tickers(dense, Q.gap_stats(dense, days), 1.8))
+
+
+def _flags_clean(spark, sf_dir):
+    return clean_panel(_bars(spark, sf_dir, "flags"), **{**CLEAN_PARAMS, "gap_threshold": None})
+
+
+@query("liquidity_stats")
+def q_liquidity_stats(spark, sf_dir):
+    return round_doubles(_flags_clean(spark, sf_dir).ticker_stats)
+
+
+@query("liquidity_funnel")
+def q_liquidity_funnel(spark, sf_dir):
+    return round_doubles(Q.liquidity_funnel(_flags_clean(spark, sf_dir).flags))
+
+
+@query("daily_flags")
+def q_daily_flags(spark, sf_dir):
+    r = _flags_clean(spark, sf_dir)
+    return Q.daily_flag_counts(Q.with_flags(r.pre_liquidity, r.flags))
+
+
+@query("clean_panel")
+def q_clean_panel(spark, sf_dir):
+    return round_doubles(clean_panel(_bars(spark, sf_dir, "flags"), **CLEAN_PARAMS).panel)
+
+
+@query("pipeline_summary")
+def q_pipeline_summary(spark, sf_dir):
+    raw = _bars(spark, sf_dir, "flags")
+    r = clean_panel(raw, **{**CLEAN_PARAMS, "gap_threshold": None, "liquidity": False,
+                            "period_start": "1996-01-01"})
+    return round_doubles(Q.pipeline_summary(raw, r.panel))
+
+
+@query("panel_metadata")
+def q_panel_metadata(spark, sf_dir):
+    r = clean_panel(_bars(spark, sf_dir, "flags"), **CLEAN_PARAMS)
+    return Q.panel_metadata(r.panel, r.period_start, r.period_end)
