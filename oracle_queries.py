@@ -503,3 +503,97 @@ fin as (select * from c2 where ticker in (select ticker from f where is_valid)
           and date between date '1995-01-01' and date '2025-12-31')
 select date '1995-01-01' as period_start, date '2025-12-31' as period_end, count(distinct ticker) as final_tickers,
   count(*) as final_rows from fin"""
+
+
+# ------------------------------------------------------------------ validation
+def _folds_ctes(src: str = "b", n_splits: int = 5) -> str:
+    return f"""di as (select date, row_number() over (order by date) - 1 as i from (select distinct date from {src}) d),
+nd as (select count(*) as n from di),
+f0 as (select cast(range as integer) as fold, 1764 + 126 * range as s from range(0, {n_splits})),
+fi as (select fold, greatest(0, s - 15 - 1764) as a, s - 16 as e, s, least(s + 126, (select n from nd)) - 1 as z
+       from f0 where s + 126 < (select n from nd)),
+fd as (select fold, d1.date as train_start, d2.date as train_end, d3.date as test_start, d4.date as test_end
+       from fi join di d1 on d1.i = fi.a join di d2 on d2.i = fi.e join di d3 on d3.i = fi.s join di d4 on d4.i = fi.z),
+sz as (select fold, sum(case when {src}.date < train_end then 1 else 0 end) as n_train,
+              sum(case when {src}.date >= test_start then 1 else 0 end) as n_test
+       from fd join {src} on {src}.date >= train_start and {src}.date <= test_end group by fold),
+folds as (select fd.*, cast(n_train as bigint) as n_train, cast(n_test as bigint) as n_test from fd join sz using (fold)
+          where fold < coalesce((select min(fold) from sz where n_train <= 500 or n_test <= 50), 1000000))"""
+
+
+def _small_feat_ctes() -> str:
+    return f"""b as {_sup()},
+x as (select ticker, date, {sdiv('close', f'lag(close, 1) {W}')} - 1 as ret_1,
+        {sdiv('close', f'lag(close, 5) {W}')} - 1 as ret_5, {sln(sdiv('close', f'lag(close, 10) {W}'))} as log_ret_10,
+        {sln(sdiv(f'lead(close, 10) {W}', 'close'))} as fwd_log_ret_10,
+        pow({sln(sdiv('high', 'low'))}, 2) as lr2 from b),
+xx as (select ticker, date, ret_1, ret_5, log_ret_10, fwd_log_ret_10,
+         sqrt({roll('avg', 'lr2', 5)} / (4 * ln(2))) as parkinson_5 from x),
+{_folds_ctes('b')},
+tr as (select xx.* from xx, folds where folds.fold = 0 and xx.date >= folds.train_start and xx.date < folds.train_end),
+te as (select xx.* from xx, folds where folds.fold = 0 and xx.date between folds.test_start and folds.test_end)"""
+
+
+SC = ["ret_1", "ret_5", "log_ret_10", "parkinson_5"]
+
+
+@q("folds")
+def _():
+    return f"with b as {_sup()}, {_folds_ctes('b')} select * from folds"
+
+
+@q("fold_assignment")
+def _():
+    return f"""with b as {_sup()}, {_folds_ctes('b')}
+select b.ticker, b.date, folds.fold, case when b.date < folds.train_end then 'train' else 'test' end as split
+from b join folds on (b.date >= folds.train_start and b.date < folds.train_end)
+                  or (b.date between folds.test_start and folds.test_end)"""
+
+
+@q("split_audit")
+def _():
+    return f"""with b as {_sup()}, {_folds_ctes('b')},
+a as (select b.ticker, b.date, folds.fold, case when b.date < folds.train_end then 'train' else 'test' end as split
+      from b join folds on (b.date >= folds.train_start and b.date < folds.train_end)
+                        or (b.date between folds.test_start and folds.test_end))
+select fold, split, count(*) as n_rows, count(distinct ticker) as n_tickers, min(date) as first_date,
+  max(date) as last_date, count(distinct date) as n_dates from a group by fold, split"""
+
+
+@q("tuning_split")
+def _():
+    return f"""with {_small_feat_ctes()},
+s as (select ticker, date from tr order by date desc, ticker desc limit 3000),
+p as (select ticker, date, row_number() over (order by date, ticker) - 1 as pos from s)
+select ticker, date, pos, cast(case when pos >= 750 then floor((pos - 750) / 750) else -1 end as integer) as block from p"""
+
+
+@q("winsor_bounds")
+def _():
+    parts = [f"select '{c}' as \"column\", {r(f'quantile_cont({c}, 0.025)', 'lower')}, "
+             f"{r(f'quantile_cont({c}, 0.975)', 'upper')} from tr" for c in SC]
+    return f"with {_small_feat_ctes()} {' union all '.join(parts)}"
+
+
+@q("winsorize")
+def _():
+    bnd = ", ".join(f"quantile_cont({c}, 0.025) as lo_{c}, quantile_cont({c}, 0.975) as hi_{c}" for c in SC)
+    cols = ", ".join(r(clip(c, f'qb.lo_{c}', f'qb.hi_{c}'), c) for c in SC)
+    return f"with {_small_feat_ctes()}, qb as (select {bnd} from tr) select ticker, date, {cols} from tr, qb"
+
+
+@q("standard_scale")
+def _():
+    st = ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in SC)
+    cols = ", ".join(r(f"({c} - m_{c}) / coalesce(nullif(s_{c}, 0), 1.0)", c) for c in SC)
+    return f"with {_small_feat_ctes()}, st as (select {st} from tr) select ticker, date, {cols} from te, st"
+
+
+@q("condition_target")
+def _():
+    return f"""with {_small_feat_ctes()},
+y0 as (select ticker, date, coalesce(fwd_log_ret_10, 0.0) as y from tr),
+qb as (select quantile_cont(y, 0.05) as lo, quantile_cont(y, 0.95) as hi from y0),
+y1 as (select ticker, date, {clip('y', 'qb.lo', 'qb.hi')} as y from y0, qb),
+st as (select avg(y) as m, stddev_pop(y) as s from y1)
+select ticker, date, {r('(y - m) / coalesce(nullif(s, 0), 1.0)', 'y_scaled')} from y1, st"""

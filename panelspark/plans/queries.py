@@ -285,3 +285,74 @@ def q_pipeline_summary(spark, sf_dir):
 def q_panel_metadata(spark, sf_dir):
     r = clean_panel(_bars(spark, sf_dir, "flags"), **CLEAN_PARAMS)
     return Q.panel_metadata(r.panel, r.period_start, r.period_end)
+
+
+# ------------------------------------------------------------------ validation (V-*, M-01, M-03, M-04, A-15)
+from panelspark.operators import validation as V  # noqa: E402
+from panelspark.operators.labels import forward_returns  # noqa: E402
+
+SCALE_COLS = ["ret_1", "ret_5", "log_ret_10", "parkinson_5"]
+
+
+def _small_features(spark, sf_dir):
+    x = feat.parkinson(feat.returns(_bars(spark, sf_dir), (1, 5, 10)), (5,))
+    x = forward_returns(x, (10,))
+    return x.select(*KEY, *SCALE_COLS, "fwd_log_ret_10")
+
+
+def _fold0(spark, sf_dir):
+    x = _small_features(spark, sf_dir)
+    f0 = V.purged_walk_forward(x).filter("fold = 0").first()
+    return x, f0
+
+
+@query("folds")
+def q_folds(spark, sf_dir):
+    return V.purged_walk_forward(_bars(spark, sf_dir))
+
+
+@query("fold_assignment")
+def q_fold_assignment(spark, sf_dir):
+    b = _bars(spark, sf_dir).select(*KEY)
+    return V.assign_folds(b, V.purged_walk_forward(b))
+
+
+@query("split_audit")
+def q_split_audit(spark, sf_dir):
+    b = _bars(spark, sf_dir).select(*KEY)
+    return V.split_audit(V.assign_folds(b, V.purged_walk_forward(b)))
+
+
+@query("tuning_split")
+def q_tuning_split(spark, sf_dir):
+    x, f0 = _fold0(spark, sf_dir)
+    sample = V.last_n(V.fold_rows(x.select(*KEY), f0, "train"), 3000)
+    return V.time_series_split(sample, 3).select(*KEY, "pos", "block")
+
+
+@query("winsor_bounds")
+def q_winsor_bounds(spark, sf_dir):
+    x, f0 = _fold0(spark, sf_dir)
+    b = V.quantile_bounds(V.fold_rows(x, f0, "train"), SCALE_COLS)
+    return round_doubles(V.bounds_frame(spark, b))
+
+
+@query("winsorize")
+def q_winsorize(spark, sf_dir):
+    x, f0 = _fold0(spark, sf_dir)
+    tr, _, _ = V.winsorize(V.fold_rows(x, f0, "train"), cols=SCALE_COLS)
+    return round_doubles(tr.select(*KEY, *SCALE_COLS))
+
+
+@query("standard_scale")
+def q_standard_scale(spark, sf_dir):
+    x, f0 = _fold0(spark, sf_dir)
+    params = V.fit_standard_scaler(V.fold_rows(x, f0, "train"), SCALE_COLS)
+    return round_doubles(V.apply_standard_scaler(V.fold_rows(x, f0, "test").select(*KEY, *SCALE_COLS), params))
+
+
+@query("condition_target")
+def q_condition_target(spark, sf_dir):
+    x, f0 = _fold0(spark, sf_dir)
+    y, _ = V.condition_target(V.fold_rows(x, f0, "train"), "fwd_log_ret_10")
+    return round_doubles(y.select(*KEY, "y_scaled"))
