@@ -506,19 +506,20 @@ select date '1995-01-01' as period_start, date '2025-12-31' as period_end, count
 
 
 # ------------------------------------------------------------------ validation
-def _folds_ctes(src: str = "b", n_splits: int = 5) -> str:
-    return f"""di as (select date, row_number() over (order by date) - 1 as i from (select distinct date from {src}) d),
-nd as (select count(*) as n from di),
-f0 as (select cast(range as integer) as fold, 1764 + 126 * range as s from range(0, {n_splits})),
-fi as (select fold, greatest(0, s - 15 - 1764) as a, s - 16 as e, s, least(s + 126, (select n from nd)) - 1 as z
-       from f0 where s + 126 < (select n from nd)),
-fd as (select fold, d1.date as train_start, d2.date as train_end, d3.date as test_start, d4.date as test_end
-       from fi join di d1 on d1.i = fi.a join di d2 on d2.i = fi.e join di d3 on d3.i = fi.s join di d4 on d4.i = fi.z),
-sz as (select fold, sum(case when {src}.date < train_end then 1 else 0 end) as n_train,
+def _folds_ctes(src: str = "b", n_splits: int = 5, x: str = "") -> str:
+    return f"""di{x} as (select date, row_number() over (order by date) - 1 as i from (select distinct date from {src}) d),
+nd{x} as (select count(*) as n from di{x}),
+f0{x} as (select cast(range as integer) as fold, 1764 + 126 * range as s from range(0, {n_splits})),
+fi{x} as (select fold, greatest(0, s - 15 - 1764) as a, s - 16 as e, s, least(s + 126, (select n from nd{x})) - 1 as z
+       from f0{x} where s + 126 < (select n from nd{x})),
+fd{x} as (select fold, d1.date as train_start, d2.date as train_end, d3.date as test_start, d4.date as test_end
+       from fi{x} join di{x} d1 on d1.i = fi{x}.a join di{x} d2 on d2.i = fi{x}.e join di{x} d3 on d3.i = fi{x}.s
+       join di{x} d4 on d4.i = fi{x}.z),
+sz{x} as (select fold, sum(case when {src}.date < train_end then 1 else 0 end) as n_train,
               sum(case when {src}.date >= test_start then 1 else 0 end) as n_test
-       from fd join {src} on {src}.date >= train_start and {src}.date <= test_end group by fold),
-folds as (select fd.*, cast(n_train as bigint) as n_train, cast(n_test as bigint) as n_test from fd join sz using (fold)
-          where fold < coalesce((select min(fold) from sz where n_train <= 500 or n_test <= 50), 1000000))"""
+       from fd{x} join {src} on {src}.date >= train_start and {src}.date <= test_end group by fold),
+folds{x} as (select fd{x}.*, cast(n_train as bigint) as n_train, cast(n_test as bigint) as n_test from fd{x} join sz{x} using (fold)
+          where fold < coalesce((select min(fold) from sz{x} where n_train <= 500 or n_test <= 50), 1000000))"""
 
 
 def _small_feat_ctes() -> str:
@@ -597,3 +598,141 @@ qb as (select quantile_cont(y, 0.05) as lo, quantile_cont(y, 0.95) as hi from y0
 y1 as (select ticker, date, {clip('y', 'qb.lo', 'qb.hi')} as y from y0, qb),
 st as (select avg(y) as m, stddev_pop(y) as s from y1)
 select ticker, date, {r('(y - m) / coalesce(nullif(s, 0), 1.0)', 'y_scaled')} from y1, st"""
+
+
+# ------------------------------------------------------------------ metrics and reports
+def _preds_ctes() -> str:
+    base = f"""base as (select ticker, date, {sdiv('close', f'lag(close, 1) {W}')} - 1 as ret_1,
+   {sln(sdiv(f'lead(close, 10) {W}', 'close'))} as fwd_log_ret_10,
+   tanh(100 * coalesce({sln(sdiv(f'lead(close, 10) {W}', 'close'))}, 0)) as dl_label_10 from {_sup()} b)"""
+    phases = []
+    for ph, start in ((1, "1995-01-01"), (2, "1995-06-01")):
+        phases.append(f"p{ph} as (select * from base where date >= date '{start}'), {_folds_ctes(f'p{ph}', x=str(ph))}")
+    parts = []
+    for ph in (1, 2):
+        for target in ("fwd_log_ret_10", "dl_label_10"):
+            for model, k in (("naive", 1.0), ("inverse", -1.0), ("scaled", 0.1)):
+                parts.append(f"""select {ph} as phase, f.fold, '{model}' as model, '{target}' as target, p.ticker, p.date,
+  p.{target} as actual, p.ret_1 * {k} as pred
+from p{ph} p join folds{ph} f on p.date between f.test_start and f.test_end
+where p.{target} is not null and p.ret_1 is not null""")
+    return f"""{base}, {', '.join(phases)}, preds as ({' union all '.join(parts)}),
+stats as (select phase, model, target, fold, sqrt(avg((actual - pred) * (actual - pred))) as RMSE,
+  avg(abs(actual - pred)) as MAE,
+  case when stddev_samp(sign(pred) * actual) > 0
+       then avg(sign(pred) * actual) / stddev_samp(sign(pred) * actual) * sqrt(252) else 0.0 end as Sharpe,
+  count(*) as n_rows
+  from preds group by phase, model, target, fold),
+timing as (select phase, fold, model, target,
+  cast(10.0 as double) + fold * 1.5 + (case model when 'naive' then 1 when 'inverse' then 2 else 3 end) * 3.0 + phase * 0.25
+  + length(target) * cast(0.1 as double) as seconds from stats)"""
+
+
+def _he(x: str, d: int = 4) -> str:
+    s = f"{10 ** d}.0"
+    return f"(cast(round_even(cast(({x}) * {s} as double), 0) as double) / {s})"
+
+
+def _summary(by: str, where: str = "") -> str:
+    cols = []
+    for m in ("RMSE", "MAE", "Sharpe"):
+        for name, fn in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")):
+            cols.append(f"{_he(f'{fn}({m})')} as {m}_{name}")
+    return f"select {by}, {', '.join(cols)} from stats {where} group by {by}"
+
+
+def _r_all(cols, d=6):
+    return ", ".join(r(c, c, d) for c in cols)
+
+
+SUMCOLS = [f"{m}_{s}" for m in ("RMSE", "MAE", "Sharpe") for s in ("mean", "std", "min", "max")]
+
+
+@q("metrics")
+def _():
+    return f"with {_preds_ctes()} select phase, model, target, fold, {_r_all(['RMSE', 'MAE', 'Sharpe'])}, n_rows from stats"
+
+
+@q("fold_summary")
+def _():
+    return f"with {_preds_ctes()} select model, target, {_r_all(SUMCOLS)} from ({_summary('model, target', 'where phase = 1')}) s"
+
+
+@q("phase_comparison")
+def _():
+    cols = []
+    for m, ss in (("RMSE", ("mean", "std", "min")), ("MAE", ("mean", "std", "min")), ("Sharpe", ("mean", "std", "max"))):
+        fn = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+        cols += [r(_he(f"{fn[s]}({m})"), f"{m}_{s}") for s in ss]
+    return f"with {_preds_ctes()} select phase, model, target, {', '.join(cols)} from stats group by phase, model, target"
+
+
+@q("pivot_metric")
+def _():
+    cols = ", ".join(r(f"avg(case when model = '{m}' then Sharpe_mean end)", m) for m in ("naive", "inverse", "scaled"))
+    return f"with {_preds_ctes()}, s as ({_summary('model, target', 'where phase = 1')}) select target, {cols} from s group by target"
+
+
+@q("overall_score")
+def _():
+    def norm(c, inv):
+        z = f"(({c} - min({c}) over (partition by phase)) / nullif(max({c}) over (partition by phase) - min({c}) over (partition by phase), 0))"
+        return f"(1.0 - {z})" if inv else z
+    return f"""with {_preds_ctes()}, s as ({_summary('phase, model, target')}),
+a as (select phase, model, avg(Sharpe_mean) as Sharpe_mean, avg(RMSE_mean) as RMSE_mean, avg(MAE_mean) as MAE_mean
+      from s group by phase, model),
+n as (select phase, model, Sharpe_mean, RMSE_mean, MAE_mean, {norm('Sharpe_mean', False)} as Sharpe_norm,
+        {norm('RMSE_mean', True)} as RMSE_norm, {norm('MAE_mean', True)} as MAE_norm from a)
+select phase, model, {_r_all(['Sharpe_mean', 'RMSE_mean', 'MAE_mean', 'Sharpe_norm', 'RMSE_norm', 'MAE_norm'])},
+  {r('(Sharpe_norm + RMSE_norm + MAE_norm) / 3', 'Overall_Score')} from n"""
+
+
+@q("timing_summary")
+def _():
+    return f"""with {_preds_ctes()} select model, {r(_he('avg(seconds)', 2), 'seconds_mean')},
+  {r(_he('stddev_samp(seconds)', 2), 'seconds_std')}, {r(_he('min(seconds)', 2), 'seconds_min')},
+  {r(_he('max(seconds)', 2), 'seconds_max')}, count(seconds) as seconds_count, {r(_he('sum(seconds)', 2), 'seconds_sum')}
+from timing group by model"""
+
+
+@q("time_by_target")
+def _():
+    return f"with {_preds_ctes()} select model, target, {r('avg(seconds)', 'seconds_mean')} from timing group by model, target"
+
+
+@q("box_summary")
+def _():
+    qs = ", ".join(r(f"quantile_cont(seconds, {p})", n) for p, n in ((0.0, "q0"), (0.25, "q25"), (0.5, "q50"),
+                                                                    (0.75, "q75"), (1.0, "q100")))
+    return f"with {_preds_ctes()} select model, {qs} from timing group by model"
+
+
+@q("run_overview")
+def _():
+    return f"""with {_preds_ctes()} select count(distinct model) as n_models, count(distinct phase) as n_phases,
+  count(distinct target) as n_targets from stats"""
+
+
+@q("efficiency")
+def _():
+    return f"""with {_preds_ctes()}, s as ({_summary('phase, model, target')}),
+p as (select model, avg(Sharpe_mean) as Sharpe_mean from s group by model),
+t as (select model, avg(seconds) as seconds_mean from timing group by model)
+select model, {r('Sharpe_mean', 'Sharpe_mean')}, {r('seconds_mean', 'seconds_mean')},
+  {r('Sharpe_mean / nullif(seconds_mean, 0)', 'efficiency')} from p join t using (model)"""
+
+
+@q("best_model")
+def _():
+    return f"""with {_preds_ctes()}
+select phase, target, model as best_model, {r('Sharpe', 'best_sharpe')} from (
+  select *, row_number() over (partition by phase, target order by Sharpe desc, model asc) as rn from stats) x
+where rn = 1"""
+
+
+@q("fastest_slowest")
+def _():
+    return f"""with {_preds_ctes()}, t as (select model, avg(sm) as s from (
+   select model, target, avg(seconds) as sm from timing group by model, target) x group by model)
+select (select model from t order by s desc, model asc limit 1) as max_model, {r('(select max(s) from t)', 'max_seconds_mean')},
+       (select model from t order by s asc, model asc limit 1) as min_model, {r('(select min(s) from t)', 'min_seconds_mean')}"""

@@ -356,3 +356,107 @@ def q_condition_target(spark, sf_dir):
     x, f0 = _fold0(spark, sf_dir)
     y, _ = V.condition_target(V.fold_rows(x, f0, "train"), "fwd_log_ret_10")
     return round_doubles(y.select(*KEY, "y_scaled"))
+
+
+# ------------------------------------------------------------------ metrics and reports (A-16 .. A-31, T-07, T-08, U-01)
+from panelspark.operators import metrics as M  # noqa: E402
+from panelspark.operators.labels import dl_labels  # noqa: E402
+
+# Deterministic predictors over real features: the store is exact in SQL.
+PRED_MODELS = {"naive": 1.0, "inverse": -1.0, "scaled": 0.1}
+PHASES = {1: "1995-01-01", 2: "1995-06-01"}
+
+
+def predictions(spark, sf_dir):
+    """Long out-of-sample store ``phase, fold, model, target, ticker, date, actual, pred``
+    for two phases (different start dates -> different fold tables). Targets
+    and models are stacked with one ``explode`` per phase (one pass)."""
+    base = dl_labels(forward_returns(feat.returns(_bars(spark, sf_dir), (1,)), (10,)), (10,))
+    base = base.select(*KEY, "ret_1", "fwd_log_ret_10", "dl_label_10")
+    combos = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(t).alias("target"), F.col(t).alias("actual"),
+                                (F.col("ret_1") * F.lit(k)).alias("pred"))
+                       for t in ("fwd_log_ret_10", "dl_label_10") for m, k in PRED_MODELS.items()])
+    out = []
+    for phase, start in PHASES.items():
+        x = base.filter(F.col("date") >= F.lit(start).cast("date"))
+        te = V.assign_folds(x, V.purged_walk_forward(x)).filter("split = 'test'")
+        e = te.select(F.lit(phase).alias("phase"), "fold", *KEY, F.explode(combos).alias("c"))
+        out.append(e.select("phase", "fold", "c.model", "c.target", *KEY, "c.actual", "c.pred")
+                   .filter(F.col("actual").isNotNull() & F.col("pred").isNotNull()))
+    return M.union_results(*out)
+
+
+def fold_stats(spark, sf_dir):
+    return M.fold_metrics(predictions(spark, sf_dir))
+
+
+def timing(spark, sf_dir):
+    """Fit log with deterministic seconds derived from each fit's key."""
+    s = fold_stats(spark, sf_dir)
+    midx = F.when(F.col("model") == "naive", 1).when(F.col("model") == "inverse", 2).otherwise(3)
+    secs = F.lit(10.0) + F.col("fold") * 1.5 + midx * 3.0 + F.col("phase") * 0.25 + F.length("target") * 0.1
+    return s.select("phase", "fold", "model", "target", secs.alias("seconds"))
+
+
+@query("metrics")
+def q_metrics(spark, sf_dir):
+    return round_doubles(fold_stats(spark, sf_dir))
+
+
+@query("fold_summary")
+def q_fold_summary(spark, sf_dir):
+    return round_doubles(M.fold_summary(fold_stats(spark, sf_dir).filter("phase = 1")))
+
+
+@query("phase_comparison")
+def q_phase_comparison(spark, sf_dir):
+    return round_doubles(M.phase_comparison(fold_stats(spark, sf_dir)))
+
+
+@query("pivot_metric")
+def q_pivot_metric(spark, sf_dir):
+    summ = M.fold_summary(fold_stats(spark, sf_dir).filter("phase = 1"))
+    return round_doubles(M.pivot_metric(summ, "target", "model", "Sharpe_mean", list(PRED_MODELS)))
+
+
+@query("overall_score")
+def q_overall_score(spark, sf_dir):
+    summ = M.fold_summary(fold_stats(spark, sf_dir), by=("phase", "model", "target"))
+    return round_doubles(M.overall_score(summ, within=("phase",), digits=None))
+
+
+@query("timing_summary")
+def q_timing_summary(spark, sf_dir):
+    return round_doubles(M.timing_summary(timing(spark, sf_dir)))
+
+
+@query("time_by_target")
+def q_time_by_target(spark, sf_dir):
+    return round_doubles(M.time_by_target(timing(spark, sf_dir)))
+
+
+@query("box_summary")
+def q_box_summary(spark, sf_dir):
+    return round_doubles(M.box_summary(timing(spark, sf_dir)))
+
+
+@query("run_overview")
+def q_run_overview(spark, sf_dir):
+    return M.run_overview(fold_stats(spark, sf_dir)).drop("phases")
+
+
+@query("efficiency")
+def q_efficiency(spark, sf_dir):
+    summ = M.fold_summary(fold_stats(spark, sf_dir), by=("phase", "model", "target"))
+    return round_doubles(M.efficiency(summ, timing(spark, sf_dir)))
+
+
+@query("best_model")
+def q_best_model(spark, sf_dir):
+    return round_doubles(M.best_model(fold_stats(spark, sf_dir)))
+
+
+@query("fastest_slowest")
+def q_fastest_slowest(spark, sf_dir):
+    t = M.time_by_target(timing(spark, sf_dir)).groupBy("model").agg(F.avg("seconds_mean").alias("seconds_mean"))
+    return round_doubles(M.extremes(t, "seconds_mean"))
