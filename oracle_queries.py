@@ -736,3 +736,87 @@ def _():
    select model, target, avg(seconds) as sm from timing group by model, target) x group by model)
 select (select model from t order by s desc, model asc limit 1) as max_model, {r('(select max(s) from t)', 'max_seconds_mean')},
        (select model from t order by s asc, model asc limit 1) as min_model, {r('(select min(s) from t)', 'min_seconds_mean')}"""
+
+
+# ------------------------------------------------------------------ dependence statistics
+DEP = ["ret_1", "ret_3", "ret_5", "ret_10", "log_ret_1", "ibs", "parkinson_5", "mom_ratio_5"]
+
+
+def _dep_cte() -> str:
+    fr5 = "over (partition by ticker order by date rows between 4 preceding and current row)"
+    return f"""b as {_sup()},
+x0 as (select ticker, date,
+   {sdiv('close', f'lag(close, 1) {W}')} - 1 as ret_1, {sdiv('close', f'lag(close, 3) {W}')} - 1 as ret_3,
+   {sdiv('close', f'lag(close, 5) {W}')} - 1 as ret_5, {sdiv('close', f'lag(close, 10) {W}')} - 1 as ret_10,
+   {sln(sdiv('close', f'lag(close, 1) {W}'))} as log_ret_1,
+   {clip(sdiv('close - low', 'high - low'), 0, 1)} as ibs, pow({sln(sdiv('high', 'low'))}, 2) as lr2,
+   {sln(sdiv(f'lead(close, 5) {W}', 'close'))} as fwd_log_ret_05 from b),
+dep as (select ticker, date, ret_1, ret_3, ret_5, ret_10, log_ret_1, ibs,
+   sqrt({roll('avg', 'lr2', 5)} / (4 * ln(2))) as parkinson_5,
+   case when count(*) {fr5} = 5 then (sum(case when ret_1 > 0 then 1 else 0 end) {fr5} + 1.0)
+                                    / (sum(case when ret_1 < 0 then 1 else 0 end) {fr5} + 1.0) end as mom_ratio_5,
+   fwd_log_ret_05 from x0 where date < date '2001-06-30')"""
+
+
+def _binexpr(x: str, split_tbl: str, col: str) -> str:
+    return " + ".join(f"(case when {x} > {split_tbl}.{col}[{k}] then 1 else 0 end)" for k in range(1, 10))
+
+
+def _mi_pair_sql(src: str, a: str, b: str, key: str) -> str:
+    probs = "[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]"
+    return f"""(select {key} as k, cast(max(t) as bigint) as n_obs, sum(n * 1.0 / t * ln(n * 1.0 * t / (na * nb))) as mi from (
+  select n, sum(n) over () as t, sum(n) over (partition by a) as na, sum(n) over (partition by bb) as nb from (
+    select {_binexpr('p.xa', 'sp', 'qa')} as a, {_binexpr('p.xb', 'sp', 'qb')} as bb, count(*) as n
+    from (select {a} as xa, {b} as xb from {src} where {a} is not null and {b} is not null) p,
+         (select quantile_cont({a}, {probs}) as qa, quantile_cont({b}, {probs}) as qb
+          from {src} where {a} is not null and {b} is not null) sp
+    group by 1, 2) j) m)"""
+
+
+@q("mi_scores")
+def _():
+    parts = [_mi_pair_sql("dep", f, "fwd_log_ret_05", f"'{f}'") for f in DEP]
+    return f"""with {_dep_cte()}
+select k as feature, 'fwd_log_ret_05' as target, {r('mi', 'mi_score')}, n_obs
+from ({' union all '.join('select * from ' + p + ' t' + str(i) for i, p in enumerate(parts))}) u where n_obs >= 100"""
+
+
+@q("mi_bands")
+def _():
+    parts = [_mi_pair_sql("dep", f, "fwd_log_ret_05", f"'{f}'") for f in DEP]
+    return f"""with {_dep_cte()}, mi as (select k as feature, mi as mi_score
+  from ({' union all '.join('select * from ' + p + ' t' + str(i) for i, p in enumerate(parts))}) u where n_obs >= 100),
+top as (select * from mi order by mi_score desc, feature limit 5)
+select feature, {r('mi_score', 'mi_score')},
+  case when mi_score > max(mi_score) over () * 0.8 then 'very_high' when mi_score > max(mi_score) over () * 0.5 then 'high'
+       when mi_score > max(mi_score) over () * 0.2 then 'medium' else 'low' end as band from top"""
+
+
+@q("mi_matrix")
+def _():
+    f6 = DEP[:6]
+    parts = []
+    for i, a in enumerate(f6):
+        for b in f6[i:]:
+            parts.append(f"select '{a}' as f1, '{b}' as f2, * from {_mi_pair_sql('cc', a, b, 0)} t")
+    cond = " and ".join(f"{c} is not null" for c in f6)
+    return f"""with {_dep_cte()}, cc as (select * from dep where {cond}),
+one as (select f1, f2, case when n_obs >= 100 then mi else 0.0 end as mi from ({' union all '.join(parts)}) u)
+select f1, f2, {r('mi', 'mi')} from one union all select f2, f1, {r('mi', 'mi')} from one where f1 <> f2"""
+
+
+@q("corr_matrix")
+def _():
+    parts = [f"select '{a}' as f1, '{b}' as f2, {r(f'corr({a}, {b})', 'corr')} from dep"
+             for i, a in enumerate(DEP) for b in DEP[i + 1:]]
+    return f"with {_dep_cte()} {' union all '.join(parts)}"
+
+
+@q("histogram")
+def _():
+    return f"""with {_dep_cte()}, v as (select ret_1 as v from dep where ret_1 is not null),
+mm as (select min(v) as mn, max(v) as mx from v),
+c as (select cast(least(49, floor((v - mn) / (mx - mn) * 50)) as integer) as bin, count(*) as n from v, mm group by 1)
+select cast(g.range as integer) as bin, {r('mn + g.range * (mx - mn) / 50', 'lower')},
+  {r('mn + (g.range + 1) * (mx - mn) / 50', 'upper')}, coalesce(c.n, 0) as n
+from range(0, 50) g cross join mm left join c on c.bin = g.range"""

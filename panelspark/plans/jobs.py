@@ -50,3 +50,33 @@ def clean_panel(raw: DataFrame, start: str = "2000-01-01", period_start: str | N
     final = Q.keep_liquid(cleaned, flags) if liquidity else cleaned
     final = Q.filter_between(final, period_start, period_end)
     return CleanResult(final, days, gaps, stats, flags, cleaned, period_start, period_end)
+
+
+# ---------------------------------------------------------------- P-03 / P-04
+from panelspark.operators import features as FE  # noqa: E402
+from panelspark.operators import labels as LB  # noqa: E402
+from panelspark.operators import roles as RL  # noqa: E402
+
+AS_RUN_COLUMNS = list(FE.FEATURE_COLUMNS) + list(LB.TARGET_COLUMNS)
+
+
+def global_feature_table(panel: DataFrame, intervals=FE.INTERVALS, barriers: bool = True,
+                         frac_width: int = 100, frac_mode: str = "binomial", sparse_frac: float = 0.5) -> DataFrame:
+    """P-03: the 40 leak-free features and the forward targets (plus the
+    barrier labels) for every (ticker, date), then the sparse-row drop counted
+    over the 55 as-run feature and target columns. All per-ticker windows share
+    one exchange + sort on ticker; the cross-sectional rank adds one on date."""
+    x = FE.global_features(panel, intervals, frac_width=frac_width, frac_mode=frac_mode)
+    x = LB.add_targets(x, intervals, barriers=barriers)
+    x = x.drop("open", "high", "low", "close", "vol")
+    as_run = [c for c in AS_RUN_COLUMNS if c in x.columns]
+    return RL.drop_sparse_rows(x, as_run, sparse_frac)
+
+
+def feature_table(panel: DataFrame, legacy_roles: bool = False, **kw):
+    """P-04: P-03 -> sparse columns -> roles -> drop rows with missing features.
+    Returns (table, targets, features, dropped_columns)."""
+    x = global_feature_table(panel, **kw)
+    x, dropped = RL.drop_sparse_columns(x)
+    targets, feats = RL.infer_roles(x.columns, legacy=legacy_roles)
+    return RL.drop_null_features(x, feats), targets, feats, dropped

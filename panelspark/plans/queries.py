@@ -460,3 +460,68 @@ def q_best_model(spark, sf_dir):
 def q_fastest_slowest(spark, sf_dir):
     t = M.time_by_target(timing(spark, sf_dir)).groupBy("model").agg(F.avg("seconds_mean").alias("seconds_mean"))
     return round_doubles(M.extremes(t, "seconds_mean"))
+
+
+# ------------------------------------------------------------------ feature table (P-03, P-04, F-06 .. F-11)
+from panelspark.operators import roles as RL  # noqa: E402
+from panelspark.operators import stats as ST  # noqa: E402
+from panelspark.plans.jobs import feature_table, global_feature_table  # noqa: E402
+
+
+@query("feature_table")
+def q_feature_table(spark, sf_dir):
+    """Flagship: the full global feature table (P-03) on the supplier panel."""
+    return round_doubles(global_feature_table(_bars(spark, sf_dir)))
+
+
+@query("model_table")
+def q_model_table(spark, sf_dir):
+    """P-04: sparse columns dropped, roles inferred, rows with missing features dropped."""
+    x, _, _, _ = feature_table(_bars(spark, sf_dir))
+    return round_doubles(x)
+
+
+@query("null_feature_report")
+def q_null_feature_report(spark, sf_dir):
+    x = global_feature_table(_bars(spark, sf_dir))
+    _, feats = RL.infer_roles(x.columns)
+    return round_doubles(RL.null_feature_report(x, feats))
+
+
+# simple features shared with the SQL oracle for the dependence statistics
+DEP_FEATURES = ["ret_1", "ret_3", "ret_5", "ret_10", "log_ret_1", "ibs", "parkinson_5", "mom_ratio_5"]
+
+
+def _dep_frame(spark, sf_dir):
+    x = feat.returns(_bars(spark, sf_dir), (1, 3, 5, 10))
+    x = feat.momentum_ratio(feat.parkinson(feat.ibs(x), (5,)), (5,))
+    x = forward_returns(x, (5,))
+    return RL.in_sample(x.select(*KEY, *DEP_FEATURES, "fwd_log_ret_05"), "2001-06-30")
+
+
+@query("mi_scores")
+def q_mi_scores(spark, sf_dir):
+    x = _dep_frame(spark, sf_dir)
+    return round_doubles(ST.mi_scores(x.dropna(subset=["fwd_log_ret_05"]), DEP_FEATURES, "fwd_log_ret_05"))
+
+
+@query("mi_bands")
+def q_mi_bands(spark, sf_dir):
+    x = _dep_frame(spark, sf_dir)
+    mi = ST.mi_scores(x.dropna(subset=["fwd_log_ret_05"]), DEP_FEATURES, "fwd_log_ret_05")
+    return round_doubles(ST.importance_bands(ST.top_features(mi, 5)).select("feature", "mi_score", "band"))
+
+
+@query("mi_matrix")
+def q_mi_matrix(spark, sf_dir):
+    return round_doubles(ST.mi_matrix(_dep_frame(spark, sf_dir), DEP_FEATURES[:6]))
+
+
+@query("corr_matrix")
+def q_corr_matrix(spark, sf_dir):
+    return round_doubles(ST.corr_matrix(_dep_frame(spark, sf_dir), DEP_FEATURES))
+
+
+@query("histogram")
+def q_histogram(spark, sf_dir):
+    return round_doubles(ST.distribution(_dep_frame(spark, sf_dir), "ret_1", 50))
