@@ -40,23 +40,26 @@ def returns(df: DataFrame, intervals=INTERVALS, price: str = "close") -> DataFra
 
 
 # ---------------------------------------------------------------- W-03
-def cross_section_rank(df: DataFrame, cols=None, scale: float = 20.0, by: str = "date") -> DataFrame:
+def cross_section_rank(df: DataFrame, cols=None, scale: float = 20.0, by: str = "date", names=None) -> DataFrame:
     """pandas ``groupby(date).rank(pct=True) * scale``: average rank of ties,
     divided by the number of non-NULL values of that date; NULL stays NULL.
 
-    Average rank = (first rank of the tie + last rank of the tie) / 2, where the
-    last rank is n + 1 - (descending rank). NULLs sort last in both orders so
-    they never shift the ranks of non-NULL values. One exchange on ``by``.
+    One sort per column: with NULLs first, rank() counts the date's NULLs
+    ahead of every value, so the rank among values is rank() - #NULLs; the
+    tie size comes from the (date, value) partition, which the same sort
+    already groups. Average rank = first rank + (ties - 1) / 2.
     """
     cols = cols or [f"ret_{t}" for t in INTERVALS]
     out = []
-    for c in cols:
-        suffix = c.split("_", 1)[1] if c.startswith("ret_") else c
-        n = F.count(c).over(Window.partitionBy(by))
-        r_asc = F.rank().over(Window.partitionBy(by).orderBy(F.col(c).asc_nulls_last()))
-        r_desc = F.rank().over(Window.partitionBy(by).orderBy(F.col(c).desc_nulls_last()))
-        avg_rank = (r_asc + (n + 1 - r_desc)) / 2.0
-        out.append(F.when(F.col(c).isNotNull(), avg_rank / n * scale).alias(f"ret_rel_perc_{suffix}"))
+    day = Window.partitionBy(by)
+    names = names or [f"ret_rel_perc_{c.split('_', 1)[1] if c.startswith('ret_') else c}" for c in cols]
+    for c, name in zip(cols, names):
+        n = F.count(c).over(day)
+        nulls = F.count(F.lit(1)).over(day) - n
+        r = F.rank().over(Window.partitionBy(by).orderBy(F.col(c).asc_nulls_first())) - nulls
+        ties = F.count(F.lit(1)).over(Window.partitionBy(by, c))
+        avg_rank = r + (ties - 1) / 2.0
+        out.append(F.when(F.col(c).isNotNull(), avg_rank / n * scale).alias(name))
     return df.select("*", *out)
 
 
@@ -223,10 +226,12 @@ FEATURE_COLUMNS = (
 
 
 def global_features(panel: DataFrame, intervals=INTERVALS, frac_width: int = 100, frac_d: float = 0.4,
-                    frac_mode: str = "binomial") -> DataFrame:
+                    frac_mode: str = "binomial", rank: bool = True) -> DataFrame:
     """All 40 leak-free features of the reference on one panel (no regime
     model: that is fitted per fold). Per-ticker windows first (one exchange on
-    ticker), then the cross-sectional rank (one exchange on date)."""
+    ticker), then the cross-sectional rank (one exchange on date). With
+    ``rank=False`` the rank is left to the caller, so further per-ticker
+    windows (the labels) can share the ticker exchange first."""
     x = returns(panel, intervals)
     x = calendar_features(x)
     x = technical_indicators(x, keep_atr=True)
@@ -237,5 +242,131 @@ def global_features(panel: DataFrame, intervals=INTERVALS, frac_width: int = 100
     x = variance_ratio(x, intervals)
     x = frac_returns(x, intervals, d=frac_d, width=frac_width, mode=frac_mode)
     x = x.drop("_atr")
-    x = cross_section_rank(x, [f"ret_{t}" for t in intervals])
+    if rank:
+        x = cross_section_rank(x, [f"ret_{t}" for t in intervals])
     return x
+
+
+# ---------------------------------------------------------------- fused plan for the whole table (P-03)
+def feature_label_block(panel: DataFrame, intervals=INTERVALS, frac_width: int = 100, frac_d: float = 0.4,
+                        frac_mode: str = "binomial", n: int = 14, bb_n: int = 20, vol_n: int = 50,
+                        min_ret: float = 0.005, barriers: bool = True, rank: bool = True) -> DataFrame:
+    """Every feature and label of the reference in three per-ticker window
+    stages plus the cross-sectional rank; same definitions as the individual
+    operators of this module and of ``labels`` (checked against them in tests).
+
+    Chaining the single operators stacks ~26 Window operators, each copying
+    the growing row. Here each stage is one ``select``: Catalyst puts all of
+    its window expressions with the same (partition, order) spec into one
+    Window operator over one sort, and temporaries are dropped as soon as the
+    next stage has consumed them. Stage A reads only raw prices (lags, leads,
+    frames over row expressions); stage B windows over stage-A columns;
+    stage C adds the one-row lag of the barrier volatility and the plain
+    projections. The cross-sectional rank runs first, on the narrow frame of
+    prices and returns (one exchange on date), so the wide rows of the later
+    stages are never shuffled or sorted by date.
+    """
+    w = _w()
+    if rank:
+        rets = panel.select("*", *[(safe_div(F.col("close"), F.lag("close", t).over(w)) - 1).alias(f"_rr{t}")
+                                   for t in intervals])
+        rets = cross_section_rank(rets, [f"_rr{t}" for t in intervals],
+                                  names=[f"ret_rel_perc_{t}" for t in intervals])
+        panel = rets.select(*panel.columns, *[f"ret_rel_perc_{t}" for t in intervals])
+    whole = Window.partitionBy("ticker")
+    close, high, low = F.col("close"), F.col("high"), F.col("low")
+    lagc = {j: F.lag("close", j).over(w) for j in set(intervals) | {1}}
+    ratio = {t: safe_div(close, lagc[t]) for t in lagc}
+    # ---- stage A: windows over raw prices only
+    a = [F.col("ticker"), F.col("date"), close,
+         (F.row_number().over(w) - 1).alias("_i")]
+    a += [F.col(f"ret_rel_perc_{t}") for t in intervals if rank]
+    for t in intervals:
+        a += [(ratio[t] - 1).alias(f"ret_{t}"), safe_ln(ratio[t]).alias(f"log_ret_{t}")]
+    if 1 not in intervals:
+        a += [(ratio[1] - 1).alias("_r1"), safe_ln(ratio[1]).alias("_lr1")]
+    wd = (weekday_mon0("date") % 5).cast("double")
+    a += [F.month("date").cast("int").alias("month"), F.dayofmonth("date").cast("int").alias("day"),
+          F.sin(F.lit(TWO_PI) * wd / 5).alias("weekday_sin"), F.cos(F.lit(TWO_PI) * wd / 5).alias("weekday_cos"),
+          clip(safe_div(close - low, high - low), 0, 1).alias("ibs")]
+    d = close - lagc[1]
+    a += [F.greatest(d, F.lit(0.0)).alias("_gain"), F.greatest(-d, F.lit(0.0)).alias("_loss"),
+          F.greatest(high - low, F.abs(high - lagc[1]), F.abs(low - lagc[1])).alias("_tr")]
+    bb = trailing(w, bb_n)
+    full = F.count(close).over(bb) == bb_n
+    m, s = F.avg(close).over(bb), F.stddev_pop(close).over(bb)
+    a += [F.when(full, m + 2.0 * s).alias("_up"), F.when(full, m - 2.0 * s).alias("_lo")]
+    lr2 = F.pow(safe_ln(safe_div(high, low)), 2)
+    const = 4.0 * math.log(2.0)
+    for k in intervals:
+        fr = trailing(w, k)
+        a.append(F.sqrt(F.when(F.count(lr2).over(fr) >= k, F.avg(lr2).over(fr)) / const).alias(f"parkinson_{k}"))
+    if frac_mode == "first_difference":
+        a.append((close - lagc[1]).alias("_fd"))
+    else:
+        ws = frac_weights(frac_d, frac_width)
+        fd = F.lit(ws[0]) * close
+        for j in range(1, frac_width):
+            fd = fd + F.lit(ws[j]) * F.lag("close", j).over(w)
+        a.append(fd.alias("_fd"))
+    for t in intervals:
+        fr_ = safe_div(F.lead("close", t).over(w), close)
+        a += [(fr_ - 1).alias(f"fwd_ret_{t:02}"), safe_ln(fr_).alias(f"fwd_log_ret_{t:02}")]
+    if barriers:
+        for t in intervals:
+            target = F.date_add(F.col("date"), t)
+            ds, cs = [], []
+            for j in range(1, max(t, 1) + 1):
+                hit = F.lead("date", j).over(w) >= target
+                ds.append(F.when(hit, F.lead("date", j).over(w)))
+                cs.append(F.when(hit, F.lead("close", j).over(w)))
+            a.append(F.coalesce(*cs, F.max_by("close", "date").over(whole)).alias(f"_c1_{t}"))
+    xa = panel.select(*a)
+    # ---- stage B: windows over stage-A columns
+    r1 = F.col("ret_1") if 1 in intervals else F.col("_r1")
+    lr1 = F.col("log_ret_1") if 1 in intervals else F.col("_lr1")
+    b = [F.col(c) for c in xa.columns if c not in ("_gain", "_loss", "_tr")]
+    b += [wilder("_gain", "_i", w, n).alias("_G"), wilder("_loss", "_i", w, n).alias("_L"),
+          wilder("_tr", "_i", w, n).alias("_atr")]
+    up = F.when(r1 > 0, 1).otherwise(0)
+    dn = F.when(r1 < 0, 1).otherwise(0)
+    for k in intervals:
+        fr = trailing(w, k)
+        b.append(F.when(F.count(F.lit(1)).over(fr) == k, (F.sum(up).over(fr) + 1.0) / (F.sum(dn).over(fr) + 1.0))
+                 .alias(f"mom_ratio_{k}"))
+    for k in intervals:
+        if k > 1:
+            lrk = F.col(f"log_ret_{k}")
+            fr = trailing(w, k)
+            vk = F.when(F.count(lrk).over(fr) >= k, F.var_samp(lrk).over(fr))
+            v1 = F.when(F.count(lr1).over(fr) >= k, F.var_samp(lr1).over(fr))
+            b.append(clip(safe_div(vk, v1 * k), 0, 5).alias(f"var_ratio_{k}"))
+    for t in intervals:
+        b.append((safe_div(F.col("_fd"), F.lag("_fd", t).over(w)) - 1).alias(f"frac_ret_{t}"))
+    f20 = trailing(w, 20)
+    cur = F.when(F.count(r1).over(f20) == 20, F.stddev_samp(r1).over(f20))
+    for t in intervals:
+        if t > 1:
+            fr = w.rowsBetween(1, t)
+            fut = F.when(F.count(r1).over(fr) == t, F.stddev_samp(r1).over(fr))
+            b.append(safe_div(fut, cur).alias(f"fwd_vola_{t:02}"))
+    if barriers:
+        fv = trailing(w, vol_n)
+        b.append(F.when(F.count(r1).over(fv) == vol_n, F.stddev_samp(r1).over(fv)).alias("_vol"))
+    xb = xa.select(*b).drop("_fd", "_i")
+    # ---- stage C: one-row lag of the barrier volatility + plain projections
+    c = [F.col(x) for x in xb.columns if x not in ("_G", "_L", "_atr", "_up", "_lo", "_vol", "_r1", "_lr1")
+         and not x.startswith("_c1_")]
+    G, L, atr = F.col("_G"), F.col("_L"), F.col("_atr")
+    c += [F.when(G + L == 0, F.lit(0.0)).otherwise(100.0 * safe_div(G, G + L)).alias("RSI"),
+          F.when(close == 0, F.when(atr.isNotNull(), F.lit(0.0))).otherwise(100.0 * atr / close).alias("NATR"),
+          safe_div(F.col("_up"), close).alias("bbu"), safe_div(close, F.col("_lo")).alias("bbl")]
+    c += [clip(safe_div(F.col(f"ret_{k}"), atr), -10, 10).alias(f"vam_{k}") for k in intervals]
+    c += [F.tanh(F.lit(100.0) * F.coalesce(F.col(f"fwd_log_ret_{t:02}"), F.lit(0.0))).alias(f"dl_label_{t:02}")
+          for t in intervals]
+    if barriers:
+        event = F.lag("_vol", 1).over(w) > min_ret
+        for t in intervals:
+            rr = safe_ln(safe_div(F.col(f"_c1_{t}"), close))
+            c += [F.when(event, F.signum(rr)).alias(f"tbm_label_{t:02}"), F.when(event, rr).alias(f"tbm_ret_{t:02}")]
+    return xb.select(*c).drop("close")

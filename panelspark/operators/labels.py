@@ -2,9 +2,9 @@
 
 Forward windows look at later rows of the same ticker, so they share the
 per-ticker exchange and sort with the features. The vertical barrier is an
-as-of (forward) join written as a RANGE window over the day number: the first
-trading date at least t calendar days later, within the same ticker. No join,
-no per-ticker loop.
+as-of (forward) join written with bounded ``lead`` offsets: the first trading
+date at least t calendar days later, within the same ticker. No join, no
+per-ticker loop, no unbounded frame.
 """
 
 from __future__ import annotations
@@ -67,12 +67,25 @@ def vertical_barrier(df: DataFrame, days: int, out_date: str = "t1", out_close:
                      date: str = "date") -> DataFrame:
     """As-of forward lookup (J-08 + J-09): first trading date >= date + ``days``
     calendar days of the same ticker and its close; none -> the ticker's last
-    date (and last close)."""
-    dnum = F.unix_date(F.col(date))
-    fwd = Window.partitionBy("ticker").orderBy(dnum).rangeBetween(days, Window.unboundedFollowing)
+    date (and last close).
+
+    Dates are unique within a ticker, so row i+j lies at least j days after
+    row i: the answer is always among the next ``days`` rows. Checking the
+    ``days`` leads in order is exact and O(days) per row; a RANGE frame reaching
+    to UNBOUNDED FOLLOWING would be re-aggregated for every row (O(n^2) per
+    ticker). The fallback is a whole-partition max (computed once per ticker).
+    """
+    w = ticker_window("ticker", date)
     whole = Window.partitionBy("ticker")
-    t1 = F.coalesce(F.min(date).over(fwd), F.max(date).over(whole))
-    c1 = F.coalesce(F.min_by("close", date).over(fwd), F.max_by("close", date).over(whole))
+    target = F.date_add(F.col(date), days)
+    dates, closes = [], []
+    for j in range(1, max(days, 1) + 1):
+        ld = F.lead(date, j).over(w)
+        hit = ld >= target
+        dates.append(F.when(hit, ld))
+        closes.append(F.when(hit, F.lead("close", j).over(w)))
+    t1 = F.coalesce(*dates, F.max(date).over(whole))
+    c1 = F.coalesce(*closes, F.max_by("close", date).over(whole))
     return df.select("*", t1.alias(out_date), c1.alias(out_close))
 
 

@@ -65,10 +65,9 @@ def global_feature_table(panel: DataFrame, intervals=FE.INTERVALS, barriers: boo
     """P-03: the 40 leak-free features and the forward targets (plus the
     barrier labels) for every (ticker, date), then the sparse-row drop counted
     over the 55 as-run feature and target columns. All per-ticker windows share
-    one exchange + sort on ticker; the cross-sectional rank adds one on date."""
-    x = FE.global_features(panel, intervals, frac_width=frac_width, frac_mode=frac_mode)
-    x = LB.add_targets(x, intervals, barriers=barriers)
-    x = x.drop("open", "high", "low", "close", "vol")
+    one exchange + sort on ticker (three fused window stages); the
+    cross-sectional rank adds one exchange on date."""
+    x = FE.feature_label_block(panel, intervals, frac_width=frac_width, frac_mode=frac_mode, barriers=barriers)
     as_run = [c for c in AS_RUN_COLUMNS if c in x.columns]
     return RL.drop_sparse_rows(x, as_run, sparse_frac)
 
