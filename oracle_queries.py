@@ -820,3 +820,11 @@ c as (select cast(least(49, floor((v - mn) / (mx - mn) * 50)) as integer) as bin
 select cast(g.range as integer) as bin, {r('mn + g.range * (mx - mn) / 50', 'lower')},
   {r('mn + (g.range + 1) * (mx - mn) / 50', 'upper')}, coalesce(c.n, 0) as n
 from range(0, 50) g cross join mm left join c on c.bin = g.range"""
+
+
+# ------------------------------------------------------------------ Spark ML inputs
+@q("lag_vector")
+def _():
+    lagged = ", ".join(r(f"lag(y, {j}) {W}", f"y_lag{j}") for j in range(10, 15))
+    return f"""select ticker, date, {r('y', 'fwd_log_ret_10')}, {lagged}
+from (select ticker, date, {sln(sdiv(f'lead(close, 10) {W}', 'close'))} as y from {_sup()} b) x"""

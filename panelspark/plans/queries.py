@@ -525,3 +525,75 @@ def q_corr_matrix(spark, sf_dir):
 @query("histogram")
 def q_histogram(spark, sf_dir):
     return round_doubles(ST.distribution(_dep_frame(spark, sf_dir), "ret_1", 50))
+
+
+# ------------------------------------------------------------------ Spark ML (M-02, M-05 .. M-14): rows-only checks
+import re  # noqa: E402
+
+from panelspark.operators import models as ML  # noqa: E402
+from panelspark.session import cut_lineage  # noqa: E402
+
+ML_TARGETS = ["fwd_log_ret_10", "dl_label_10"]
+RF_FIXED = {"RandomForest": ML.forest_params(n_estimators=50, max_depth=6, min_samples_leaf=20, max_features=0.5)}
+
+
+def _model_table(spark, sf_dir):
+    """P-04 table written once under the checkpoint folder and read back, so
+    the iterative fits scan Parquet instead of recomputing every window."""
+    x, targets, feats, _ = feature_table(_bars(spark, sf_dir))
+    tag = re.sub(r"[^A-Za-z0-9]+", "_", sf_dir.strip("/"))
+    x = cut_lineage(x, f"model_table_{tag}")
+    return x, [t for t in targets if t in ML_TARGETS], [f for f in feats]
+
+
+@query("lag_vector")
+def q_lag_vector(spark, sf_dir):
+    x = forward_returns(_bars(spark, sf_dir), (10,))
+    return round_doubles(ML.lag_vector(x.select(*KEY, "fwd_log_ret_10"), "fwd_log_ret_10", 5, 10))
+
+
+@query("regime")
+def q_regime(spark, sf_dir):
+    x, _, _ = _model_table(spark, sf_dir)
+    f0 = V.purged_walk_forward(x).filter("fold = 0").first()
+    tr, te, _ = ML.market_regime(V.fold_rows(x, f0, "train"), V.fold_rows(x, f0, "test"))
+    return tr.select(*KEY, "market_regime").unionByName(te.select(*KEY, "market_regime"))
+
+
+@query("forest_oos")
+def q_forest_oos(spark, sf_dir):
+    x, targets, feats = _model_table(spark, sf_dir)
+    _, preds, _, _ = ML.run_phase(x, 1, "1995-01-01", "2025-12-31", feats, targets[:1], ("RandomForest",),
+                                  params=RF_FIXED)
+    return round_doubles(preds)
+
+
+@query("walk_forward_results")
+def q_walk_forward_results(spark, sf_dir):
+    x, targets, feats = _model_table(spark, sf_dir)
+    res, _, _, _ = ML.run_phase(x, 1, "1995-01-01", "2025-12-31", feats, targets, ("RandomForest", "LagForecaster"),
+                                params=RF_FIXED)
+    return round_doubles(res.drop("hyperparameters"))
+
+
+@query("lag_forecaster")
+def q_lag_forecaster(spark, sf_dir):
+    x, targets, feats = _model_table(spark, sf_dir)
+    _, preds, _, _ = ML.run_phase(x, 1, "1995-01-01", "2025-12-31", feats, targets, ("LagForecaster",),
+                                  winsor=False, regime=False)
+    return round_doubles(preds)
+
+
+@query("forest_tuning")
+def q_forest_tuning(spark, sf_dir):
+    x, targets, feats = _model_table(spark, sf_dir)
+    f0 = V.purged_walk_forward(x).filter("fold = 0").first()
+    grid = {"n_estimators": [20, 50], "max_depth": [3, 6], "min_samples_leaf": [20], "max_features": [0.3, 0.7]}
+    _, table = ML.tune_forest(V.fold_rows(x, f0, "train"), feats, targets[0], grid=grid)
+    return round_doubles(table)
+
+
+@query("model_smoke")
+def q_model_smoke(spark, sf_dir):
+    x, targets, feats = _model_table(spark, sf_dir)
+    return round_doubles(ML.model_smoke(x, feats, targets, "RandomForest", params=RF_FIXED))
