@@ -828,3 +828,10 @@ def _():
     lagged = ", ".join(r(f"lag(y, {j}) {W}", f"y_lag{j}") for j in range(10, 15))
     return f"""select ticker, date, {r('y', 'fwd_log_ret_10')}, {lagged}
 from (select ticker, date, {sln(sdiv(f'lead(close, 10) {W}', 'close'))} as y from {_sup()} b) x"""
+
+
+# ------------------------------------------------------------------ files (round trips of the flags panel)
+_FLAGS_OHLCV = f"select ticker, date, {OHLCV_R} from ({bars_sql('flags')}) b"
+QUERIES["ingest"] = _FLAGS_OHLCV
+QUERIES["stream_ingest"] = _FLAGS_OHLCV
+QUERIES["panel_roundtrip"] = _FLAGS_OHLCV + " where date between date '1997-01-01' and date '1999-12-31'"

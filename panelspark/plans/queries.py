@@ -597,3 +597,49 @@ def q_forest_tuning(spark, sf_dir):
 def q_model_smoke(spark, sf_dir):
     x, targets, feats = _model_table(spark, sf_dir)
     return round_doubles(ML.model_smoke(x, feats, targets, "RandomForest", params=RF_FIXED))
+
+
+# ------------------------------------------------------------------ files in / out (S-01 .. S-17, P-01) and streaming
+import os  # noqa: E402
+
+from panelspark.session import checkpoint_dir  # noqa: E402
+from panelspark.sources import files as FS  # noqa: E402
+from panelspark.streaming.prices import stream_ingest  # noqa: E402
+
+
+def _price_tree(spark, sf_dir):
+    """Raw-format price files derived from the driver tables (one folder per
+    ticker), written under the checkpoint folder."""
+    tag = re.sub(r"[^A-Za-z0-9]+", "_", sf_dir.strip("/"))
+    path = os.path.join(checkpoint_dir(spark), "fixtures", f"price_files_{tag}")
+    FS.write_price_files(_bars(spark, sf_dir, "flags"), path)
+    return path
+
+
+@query("ingest")
+def q_ingest(spark, sf_dir):
+    return round_doubles(FS.ingest(spark, _price_tree(spark, sf_dir), glob="part-*.csv"))
+
+
+@query("file_audit")
+def q_file_audit(spark, sf_dir):
+    return FS.file_audit(spark, _price_tree(spark, sf_dir), glob="part-*.csv").drop("_file")
+
+
+@query("panel_roundtrip")
+def q_panel_roundtrip(spark, sf_dir):
+    """S-12 / S-13: write the panel partitioned by year, read one range back (pruned)."""
+    tag = re.sub(r"[^A-Za-z0-9]+", "_", sf_dir.strip("/"))
+    path = os.path.join(checkpoint_dir(spark), "tables", f"panel_{tag}")
+    FS.write_panel(_bars(spark, sf_dir, "flags"), path)
+    return round_doubles(FS.read_panel(spark, path, "1997-01-01", "1999-12-31"))
+
+
+@query("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    tag = re.sub(r"[^A-Za-z0-9]+", "_", sf_dir.strip("/"))
+    src = _price_tree(spark, sf_dir)
+    base = os.path.join(checkpoint_dir(spark), "streams", f"run_{tag}_{os.getpid()}_{int(__import__('time').time())}")
+    stream_ingest(spark, src, os.path.join(base, "sink"), glob="part-*.csv",
+                  checkpoint=os.path.join(base, "ckpt"))
+    return round_doubles(spark.read.parquet(os.path.join(base, "sink")).drop("year"))
