@@ -129,8 +129,8 @@ def triple_barrier(df: DataFrame, t: int = 10, pt: float = 3.5, sl: float = 2.0,
     up = F.col("close") * (1 + pt * F.col("_trgt"))
     lo = F.col("close") * (1 - sl * F.col("_trgt"))
     hit = F.filter("_path", lambda e: (e["c"] >= up) | (e["c"] <= lo))
-    first = F.element_at(hit, 1)
-    last = F.element_at("_path", -1)
+    first = F.try_element_at(hit, F.lit(1))
+    last = F.try_element_at(F.col("_path"), F.lit(-1))
     exit_c = F.coalesce(first["c"], last["c"])
     r = safe_ln(safe_div(exit_c, F.col("close")))
     label = F.when(first.isNotNull(), F.when(first["c"] >= up, F.lit(1.0)).otherwise(F.lit(-1.0))) \

@@ -643,3 +643,11 @@ def q_stream_ingest(spark, sf_dir):
     stream_ingest(spark, src, os.path.join(base, "sink"), glob="part-*.csv",
                   checkpoint=os.path.join(base, "ckpt"))
     return round_doubles(spark.read.parquet(os.path.join(base, "sink")).drop("year"))
+
+
+@query("triple_barrier")
+def q_triple_barrier(spark, sf_dir):
+    """L-07 (documented intent): first touch of profit-taking / stop-loss /
+    vertical barrier over the next 10 rows (rows-only check)."""
+    x = lab.triple_barrier(_bars(spark, sf_dir), t=10, pt=3.5, sl=2.0)
+    return round_doubles(x.select(*KEY, "tb_label", "tb_ret", "tb_exit"))
