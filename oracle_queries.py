@@ -835,3 +835,18 @@ _FLAGS_OHLCV = f"select ticker, date, {OHLCV_R} from ({bars_sql('flags')}) b"
 QUERIES["ingest"] = _FLAGS_OHLCV
 QUERIES["stream_ingest"] = _FLAGS_OHLCV
 QUERIES["panel_roundtrip"] = _FLAGS_OHLCV + " where date between date '1997-01-01' and date '1999-12-31'"
+
+
+# ------------------------------------------------------------------ set operations, counts, result round trip
+QUERIES["entity_count"] = f"select count(distinct ticker) as n_entities, count(*) as n_entities_rows from ({bars_sql('supplier')}) b" \
+    .replace("as n_entities_rows", "as n_rows")
+QUERIES["ghost_day_list"] = f"""with b as {_bars_n()}
+select distinct date from b except select date from ({_ghost('b')}) g where is_valid"""
+QUERIES["common_dates"] = f"""with n as {_bars_n()}, f as ({bars_sql('flags')})
+select date from ({_ghost('n')}) g where is_valid intersect select date from ({_ghost('f')}) h where is_valid"""
+
+
+@q("results_roundtrip")
+def _():
+    return f"""with {_preds_ctes()}
+select model, target, fold, {_r_all(['RMSE', 'MAE', 'Sharpe'])}, n_rows, 1 as Phase from stats where phase = 1"""

@@ -333,3 +333,32 @@ def panel_metadata(final: DataFrame, period_start: str, period_end: str) -> Data
     return final.agg(F.lit(period_start).cast("date").alias("period_start"),
                      F.lit(period_end).cast("date").alias("period_end"),
                      F.countDistinct("ticker").alias("final_tickers"), F.count(F.lit(1)).alias("final_rows"))
+
+
+# ---------------------------------------------------------------- A-26, U-02 .. U-04, T-06
+def entity_count(df: DataFrame, by: str = "ticker") -> DataFrame:
+    """A-26: distinct entities and rows (``approx_count_distinct`` is the
+    bounded-memory variant for very many entities)."""
+    return df.agg(F.countDistinct(by).alias("n_entities"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def distinct_values(df: DataFrame, col: str) -> DataFrame:
+    """U-02: distinct dates or tickers."""
+    return df.select(col).distinct()
+
+
+def common_keys(a: DataFrame, b: DataFrame, key=("date",)) -> DataFrame:
+    """U-03: keys present in both (INTERSECT, distinct)."""
+    return a.select(*key).intersect(b.select(*key))
+
+
+def complement(a: DataFrame, b: DataFrame, key=("date",)) -> DataFrame:
+    """U-04: keys of ``a`` not in ``b`` (anti join; e.g. ghost days, bad tickers)."""
+    return a.select(*key).distinct().join(b.select(*key), list(key), "left_anti")
+
+
+def sample_rows(df: DataFrame, n: int, seed: int = 42, key=("ticker", "date")) -> DataFrame:
+    """T-06: deterministic seeded sample of ``n`` rows (a preview or a capped
+    estimation sample): rows ordered by a seeded hash of the key, top n.
+    Asking for more rows than exist returns all rows (never raises)."""
+    return df.orderBy(F.xxhash64(*[F.col(k) for k in key], F.lit(seed))).limit(n)

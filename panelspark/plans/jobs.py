@@ -79,3 +79,78 @@ def feature_table(panel: DataFrame, legacy_roles: bool = False, **kw):
     x, dropped = RL.drop_sparse_columns(x)
     targets, feats = RL.infer_roles(x.columns, legacy=legacy_roles)
     return RL.drop_null_features(x, feats), targets, feats, dropped
+
+
+# ---------------------------------------------------------------- P-05 .. P-08
+from panelspark.operators import metrics as MT  # noqa: E402
+from panelspark.operators import stats as ST  # noqa: E402
+
+
+def exploratory_report(table: DataFrame, target: str = "fwd_log_ret_05", in_sample_end: str = "2016-12-31",
+                       matrix_features: int = 20, bins: int = 10) -> dict[str, DataFrame]:
+    """P-05: in-sample rows -> MI of every EDA feature with the target (sorted,
+    top 20, bands) -> MI matrix and correlations of the first features ->
+    distribution of the MI scores (30 bins) and of the target (50 bins)."""
+    eda = RL.in_sample(table, in_sample_end)
+    feats = RL.eda_features(eda.columns)
+    mi = ST.mi_scores(eda.dropna(subset=[target]), feats, target, bins=bins)
+    first = RL.first_n([c for c in eda.columns if c not in RL.KEY and not any(
+        b in c for b in ("fwd_", "tbm_", "label"))], matrix_features)
+    return {"mi_scores": mi.orderBy(F.desc("mi_score")), "top_features": ST.top_features(mi, 20),
+            "bands": ST.importance_bands(mi), "mi_matrix": ST.mi_matrix(eda, first, bins=bins),
+            "corr_matrix": ST.corr_matrix(eda, first), "mi_distribution": ST.distribution(mi, "mi_score", 30),
+            "target_distribution": ST.distribution(eda, target, 50)}
+
+
+def walk_forward_training(table: DataFrame, phases: dict, features, targets, models=("RandomForest",),
+                          out_path: str | None = None, params: dict | None = None, **kw) -> dict[str, DataFrame]:
+    """P-06: each phase ``{phase: (start, end, n_splits)}`` -> M-10 -> fold
+    summary (A-18) -> result sinks (S-14) and the last available fold's
+    models (S-15)."""
+    from panelspark.operators import models as MD
+    from panelspark.sources import files as FS
+    res, preds, timing = [], [], []
+    for phase, (start, end, n_splits) in phases.items():
+        r, p, t, last = MD.run_phase(table, phase, start, end, features, targets, models, n_splits=n_splits,
+                                     params=params, **kw)
+        res.append(r)
+        timing.append(t)
+        if p is not None:
+            preds.append(p)
+        if out_path:
+            FS.save_models(last, f"{out_path}/models/phase{phase}")
+    results = MT.union_results(*res)
+    stats = results.select("phase", "fold", "model", "target", "RMSE", "MAE", "Sharpe")
+    summary = MT.fold_summary(stats, by=("phase", "model", "target"))
+    out = {"results": results, "summary": summary, "timing": MT.union_results(*timing),
+           "predictions": MT.union_results(*preds) if preds else None}
+    if out_path:
+        FS.write_results(out_path, out["results"], out["predictions"], summary, out["timing"])
+    return out
+
+
+def comparison_report(stats: DataFrame, timing: DataFrame, models=None) -> dict[str, DataFrame]:
+    """P-07: per-fold stats of all phases (U-01 already applied) -> phase
+    comparison, pivots, overall scores, timing tables, overview, efficiency,
+    best models and extremes."""
+    if models:
+        stats, timing = MT.models_in(stats, models), MT.models_in(timing, models)
+    summary = MT.fold_summary(stats, by=("phase", "model", "target"))
+    levels = [r[0] for r in stats.select("model").distinct().orderBy("model").collect()]  # a handful of names
+    t_by_model = MT.time_by_target(timing).groupBy("model").agg(F.avg("seconds_mean").alias("seconds_mean"))
+    return {"phase_comparison": MT.phase_comparison(stats),
+            "sharpe_by_target": MT.pivot_metric(summary, "target", "model", "Sharpe_mean", levels),
+            "overall_score": MT.overall_score(summary, within=("phase",)),
+            "timing_summary": MT.timing_summary(timing), "time_by_target": MT.time_by_target(timing),
+            "box_summary": MT.box_summary(timing), "overview": MT.run_overview(stats),
+            "efficiency": MT.efficiency(summary, timing), "best_model": MT.best_model(stats),
+            "fastest_slowest": MT.extremes(t_by_model, "seconds_mean")}
+
+
+def quality_report(raw: DataFrame, clean: CleanResult) -> dict[str, DataFrame]:
+    """P-08: the tables behind the reference's charts."""
+    return {"lifecycle": Q.lifecycle_histogram(raw), "daily_tickers": Q.data_quality_series(raw),
+            "gap_distribution": ST.distribution(clean.gap_stats, "gap_pct", 50),
+            "top_gaps": Q.top_k(clean.gap_stats, 10, "gap_pct"),
+            "liquidity_funnel": Q.liquidity_funnel(clean.flags),
+            "daily_flags": Q.daily_flag_counts(Q.with_flags(clean.pre_liquidity, clean.flags))}

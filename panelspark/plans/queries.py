@@ -651,3 +651,42 @@ def q_triple_barrier(spark, sf_dir):
     vertical barrier over the next 10 rows (rows-only check)."""
     x = lab.triple_barrier(_bars(spark, sf_dir), t=10, pt=3.5, sl=2.0)
     return round_doubles(x.select(*KEY, "tb_label", "tb_ret", "tb_exit"))
+
+
+# ------------------------------------------------------------------ set operations, counts, sampling, result round trip
+@query("entity_count")
+def q_entity_count(spark, sf_dir):
+    return Q.entity_count(_bars(spark, sf_dir))
+
+
+@query("ghost_day_list")
+def q_ghost_day_list(spark, sf_dir):
+    """U-04: all trading days minus the valid ones (the ghost days)."""
+    b = _bars(spark, sf_dir, "nation")
+    return Q.complement(Q.distinct_values(b, "date"), Q.valid_days(b))
+
+
+@query("common_dates")
+def q_common_dates(spark, sf_dir):
+    """U-03: dates traded in both the nation and the flags panel after ghost-day removal."""
+    n, f = _bars(spark, sf_dir, "nation"), _bars(spark, sf_dir, "flags")
+    return Q.common_keys(Q.valid_days(n), Q.valid_days(f))
+
+
+@query("sample_preview")
+def q_sample_preview(spark, sf_dir):
+    """T-06: seeded 25-row preview of the feature table (the limit is the feature)."""
+    return round_doubles(Q.sample_rows(global_feature_table(_bars(spark, sf_dir)), 25, seed=42))
+
+
+@query("results_roundtrip")
+def q_results_roundtrip(spark, sf_dir):
+    """S-14 / S-16: fold statistics written as a result table and loaded back with a Phase column."""
+    tag = re.sub(r"[^A-Za-z0-9]+", "_", sf_dir.strip("/"))
+    path = os.path.join(checkpoint_dir(spark), "results", f"run_{tag}")
+    stats = fold_stats(spark, sf_dir).filter("phase = 1").drop("phase")
+    FS.write_results(path, summary=stats)
+    schema = "model string, target string, fold int, RMSE double, MAE double, Sharpe double, n_rows long"
+    back = FS.load_results(spark, f"{path}/summary", schema, 1)
+    missing = FS.load_results(spark, f"{path}/does_not_exist", schema, 2)
+    return round_doubles(back.unionByName(missing))
