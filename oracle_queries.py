@@ -850,3 +850,45 @@ select date from ({_ghost('n')}) g where is_valid intersect select date from ({_
 def _():
     return f"""with {_preds_ctes()}
 select model, target, fold, {_r_all(['RMSE', 'MAE', 'Sharpe'])}, n_rows, 1 as Phase from stats where phase = 1"""
+
+
+# ------------------------------------------------------------------ flagship: the whole feature table
+_FT_PARTS = {
+    "ret_basic": [f"{p}_{t}" for t in IV for p in ("ret", "log_ret")],
+    "rank_pct": [f"ret_rel_perc_{t}" for t in IV],
+    "calendar": ["month", "day", "weekday_sin", "weekday_cos"],
+    "rsi": ["RSI"], "atr_natr": ["NATR"], "bollinger": ["bbu", "bbl"], "ibs": ["ibs"],
+    "parkinson": [f"parkinson_{k}" for k in IV], "vam": [f"vam_{k}" for k in IV],
+    "momentum_ratio": [f"mom_ratio_{k}" for k in IV], "variance_ratio": [f"var_ratio_{k}" for k in IV if k > 1],
+    "frac_ret": [f"frac_ret_{t}" for t in IV],
+    "fwd_returns": [f"{p}_{t:02}" for t in IV for p in ("fwd_ret", "fwd_log_ret")],
+    "fwd_vola": [f"fwd_vola_{t:02}" for t in IV if t > 1], "dl_label": [f"dl_label_{t:02}" for t in IV],
+    "vertical_barrier": [f"{p}_{t:02}" for t in IV for p in ("tbm_label", "tbm_ret")],
+}
+_FEATURES40 = [c for k in ("ret_basic", "rank_pct", "calendar", "rsi", "atr_natr", "bollinger", "ibs", "parkinson",
+                           "vam", "momentum_ratio", "variance_ratio", "frac_ret") for c in _FT_PARTS[k]]
+_TARGETS15 = [c for k in ("fwd_returns", "fwd_vola", "dl_label") for c in _FT_PARTS[k]]
+
+
+def _feature_table_sql() -> str:
+    joins, cols = [], []
+    for i, (name, cs) in enumerate(_FT_PARTS.items()):
+        joins.append(f"left join ({QUERIES[name]}) p{i} on p{i}.ticker = k.ticker and p{i}.date = k.date")
+        cols += [f"p{i}.{c} as {c}" for c in cs]
+    nonnull = " + ".join(f"(case when {c} is not null then 1 else 0 end)" for c in _FEATURES40 + _TARGETS15)
+    return f"""select * from (
+  select k.ticker, k.date, {', '.join(cols)}
+  from (select ticker, date from {_sup()} b) k {' '.join(joins)}) t
+where {nonnull} >= {int(0.5 * (len(_FEATURES40) + len(_TARGETS15)))}"""
+
+
+QUERIES["feature_table"] = _feature_table_sql()
+# model_table drops data-dependent columns (F-07): no static SQL; column_fill checks the rule instead.
+QUERIES["column_fill"] = "select * from (" + " union all ".join(
+    f"select '{c}' as \"column\", count({c}) as non_null, count(*) as rows, "
+    f"count({c}) >= cast(floor(0.5 * count(*)) as bigint) as keep from ft" for c in _FEATURES40 + _TARGETS15) + ") u"
+QUERIES["column_fill"] = f"with ft as ({_feature_table_sql()}) " + QUERIES["column_fill"]
+QUERIES["null_feature_report"] = f"""select count(*) as rows,
+  cast(count_if({' or '.join(f'{c} is null' for c in _FEATURES40)}) as bigint) as rows_with_null_features,
+  {r(f"count_if({' or '.join(f'{c} is null' for c in _FEATURES40)}) * 100.0 / count(*)", 'removed_pct')}
+from ({_feature_table_sql()}) f"""

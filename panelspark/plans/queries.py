@@ -690,3 +690,14 @@ def q_results_roundtrip(spark, sf_dir):
     back = FS.load_results(spark, f"{path}/summary", schema, 1)
     missing = FS.load_results(spark, f"{path}/does_not_exist", schema, 2)
     return round_doubles(back.unionByName(missing))
+
+
+@query("column_fill")
+def q_column_fill(spark, sf_dir):
+    """F-07 rule on the feature table: non-NULL count per column and whether it is kept."""
+    x = global_feature_table(_bars(spark, sf_dir))
+    cols = [c for c in x.columns if c not in KEY and not c.startswith("tbm_")]  # the 55 as-run columns
+    row = RL.column_fill(x, cols)
+    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("non_null")) for c in cols]))
+    return row.select(stack.alias("s"), F.col("_rows").alias("rows")).select(
+        "s.column", "s.non_null", "rows", (F.col("s.non_null") >= F.floor(F.col("rows") * 0.5)).alias("keep"))
