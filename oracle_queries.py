@@ -220,9 +220,21 @@ def _frac_sql():
     return " + ".join(terms)
 
 
+def _frac_two_level_sql(src: str) -> str:
+    """The same 100-tap filter summed as 10 partial sums of 10 taps (the Spark
+    association), so both engines perform identical floating-point steps."""
+    ws = _frac_weights()
+    parts = []
+    for a in range(10):
+        terms = [f"{ws[a * 10]!r} * close"] + [f"{ws[a * 10 + b]!r} * lag(close, {b}) {W}" for b in range(1, 10)]
+        parts.append(f"({' + '.join(terms)}) as u{a}")
+    total = " + ".join(["u0"] + [f"lag(u{a}, {a * 10}) {W}" for a in range(1, 10)])
+    return f"select ticker, date, {total} as fd from (select ticker, date, {', '.join(parts)} from {src} b) p"
+
+
 @q("fracdiff")
 def _():
-    return f"select ticker, date, {r(_frac_sql(), 'frac_diff')} from {_sup()} b"
+    return f"select ticker, date, {r('fd', 'frac_diff')} from ({_frac_two_level_sql(_sup())}) x"
 
 
 @q("frac_ret")

@@ -189,19 +189,48 @@ def frac_weights(d: float = 0.4, width: int = 100) -> list[float]:
     return w
 
 
+def frac_partials(price: str, w: Window, ws: list[float], block: int = 10, prefix: str = "_fu") -> list[Column]:
+    """First level of the fixed-width filter: u_a(i) = sum_b w[a*block+b] * price(i-b).
+
+    sum_j w_j price(i-j) = sum_a u_a(i - a*block). Splitting the 100 taps into
+    10 x 10 needs 9 lags of the price here and 9 lags of the partial sums in
+    the second level: 18 distinct offset frames instead of 99 (each window
+    frame carries its own per-partition set-up)."""
+    lags = [F.col(price)] + [F.lag(price, b).over(w) for b in range(1, block)]
+    parts = []
+    for a in range((len(ws) + block - 1) // block):
+        expr = None
+        for b in range(block):
+            j = a * block + b
+            if j >= len(ws):
+                break
+            term = F.lit(ws[j]) * lags[b]
+            expr = term if expr is None else expr + term
+        parts.append(expr.alias(f"{prefix}{a}"))
+    return parts
+
+
+def frac_combine(w: Window, n_parts: int, block: int = 10, prefix: str = "_fu") -> Column:
+    """Second level: sum_a u_a(i - a*block) (NULL until every tap exists)."""
+    expr = F.col(f"{prefix}0")
+    for a in range(1, n_parts):
+        expr = expr + F.lag(f"{prefix}{a}", a * block).over(w)
+    return expr
+
+
 def frac_diff(df: DataFrame, d: float = 0.4, width: int = 100, mode: str = "binomial",
-              price: str = "close", out: str = "frac_diff") -> DataFrame:
+              price: str = "close", out: str = "frac_diff", block: int = 10) -> DataFrame:
     """Fixed-width fractional difference sum_j w_j * close(i-j), j < width
-    (NULL until ``width`` rows exist). ``mode="first_difference"`` gives the
-    reference's as-run behaviour, close(i) - close(i-1)."""
+    (NULL until ``width`` rows exist), as a two-level sum (``frac_partials``).
+    ``mode="first_difference"`` gives the reference's as-run behaviour,
+    close(i) - close(i-1)."""
     w = _w()
     if mode == "first_difference":
         return df.withColumn(out, F.col(price) - F.lag(price, 1).over(w))
     ws = frac_weights(d, width)
-    expr = F.lit(ws[0]) * F.col(price)
-    for j in range(1, width):
-        expr = expr + F.lit(ws[j]) * F.lag(price, j).over(w)
-    return df.withColumn(out, expr)
+    parts = frac_partials(price, w, ws, block)
+    x = df.select("*", *parts)
+    return x.withColumn(out, frac_combine(w, len(parts), block)).drop(*[f"_fu{a}" for a in range(len(parts))])
 
 
 def frac_returns(df: DataFrame, intervals=INTERVALS, src: str = "frac_diff", drop_src: bool = True,
@@ -302,13 +331,10 @@ def feature_label_block(panel: DataFrame, intervals=INTERVALS, frac_width: int =
         fr = trailing(w, k)
         a.append(F.sqrt(F.when(F.count(lr2).over(fr) >= k, F.avg(lr2).over(fr)) / const).alias(f"parkinson_{k}"))
     if frac_mode == "first_difference":
-        a.append((close - lagc[1]).alias("_fd"))
+        parts = [(close - lagc[1]).alias("_fu0")]
     else:
-        ws = frac_weights(frac_d, frac_width)
-        fd = F.lit(ws[0]) * close
-        for j in range(1, frac_width):
-            fd = fd + F.lit(ws[j]) * F.lag("close", j).over(w)
-        a.append(fd.alias("_fd"))
+        parts = frac_partials("close", w, frac_weights(frac_d, frac_width))
+    a += parts
     for t in intervals:
         fr_ = safe_div(F.lead("close", t).over(w), close)
         a += [(fr_ - 1).alias(f"fwd_ret_{t:02}"), safe_ln(fr_).alias(f"fwd_log_ret_{t:02}")]
@@ -341,8 +367,7 @@ def feature_label_block(panel: DataFrame, intervals=INTERVALS, frac_width: int =
             vk = F.when(F.count(lrk).over(fr) >= k, F.var_samp(lrk).over(fr))
             v1 = F.when(F.count(lr1).over(fr) >= k, F.var_samp(lr1).over(fr))
             b.append(clip(safe_div(vk, v1 * k), 0, 5).alias(f"var_ratio_{k}"))
-    for t in intervals:
-        b.append((safe_div(F.col("_fd"), F.lag("_fd", t).over(w)) - 1).alias(f"frac_ret_{t}"))
+    b.append(frac_combine(w, len(parts)).alias("_fd"))
     f20 = trailing(w, 20)
     cur = F.when(F.count(r1).over(f20) == 20, F.stddev_samp(r1).over(f20))
     for t in intervals:
@@ -353,10 +378,11 @@ def feature_label_block(panel: DataFrame, intervals=INTERVALS, frac_width: int =
     if barriers:
         fv = trailing(w, vol_n)
         b.append(F.when(F.count(r1).over(fv) == vol_n, F.stddev_samp(r1).over(fv)).alias("_vol"))
-    xb = xa.select(*b).drop("_fd", "_i")
+    xb = xa.select(*b).drop("_i", *[f"_fu{j}" for j in range(len(parts))])
     # ---- stage C: one-row lag of the barrier volatility + plain projections
-    c = [F.col(x) for x in xb.columns if x not in ("_G", "_L", "_atr", "_up", "_lo", "_vol", "_r1", "_lr1")
+    c = [F.col(x) for x in xb.columns if x not in ("_G", "_L", "_atr", "_up", "_lo", "_vol", "_r1", "_lr1", "_fd")
          and not x.startswith("_c1_")]
+    c += [(safe_div(F.col("_fd"), F.lag("_fd", t).over(w)) - 1).alias(f"frac_ret_{t}") for t in intervals]
     G, L, atr = F.col("_G"), F.col("_L"), F.col("_atr")
     c += [F.when(G + L == 0, F.lit(0.0)).otherwise(100.0 * safe_div(G, G + L)).alias("RSI"),
           F.when(close == 0, F.when(atr.isNotNull(), F.lit(0.0))).otherwise(100.0 * atr / close).alias("NATR"),
