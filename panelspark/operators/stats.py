@@ -19,8 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+import uuid
+
 from panelspark.functions import clip, safe_div
 from panelspark.functions.quantiles import exact_quantiles
+from panelspark.session import cut_lineage
 
 CLIP = 1e10
 
@@ -57,7 +60,9 @@ def mi_scores(df: DataFrame, features, target: str, bins: int = 10, min_obs: int
     for i, f in enumerate(features):
         ok = F.col(f).isNotNull() & y.isNotNull()
         cols += [F.when(ok, clip(f, -CLIP, CLIP)).alias(f"x{i}"), F.when(ok, clip(y, -CLIP, CLIP)).alias(f"y{i}")]
-    x = df.select(*cols)
+    # the narrow input feeds several passes (quantile rounds, joint counts):
+    # written once under the checkpoint folder instead of recomputed each time
+    x = cut_lineage(df.select(*cols), f"mi_input_{uuid.uuid4().hex}")
     splits = exact_quantiles(x, [c for i in range(len(features)) for c in (f"x{i}", f"y{i}")], probs)
     recs = [F.struct(F.lit(i).alias("k"), _bin(F.col(f"x{i}"), [s for s in splits[f"x{i}"] if s is not None]).alias("a"),
                      _bin(F.col(f"y{i}"), [s for s in splits[f"y{i}"] if s is not None]).alias("b"))
@@ -93,7 +98,8 @@ def mi_matrix(df: DataFrame, features, bins: int = 10, min_obs: int = 100) -> Da
     complete = F.lit(True)
     for f in features:
         complete = complete & F.col(f).isNotNull()
-    x = df.filter(complete).select(*[clip(f, -CLIP, CLIP).alias(f"c{i}") for i, f in enumerate(features)])
+    x = cut_lineage(df.filter(complete).select(*[clip(f, -CLIP, CLIP).alias(f"c{i}") for i, f in enumerate(features)]),
+                    f"mi_matrix_input_{uuid.uuid4().hex}")
     splits = exact_quantiles(x, [f"c{i}" for i in range(len(features))], [k / bins for k in range(1, bins)])
     b = x.select(*[_bin(F.col(f"c{i}"), [s for s in splits[f"c{i}"] if s is not None]).alias(f"b{i}")
                    for i in range(len(features))])
