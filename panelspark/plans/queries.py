@@ -529,6 +529,7 @@ def q_histogram(spark, sf_dir):
 
 # ------------------------------------------------------------------ Spark ML (M-02, M-05 .. M-14): rows-only checks
 import re  # noqa: E402
+import uuid  # noqa: E402
 
 from panelspark.operators import models as ML  # noqa: E402
 from panelspark.session import cut_lineage  # noqa: E402
@@ -542,7 +543,7 @@ def _model_table(spark, sf_dir):
     the iterative fits scan Parquet instead of recomputing every window."""
     x, targets, feats, _ = feature_table(_bars(spark, sf_dir))
     tag = re.sub(r"[^A-Za-z0-9]+", "_", sf_dir.strip("/"))
-    x = cut_lineage(x, f"model_table_{tag}")
+    x = cut_lineage(x, f"model_table_{tag}_{uuid.uuid4().hex[:12]}")  # unique: earlier results stay readable
     return x, [t for t in targets if t in ML_TARGETS], [f for f in feats]
 
 
@@ -611,7 +612,7 @@ def _price_tree(spark, sf_dir):
     """Raw-format price files derived from the driver tables (one folder per
     ticker), written under the checkpoint folder."""
     tag = re.sub(r"[^A-Za-z0-9]+", "_", sf_dir.strip("/"))
-    path = os.path.join(checkpoint_dir(spark), "fixtures", f"price_files_{tag}")
+    path = os.path.join(checkpoint_dir(spark), "fixtures", f"price_files_{tag}_{uuid.uuid4().hex[:12]}")
     FS.write_price_files(_bars(spark, sf_dir, "flags"), path)
     return path
 
@@ -630,7 +631,7 @@ def q_file_audit(spark, sf_dir):
 def q_panel_roundtrip(spark, sf_dir):
     """S-12 / S-13: write the panel partitioned by year, read one range back (pruned)."""
     tag = re.sub(r"[^A-Za-z0-9]+", "_", sf_dir.strip("/"))
-    path = os.path.join(checkpoint_dir(spark), "tables", f"panel_{tag}")
+    path = os.path.join(checkpoint_dir(spark), "tables", f"panel_{tag}_{uuid.uuid4().hex[:12]}")
     FS.write_panel(_bars(spark, sf_dir, "flags"), path)
     return round_doubles(FS.read_panel(spark, path, "1997-01-01", "1999-12-31"))
 
@@ -639,7 +640,7 @@ def q_panel_roundtrip(spark, sf_dir):
 def q_stream_ingest(spark, sf_dir):
     tag = re.sub(r"[^A-Za-z0-9]+", "_", sf_dir.strip("/"))
     src = _price_tree(spark, sf_dir)
-    base = os.path.join(checkpoint_dir(spark), "streams", f"run_{tag}_{os.getpid()}_{int(__import__('time').time())}")
+    base = os.path.join(checkpoint_dir(spark), "streams", f"run_{tag}_{uuid.uuid4().hex[:12]}")
     stream_ingest(spark, src, os.path.join(base, "sink"), glob="part-*.csv",
                   checkpoint=os.path.join(base, "ckpt"))
     return round_doubles(spark.read.parquet(os.path.join(base, "sink")).drop("year"))
@@ -683,7 +684,7 @@ def q_sample_preview(spark, sf_dir):
 def q_results_roundtrip(spark, sf_dir):
     """S-14 / S-16: fold statistics written as a result table and loaded back with a Phase column."""
     tag = re.sub(r"[^A-Za-z0-9]+", "_", sf_dir.strip("/"))
-    path = os.path.join(checkpoint_dir(spark), "results", f"run_{tag}")
+    path = os.path.join(checkpoint_dir(spark), "results", f"run_{tag}_{uuid.uuid4().hex[:12]}")
     stats = fold_stats(spark, sf_dir).filter("phase = 1").drop("phase")
     FS.write_results(path, summary=stats)
     schema = "model string, target string, fold int, RMSE double, MAE double, Sharpe double, n_rows long"
