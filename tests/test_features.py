@@ -151,3 +151,26 @@ def test_triple_barrier_first_touch(spark):
     x = LB.triple_barrier(df, t=3, pt=1.0, sl=1.0, vol_n=50, min_ret=0.0).orderBy("date").collect()
     r = x[55]
     assert r["tb_label"] == 1.0 and r["tb_exit"] == d(56)
+
+
+def test_long_series_blocked_wilder(spark):
+    closes = walk(700, seed=11)
+    df = make_panel(spark, {"L": closes})
+    a = round_doubles(FE.technical_indicators(df, keep_atr=True, long_series=False), 9)
+    b = round_doubles(FE.technical_indicators(df, keep_atr=True, long_series=True), 9)
+    assert a.exceptAll(b).count() == 0
+    f1 = round_doubles(FE.feature_label_block(df, frac_width=20, long_series=False), 9)
+    f2 = round_doubles(FE.feature_label_block(df, frac_width=20, long_series=True), 9)
+    assert f1.exceptAll(f2).count() == 0
+
+
+def test_blocked_wilder_carries_across_blocks(spark):
+    from panelspark.functions import wilder_blocked
+    rnd = random.Random(4)
+    xs = [abs(rnd.gauss(1, 1)) for _ in range(1500)]
+    df = spark.createDataFrame([("A", i, x, i) for i, x in enumerate(xs)], "ticker string, date int, x double, _i int")
+    got = [r["y"] for r in wilder_blocked(df, {"x": "y"}, "_i", 14, block=128).orderBy("date").collect()]
+    ref = _wilder_loop(xs)
+    assert got[:14] == [None] * 14
+    for g, e in zip(got[14:], ref[14:]):
+        assert g == pytest.approx(e, rel=1e-12)
