@@ -109,6 +109,8 @@ def wilder_blocked(df: DataFrame, cols: dict, idx: str, n: int = 14, block: int
     exact in double precision. Block 0 holds the seed exactly as ``wilder``.
     """
     a = n / (n - 1.0)
+    if a ** -block > 1e-17 or a ** block > 1e300:
+        raise ValueError(f"block={block} must make a^-block negligible and a^block finite (n={n})")
     i = F.col(idx).cast("double")
     blk = F.floor(F.col(idx) / block)
     base = (blk * block).cast("double")

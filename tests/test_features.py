@@ -167,10 +167,12 @@ def test_long_series_blocked_wilder(spark):
 def test_blocked_wilder_carries_across_blocks(spark):
     from panelspark.functions import wilder_blocked
     rnd = random.Random(4)
-    xs = [abs(rnd.gauss(1, 1)) for _ in range(1500)]
+    xs = [abs(rnd.gauss(1, 1)) for _ in range(1900)]
     df = spark.createDataFrame([("A", i, x, i) for i, x in enumerate(xs)], "ticker string, date int, x double, _i int")
-    got = [r["y"] for r in wilder_blocked(df, {"x": "y"}, "_i", 14, block=128).orderBy("date").collect()]
+    got = [r["y"] for r in wilder_blocked(df, {"x": "y"}, "_i", 14, block=600).orderBy("date").collect()]
     ref = _wilder_loop(xs)
     assert got[:14] == [None] * 14
     for g, e in zip(got[14:], ref[14:]):
         assert g == pytest.approx(e, rel=1e-12)
+    with pytest.raises(ValueError):
+        wilder_blocked(df, {"x": "y"}, "_i", 14, block=128)
