@@ -75,6 +75,9 @@ def rolling(agg_fn, x, w: Window, k: int, min_periods: int | None = None) -> Col
     return F.when(F.count(col(x)).over(frame) >= need, agg_fn(col(x)).over(frame))
 
 
+SAFE_WILDER_ROWS = 9000
+
+
 def wilder(x, idx, w: Window, n: int = 14) -> Column:
     """Wilder smoothing as a single running sum (no recursion).
 
@@ -91,10 +94,10 @@ def wilder(x, idx, w: Window, n: int = 14) -> Column:
          .when(i <= n, F.pow(F.lit(a), F.lit(float(n))) * x / n) \
          .otherwise(F.pow(F.lit(a), i) * x / n)
     run = F.sum(z).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return F.when(i >= n, run * F.pow(F.lit(a), -i))
-
-
-SAFE_WILDER_ROWS = 9000
+    # never a silently wrong value: past the safe length the job fails with a hint
+    too_long = F.raise_error(F.lit(f"series longer than {SAFE_WILDER_ROWS} rows: use long_series=True "
+                                   "(blocked Wilder form)"))
+    return F.when(i > SAFE_WILDER_ROWS, too_long.cast("double")).when(i >= n, run * F.pow(F.lit(a), -i))
 
 
 def wilder_blocked(df: DataFrame, cols: dict, idx: str, n: int = 14, block: int = 4096,

@@ -87,14 +87,15 @@ def _long(df: DataFrame, long_series: bool | None) -> bool:
 
 
 def technical_indicators(df: DataFrame, n: int = 14, bb_n: int = 20, bb_k: float = 2.0,
-                         keep_atr: bool = False, long_series: bool | None = None) -> DataFrame:
+                         keep_atr: bool = False, long_series: bool | None = False) -> DataFrame:
     """RSI(n), NATR(n) with Wilder smoothing; Bollinger ratios ``bbu``, ``bbl``.
 
     RSI = 100*G/(G+L) (0 when G+L = 0), first value at row n. ATR over the true
     range max(h-l, |h-c'|, |l-c'|); NATR = 100*ATR/close (0 when close is 0).
-    Bollinger: mean +- k * population std over bb_n rows. Series longer than
-    ``SAFE_WILDER_ROWS`` use the blocked Wilder form (auto-detected when
-    ``long_series`` is None).
+    Bollinger: mean +- k * population std over bb_n rows. The single running
+    sum holds for series up to ``SAFE_WILDER_ROWS`` rows (longer ones fail the
+    job with a hint); ``long_series=True`` uses the blocked form for any
+    length, ``None`` decides with one aggregate of rows per ticker.
     """
     w = _w()
     long_series = _long(df, long_series)
@@ -290,7 +291,7 @@ def global_features(panel: DataFrame, intervals=INTERVALS, frac_width: int = 100
 def feature_label_block(panel: DataFrame, intervals=INTERVALS, frac_width: int = 100, frac_d: float = 0.4,
                         frac_mode: str = "binomial", n: int = 14, bb_n: int = 20, vol_n: int = 50,
                         min_ret: float = 0.005, barriers: bool = True, rank: bool = True,
-                        long_series: bool | None = None) -> DataFrame:
+                        long_series: bool | None = False) -> DataFrame:
     """Every feature and label of the reference in three per-ticker window
     stages plus the cross-sectional rank; same definitions as the individual
     operators of this module and of ``labels`` (checked against them in tests).

@@ -41,6 +41,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _DEC = "decimal(38,0)"
 
 
+_WIDTHS_CACHE: dict = {}
+
+
+def _table_stamp(spark: SparkSession, path: str):
+    """(path, length, modification time) of a table through the Hadoop FileSystem API."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    cs = fs.getContentSummary(p)
+    return path, int(cs.getLength()), int(fs.getFileStatus(p).getModificationTime())
+
+
+def cached_packed_widths(spark: SparkSession, path: str, lineitem: DataFrame) -> list[int] | None:
+    """``packed_order_widths`` once per table version (path, size, mtime)."""
+    key = _table_stamp(spark, path)
+    if key not in _WIDTHS_CACHE:
+        _WIDTHS_CACHE[key] = packed_order_widths(lineitem)
+    return _WIDTHS_CACHE[key]
+
+
 def packed_order_widths(lineitem: DataFrame) -> list[int] | None:
     """Digit widths of the six order fields when packing them into one
     DECIMAL(38,0) is exact and order-preserving, else None (one aggregate row)."""
@@ -137,7 +157,7 @@ def bars_from_lineitem(spark: SparkSession, sf_dir: str, panel: str = "flags", p
     li = read_table(spark, sf_dir, "lineitem")
     if panel not in PANELS:
         raise ValueError(f"unknown panel {panel!r}; expected one of {PANELS}")
-    widths = packed_order_widths(li) if packed is not False else None
+    widths = cached_packed_widths(spark, os.path.join(sf_dir, "lineitem.parquet"), li) if packed is not False else None
     if widths:
         trades = _packed_trades(li, widths)
         if panel == "flags":

@@ -176,3 +176,11 @@ def test_blocked_wilder_carries_across_blocks(spark):
         assert g == pytest.approx(e, rel=1e-12)
     with pytest.raises(ValueError):
         wilder_blocked(df, {"x": "y"}, "_i", 14, block=128)
+
+
+def test_wilder_guard_fails_loudly(spark):
+    from panelspark.functions import SAFE_WILDER_ROWS, ticker_window, wilder
+    n = SAFE_WILDER_ROWS + 50
+    df = spark.createDataFrame([("A", i, 1.0, i) for i in range(n)], "ticker string, date int, x double, _i int")
+    with pytest.raises(Exception, match="long_series=True"):
+        df.select(wilder("x", "_i", ticker_window("ticker", "date"), 14).alias("y")).collect()
