@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelspark.llm.common import flat_list, mix, read_table, scratch_table
 from panelspark.llm.graph import connected_components
@@ -185,5 +185,23 @@ def near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int = 80) -
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def drop_near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id, and of rows that share it one.
+
+    Rows without doc_id and documents without words are no one's duplicates and stay.
+    """
+    found = scratch_table(near_duplicates(docs, shingle_size, percent), "groups")
+    rows = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    out = rows.filter("not kept").select(F.col("doc_id").alias("_out"))
+    once = docs.join(out, F.col("doc_id").cast("long") == F.col("_out"), "left_anti")
+    twice = rows.filter("kept and n > 1").select(F.col("doc_id").alias("_twice"))
+    if twice.isEmpty():
+        return once
+    marked = once.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text")).join(twice, F.col("_id") == F.col("_twice"), "left")
+    first = W.partitionBy("_id").orderBy("_text")
+    some = marked.filter("_twice is not null").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    return marked.filter("_twice is null").select("row.*").union(some.select("row.*"))
+
+
 def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle_size=2)

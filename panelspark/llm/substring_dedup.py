@@ -23,7 +23,7 @@ from functools import cmp_to_key
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from panelspark.llm.common import chunks, prefix_hash, read_table, span_hash, text_bytes
 
@@ -378,7 +378,15 @@ def _anchor_offsets(data, src, size, shape: _Shape) -> np.ndarray:
     return place
 
 
-def _finish(shape: _Shape):
+def _whole_characters(data: np.ndarray, removed: np.ndarray) -> np.ndarray:
+    """``removed`` widened to all bytes of each character that lost one."""
+    first = (data & 0xC0) != 0x80
+    first[:1] = True
+    at = np.flatnonzero(first)
+    return np.repeat(np.logical_or.reduceat(removed, at), np.diff(np.append(at, len(data))))
+
+
+def _finish(shape: _Shape, as_text: bool):
     """A group's documents with the removed byte ranges and the bytes that stay."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         kind = right.column("kind").to_numpy() if len(right) else np.zeros(0, np.int32)
@@ -415,35 +423,34 @@ def _finish(shape: _Shape):
                     np.add.at(edge, w, 1)
                     np.add.at(edge, w + shape.length, -1)
             covered = np.cumsum(edge[:-1]) > 0
-            turn = np.zeros(len(part) + 1, bool)
-            turn[:-1] |= covered
-            inner = turn.copy()
             for a, b in zip(off[:-1], off[1:]):
-                c = inner[a:b]
+                c = covered[a:b]
                 if c.any():
                     d = np.diff(np.concatenate([[0], c.view(np.int8), [0]]))
                     starts.append(np.flatnonzero(d == 1))
                     ends.append(np.flatnonzero(d == -1))
-                    kept.append(part[a:b][~c].tobytes())
+                    kept.append(part[a:b][~(_whole_characters(part[a:b], c) if as_text else c)].tobytes())
                 else:
                     starts.append(np.zeros(0, np.int64))
                     ends.append(np.zeros(0, np.int64))
                     kept.append(part[a:b].tobytes())
         wide = lambda lists: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate(lists).astype(np.int64)))
-        return pa.table([left.column("rest"), wide(starts), wide(ends), pa.array(kept, pa.binary())],
+        return pa.table([left.column("rest"), wide(starts), wide(ends), pa.array(kept, pa.string() if as_text else pa.binary())],
                         names=["rest", "removed_starts", "removed_ends", "kept"])
 
     return run
 
 
 def remove_repeated_strings(docs: DataFrame, length: int = 50, group_bytes: int = GROUP_BYTES,
-                            hot_pieces: int = HOT_PIECES, sort_block: int = SORT_BLOCK) -> DataFrame:
+                            hot_pieces: int = HOT_PIECES, sort_block: int = SORT_BLOCK, as_text: bool = False) -> DataFrame:
     """All columns of ``docs`` but text, and: removed_starts, removed_ends (array<long>: the maximal byte ranges that
     ``length``-byte strings cover which also start in a document with a smaller doc_id), kept (binary: the other bytes).
 
     group_bytes, hot_pieces and sort_block (bytes of a group, pieces from which an anchor counts as frequent, bytes sorted
     at a time) bound memory and don't change the result.
 
+    With ``as_text`` kept is a string without the characters that lost a byte.
+
     Texts are compared as UTF-8 bytes as they come in; a null text is empty; strings never cross documents. A row
     without doc_id counts as the largest document. Rows of one doc_id do not remove each other's bytes. Columns
     other than doc_id and text are carried along whatever their names.
@@ -459,9 +466,9 @@ def remove_repeated_strings(docs: DataFrame, length: int = 50, group_bytes: int
     pieces = table.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_send(shape, groups), _DDL[id(_PIECES)])
     answers = pieces.groupBy("bucket").applyInArrow(_sort_bucket(shape), _DDL[id(_SHARED)])
     out = StructType([StructField("rest", table.schema["rest"].dataType), StructField("removed_starts", ArrayType(LongType())),
-                      StructField("removed_ends", ArrayType(LongType())), StructField("kept", BinaryType())])
+                      StructField("removed_ends", ArrayType(LongType())), StructField("kept", StringType() if as_text else BinaryType())])
     both = shared.filter(F.length("b") > 0).union(answers)
-    done = table.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(_finish(shape), out)
+    done = table.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(_finish(shape, as_text), out)
     return done.select("rest.*", "removed_starts", "removed_ends", "kept")
 
 
