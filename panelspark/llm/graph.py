@@ -16,20 +16,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     edges = scratch_table(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                           .filter("u is not null and v is not null and u <> v").distinct(), "edges")
-    before = None
-    while True:
+    while not edges.isEmpty():
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch_table(both.groupBy("u").agg(F.min("v").alias("m")), "low")
-        large = edges.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low, "u") \
-            .select(F.col("w").alias("u"), F.least("u", "m").alias("v"))
-        # a node without smaller neighbours keeps its larger ones through their own minima
-        star = scratch_table(large.filter("u <> v").distinct(), "large")
-        low = scratch_table(star.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = star.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v") \
-            .union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = scratch_table(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        # every larger neighbour of a node goes to the smallest that the node knows
+        star = scratch_table(edges.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low, "u")
+                             .select(F.col("w").alias("u"), F.least("u", "m").alias("v")).distinct(), "stars")
+        # then all smaller neighbours of a node go to the smallest of them
+        low = star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        edges = scratch_table(star.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+                              .select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct(), "edges")
+        # done when every node has one edge, to a node that has none
+        if edges.select("u").intersect(edges.select("v")).isEmpty() and edges.groupBy("u").count().filter("count > 1").isEmpty():
             break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

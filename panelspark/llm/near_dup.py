@@ -40,43 +40,43 @@ def _signature(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle_size: int = 5) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, set_a, set_b, sig, bands); a null or wordless text has no bands."""
+    """(doc_id, text) -> (doc_id, n_shingles, set_a, set_b, bands); a null or wordless text has no bands."""
     weights = (np.arange(BAND, dtype=np.uint64) * np.uint64(BITS))
     tag = np.arange(BANDS, dtype=np.uint64) << np.uint64(BAND * BITS)
 
     def run(batches):
         for batch in batches:
-            n, keys, sigs, bands, sizes = [], [], [], [], []
+            n, keys, bands, sizes = [], [], [], []
             for s in shingle_sets(batch.column("text"), shingle_size):
                 n.append(len(s))
                 keys.append((mix(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64),
                              np.bitwise_xor.reduce(mix(s + np.uint64(0x27D4EB2F))) if len(s) else np.uint64(0)))
                 sizes.append(1 if len(s) else 0)
                 if len(s):
-                    sig = _signature(s)
-                    sigs.append(sig.view(np.int64))
-                    slots = sig[:BAND * BANDS].reshape(BANDS, BAND).astype(np.uint64)
+                    slots = _signature(s)[:BAND * BANDS].reshape(BANDS, BAND).astype(np.uint64)
                     bands.append(((slots << weights).sum(axis=1, dtype=np.uint64) | tag).view(np.int64))
             k = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
             sizes = np.array(sizes, np.int64)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(np.array(n, np.int64)), pa.array(k[:, 0]), pa.array(k[:, 1]),
-                flat_list(np.concatenate(sigs) if sigs else np.zeros(0, np.int64), sizes * (HASHES * BITS // 64), pa.int64()),
                 flat_list(np.concatenate(bands) if bands else np.zeros(0, np.int64), sizes * BANDS, pa.int64()),
-            ], names=["doc_id", "n_shingles", "set_a", "set_b", "sig", "bands"])
+            ], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, set_a long, set_b long, sig array<long>, bands array<long>")
+        run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def _sets(docs: DataFrame, shingle_size: int) -> DataFrame:
+def _features(docs: DataFrame, shingle_size: int) -> DataFrame:
+    """(doc_id, text) -> (node, sig, members): packed signature and full set, for texts with words."""
     def run(batches):
         for batch in batches:
+            sets = list(shingle_sets(batch.column("text"), shingle_size))
+            sigs = [_signature(s).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), shingle_size)], pa.binary())],
-                names=["node", "members"])
+                [batch.column("doc_id"), flat_list(np.concatenate([np.zeros(0, np.int64), *sigs]), np.array([len(s) for s in sigs], np.int64), pa.int64()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "sig", "members"])
 
-    return docs.mapInArrow(run, "node long, members binary")
+    return docs.mapInArrow(run, "node long, sig array<long>, members binary")
 
 
 def estimate(a: str, b: str):
@@ -85,11 +85,10 @@ def estimate(a: str, b: str):
     return 1.0 - 2.0 * differing / (HASHES * BITS)
 
 
-def _confirm(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
     """(u, v) candidates -> (u, v, linked): those whose estimate comes near the threshold, held against the full sets."""
-    side = lambda t, k, cols: t.select(F.col("node").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in cols])
-    near = pairs.join(side(sigs, "u", ["sig"]), "u").join(side(sigs, "v", ["sig"]), "v") \
-        .filter(estimate("u_sig", "v_sig") >= percent / 100 - MARGIN).select("u", "v")
+    side = lambda k: features.select(F.col("node").alias(k), F.col("sig").alias(f"{k}_sig"), F.col("members").alias(f"{k}_members"))
+    near = pairs.join(side("u"), "u").join(side("v"), "v").filter(estimate("u_sig", "v_sig") >= percent / 100 - MARGIN)
 
     def run(batches):
         for batch in batches:
@@ -100,18 +99,24 @@ def _confirm(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -
                 linked.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_())], names=["u", "v", "linked"])
 
-    return near.join(side(sets, "u", ["members"]), "u").join(side(sets, "v", ["members"]), "v") \
-        .select("u", "v", "u_members", "v_members").mapInArrow(run, "u long, v long, linked boolean")
+    return near.select("u", "v", "u_members", "v_members").mapInArrow(run, "u long, v long, linked boolean")
 
 
-def _across(members: DataFrame, comps: DataFrame, sigs: DataFrame, percent: int, most: int) -> DataFrame:
-    """Candidates between components inside a bucket: each straggler's ``most`` best estimates in each block it meets."""
-    here = members.filter("n > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("key", "node", "comp")
-    per = here.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = scratch_table(per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max("n").alias("top"),
-                                                 F.max_by("comp", F.struct("n", "comp")).alias("main"))
-                          .filter("comps > 1"), "mixed")
-    rows = here.join(mixed, "key").join(sigs.select("node", "sig"), "node")
+def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members (key, node, comp, n, top, main) of the buckets that still hold several components; main is the largest one."""
+    here = members.filter("n > 2").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    mixed = here.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key") \
+        .agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("comp", F.struct("n", "comp")).alias("main")) \
+        .filter("comps > 1").drop("comps")
+    return here.join(scratch_table(mixed, "mixed"), "key")
+
+
+def _across(rows: DataFrame, features: DataFrame, percent: int, most: int) -> DataFrame:
+    """Candidates between components inside a bucket: each straggler's ``most`` best estimates in each block it meets.
+
+    A pair is looked at in the first of the bands that it shares. cut: a straggler had more of them.
+    """
+    rows = scratch_table(rows.join(features.select("node", "sig"), "node"), "rows")
     blocks = lambda t, n, k: t.withColumn(k, F.pmod(F.xxhash64("node"), F.ceil(n / F.lit(BLOCK)))) \
         .groupBy("key", k).agg(F.collect_list(F.struct("node", "comp", "sig")).alias(f"{k}_rows"))
     xs = blocks(rows.filter("comp <> main"), F.col("n") - F.col("top"), "x")
@@ -120,7 +125,7 @@ def _across(members: DataFrame, comps: DataFrame, sigs: DataFrame, percent: int,
     def run(batches):
         for batch in batches:
             out = []
-            for xs, ys in zip(batch.column("x_rows"), batch.column("y_rows")):
+            for key, xs, ys in zip(batch.column("key").to_pylist(), batch.column("x_rows"), batch.column("y_rows")):
                 xs, ys = xs.values, ys.values
                 node, comp = ([np.asarray(t.field(c)) for t in (xs, ys)] for c in ("node", "comp"))
                 sig = [np.asarray(t.field("sig").flatten()).reshape(len(t), -1).view(np.uint64) for t in (xs, ys)]
@@ -129,14 +134,16 @@ def _across(members: DataFrame, comps: DataFrame, sigs: DataFrame, percent: int,
                     differ += np.bitwise_count(sig[0][:, j, None] ^ sig[1][None, :, j])
                 est = 1 - 2 * differ / (HASHES * BITS)
                 est[(comp[0][:, None] == comp[1][None, :]) | (est < percent / 100 - MARGIN)] = -1
+                slots = [t.view(np.uint8).reshape(len(t), HASHES)[:, :BAND * BANDS].reshape(len(t), BANDS, BAND) for t in sig]
                 for i in np.flatnonzero((est >= 0).any(axis=1)):
                     good = np.flatnonzero(est[i] >= 0)
+                    good = good[(slots[1][good] == slots[0][i]).all(axis=2).argmax(axis=1) == key >> BAND * BITS]
                     best = good[np.lexsort((node[1][good], -est[i][good]))][:most]
                     out += [(min(a, b), max(a, b), len(good) > most) for a in (int(node[0][i]),) for b in node[1][best].tolist()]
             u, v, cut = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(cut, pa.bool_())], names=["u", "v", "cut"])
 
-    found = xs.join(ys, "key").select("x_rows", "y_rows").mapInArrow(run, "u long, v long, cut boolean")
+    found = xs.join(ys, "key").select("key", "x_rows", "y_rows").mapInArrow(run, "u long, v long, cut boolean")
     return found.groupBy("u", "v").agg(F.max("cut").alias("cut"))
 
 
@@ -151,26 +158,25 @@ def near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int = 80) -
     """
     base = scratch_table(signatures(docs, shingle_size), "minhash")
     reps = scratch_table(base.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b")
-                         .agg(F.min("doc_id").alias("node")), "reps")
-    nodes = scratch_table(
-        base.filter("n_shingles > 0").alias("b").join(reps.alias("r"), F.expr("b.doc_id = r.node and b.set_a = r.set_a and b.set_b = r.set_b"))
-        .select("r.node", "b.sig", "b.bands"), "nodes")
-    bands = nodes.select("node", F.explode("bands").alias("key"))
+                         .agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")), "reps")
+    bands = reps.select("node", F.explode("bands").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")) \
         .filter("low < high").drop("high")
     members = scratch_table(bands.join(scratch_table(buckets, "buckets"), "key"), "members")
-    near = scratch_table(members.select("node").distinct(), "near")
-    sigs = scratch_table(nodes.select("node", "sig").join(near, "node", "left_semi"), "sigs")
+    near = members.select(F.col("node").alias("near")).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = scratch_table(_sets(text.join(near, text.doc_id == near.node, "left_semi"), shingle_size), "sets")
+    features = scratch_table(_features(text.join(near, text.doc_id == near.near, "left_semi"), shingle_size), "features")
 
     stars = members.filter("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
-    tested = scratch_table(_confirm(stars, sigs, sets, percent), "tested")
+    tested = scratch_table(_confirm(stars, features, percent), "tested")
     comps = connected_components(tested.filter("linked"))
     most = 4
     while True:
-        found = scratch_table(_across(members, comps, sigs, percent, most), "across")
-        fresh = scratch_table(_confirm(found.select("u", "v").join(tested, ["u", "v"], "left_anti"), sigs, sets, percent), "tested")
+        rows = scratch_table(_mixed(members, comps), "mixed")
+        if rows.isEmpty():
+            break
+        found = scratch_table(_across(rows, features, percent, most), "across")
+        fresh = scratch_table(_confirm(found.select("u", "v").join(tested, ["u", "v"], "left_anti"), features, percent), "tested")
         tested = tested.union(fresh)
         if not fresh.filter("linked").isEmpty():
             comps = connected_components(tested.filter("linked"))

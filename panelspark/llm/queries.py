@@ -11,6 +11,7 @@ from panelspark.llm.common import ship_package
 from panelspark.llm.mixing import op7_source_mix
 from panelspark.llm.near_dup import op1_near_duplicates
 from panelspark.llm.packing import op4_packing
+from panelspark.llm.sharding import op10_balanced_shards
 from panelspark.llm.substring_dedup import op5_substring_dedup
 from panelspark.llm.toxicity import op3_toxicity
 
@@ -26,5 +27,5 @@ def _shipped(f: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {f.__name__: _shipped(f) for f in (op1_near_duplicates, op3_toxicity, op4_packing, op5_substring_dedup, op7_source_mix)}
+QUERIES: dict[str, Query] = {f.__name__: _shipped(f) for f in (op1_near_duplicates, op3_toxicity, op4_packing, op5_substring_dedup, op7_source_mix, op10_balanced_shards)}
 ORACLES: dict[str, str] = {}
