@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.llm.common import ship_package
+from panelspark.llm.fingerprints import op8_fingerprints
 from panelspark.llm.mixing import op7_source_mix
 from panelspark.llm.near_dup import op1_near_duplicates
 from panelspark.llm.packing import op4_packing
@@ -27,5 +28,5 @@ def _shipped(f: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {f.__name__: _shipped(f) for f in (op1_near_duplicates, op3_toxicity, op4_packing, op5_substring_dedup, op7_source_mix, op10_balanced_shards)}
+QUERIES: dict[str, Query] = {f.__name__: _shipped(f) for f in (op1_near_duplicates, op3_toxicity, op4_packing, op5_substring_dedup, op7_source_mix, op8_fingerprints, op10_balanced_shards)}
 ORACLES: dict[str, str] = {}
