@@ -8,10 +8,12 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.llm.common import ship_package
+from panelspark.llm.ann import op6_nearest
 from panelspark.llm.fingerprints import op8_fingerprints
 from panelspark.llm.mixing import op7_source_mix
 from panelspark.llm.near_dup import op1_near_duplicates
 from panelspark.llm.packing import op4_packing
+from panelspark.llm.quality import op9_quality
 from panelspark.llm.sharding import op10_balanced_shards
 from panelspark.llm.substring_dedup import op5_substring_dedup
 from panelspark.llm.toxicity import op3_toxicity
@@ -28,5 +30,5 @@ def _shipped(f: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {f.__name__: _shipped(f) for f in (op1_near_duplicates, op3_toxicity, op4_packing, op5_substring_dedup, op7_source_mix, op8_fingerprints, op10_balanced_shards)}
+QUERIES: dict[str, Query] = {f.__name__: _shipped(f) for f in (op1_near_duplicates, op3_toxicity, op4_packing, op5_substring_dedup, op6_nearest, op7_source_mix, op8_fingerprints, op9_quality, op10_balanced_shards)}
 ORACLES: dict[str, str] = {}
