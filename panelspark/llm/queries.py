@@ -16,6 +16,7 @@ from panelspark.llm.packing import op4_packing
 from panelspark.llm.quality import op9_quality
 from panelspark.llm.sharding import op10_balanced_shards
 from panelspark.llm.substring_dedup import op5_substring_dedup
+from panelspark.llm.token_counts import op2_token_counts
 from panelspark.llm.toxicity import op3_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,5 +31,5 @@ def _shipped(f: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {f.__name__: _shipped(f) for f in (op1_near_duplicates, op3_toxicity, op4_packing, op5_substring_dedup, op6_nearest, op7_source_mix, op8_fingerprints, op9_quality, op10_balanced_shards)}
+QUERIES: dict[str, Query] = {f.__name__: _shipped(f) for f in (op1_near_duplicates, op2_token_counts, op3_toxicity, op4_packing, op5_substring_dedup, op6_nearest, op7_source_mix, op8_fingerprints, op9_quality, op10_balanced_shards)}
 ORACLES: dict[str, str] = {}
