@@ -22,6 +22,7 @@ from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
@@ -187,8 +188,7 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 _REPORT = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("anchors", pa.binary()), ("counts", pa.binary())])
 _SHARED = pa.schema([("g", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
-_PIECES = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("keys", pa.binary()), ("contents", pa.binary()), ("docs", pa.binary()),
-                     ("sizes", pa.binary()), ("bytes", pa.binary())])
+_PIECES = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
 _DDL = {id(s): ", ".join(f"{f.name} {t}" for f in s for t in [{"int64": "long", "int32": "int", "binary": "binary"}[str(f.type)]])
         for s in (_REPORT, _SHARED, _PIECES)}
 
@@ -270,13 +270,13 @@ def _send(shape: _Shape, buckets: int):
         data = np.concatenate(texts)
         _, one = np.unique(contents, return_index=True)  # documents ascend: the first is the smallest
         g = left.column("g")[0].as_py()
+        squeeze = zstandard.ZstdCompressor(level=1)  # pieces overlap, so their bytes are most of what moves
         out = []
         for b, i in _by_bucket((keys[one] % np.uint64(buckets)).astype(np.int64)):
             i = one[i]
-            i = i[np.argsort(keys[i], kind="stable")]
             n = sizes[i]
             take = np.repeat(where[i] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            out.append((b, g, keys[i].tobytes(), contents[i].tobytes(), docs[i].tobytes(), n.astype(np.uint8).tobytes(), data[take].tobytes()))
+            out.append((b, g, docs[i].tobytes(), n.astype(np.uint8).tobytes(), squeeze.compress(data[take].tobytes())))
         return _table(_PIECES, out)
 
     return run
@@ -310,11 +310,12 @@ def smallest_documents(data: np.ndarray, start: np.ndarray, size: np.ndarray, do
 def _sort_bucket(shape: _Shape):
     """A suffix bucket's answers: for each group and piece, the windows that start in a smaller document (kind 1)."""
     def run(table: pa.Table) -> pa.Table:
-        key, content = _bytes(table.column("keys"), np.uint64), _bytes(table.column("contents"), np.uint64)
         doc, size = _bytes(table.column("docs"), np.int64), _bytes(table.column("sizes"), np.uint8).astype(np.int64)
-        data = _bytes(table.column("bytes"), np.uint8)
+        grow = zstandard.ZstdDecompressor()
+        data = np.concatenate([np.frombuffer(grow.decompress(b.as_buffer()), np.uint8) for b in table.column("bytes")])
         start = np.cumsum(size) - size
-        who = np.repeat(np.arange(len(table)), [len(b.as_buffer()) // 8 for b in table.column("keys")])
+        content, key, lead = _identify(data, start, size, shape)
+        who = np.repeat(np.arange(len(table)), [len(b.as_buffer()) for b in table.column("sizes")])
         g = table.column("g").to_pylist()
         order = np.lexsort([doc, content, key])
         k, c = key[order], content[order]
@@ -341,10 +342,9 @@ def _sort_bucket(shape: _Shape):
             for _, i in _by_bucket(block):
                 t = todo[i]
                 src, n = start[one[t]], size[one[t]]
-                lead = _anchor_offsets(data, src, n, shape)
                 room = n + PERIOD
                 to = np.cumsum(room) - room
-                to += (-(to + lead)) % PERIOD  # the anchors stand on multiples of the period
+                to += (-(to + lead[one[t]])) % PERIOD  # the anchors stand on multiples of the period
                 flat = np.zeros(int(to[-1] + n[-1]) + PERIOD, np.uint8)
                 step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 flat[np.repeat(to, n) + step] = data[np.repeat(src, n) + step]
@@ -366,16 +366,22 @@ def _sort_bucket(shape: _Shape):
     return run
 
 
-def _anchor_offsets(data, src, size, shape: _Shape) -> np.ndarray:
-    """Where the anchor (the leftmost smallest k-mer of the first window) stands in each piece."""
-    best = np.full(len(src), np.iinfo(np.uint64).max, np.uint64)
-    place = np.zeros(len(src), np.int64)
-    prefix = prefix_hash(data)
-    for j in range(shape.many):
-        v = span_hash(prefix, src + j, src + j + shape.k)
-        less = v < best
-        best[less], place[less] = v[less], j
-    return place
+def _identify(data, start, size, shape: _Shape):
+    """Of each piece: content hash, anchor (the leftmost smallest k-mer of the first window, 48 bits) and where it stands."""
+    content, key, lead = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64), np.zeros(len(start), np.int64)
+    for lo, hi in chunks(np.append(start, len(data))):
+        part = data[start[lo]:start[hi - 1] + size[hi - 1]]
+        at = start[lo:hi] - start[lo]
+        prefix = prefix_hash(part)
+        content[lo:hi] = span_hash(prefix, at, at + size[lo:hi])
+        best = span_hash(prefix, at, at + shape.k)
+        place = np.zeros(hi - lo, np.int64)
+        for j in range(1, shape.many):
+            v = span_hash(prefix, at + j, at + j + shape.k)
+            less = v < best
+            best[less], place[less] = v[less], j
+        key[lo:hi], lead[lo:hi] = best & _LOW48, place
+    return content, key, lead
 
 
 def _whole_characters(data: np.ndarray, removed: np.ndarray) -> np.ndarray:
