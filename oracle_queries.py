@@ -24,10 +24,9 @@ select ticker, date, max(case when rn = 1 then price end) as open, max(price) as
 from (
   select {ticker} as ticker, cast(l_shipdate as date) as date, l_extendedprice / l_quantity as price, l_quantity,
     row_number() over (partition by {ticker}, cast(l_shipdate as date)
-      order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) as rn,
+      order by l_orderkey, l_linenumber, l_extendedprice / l_quantity) as rn,
     row_number() over (partition by {ticker}, cast(l_shipdate as date)
-      order by l_orderkey desc, l_linenumber desc, l_partkey desc, l_suppkey desc, l_extendedprice desc,
-               l_quantity desc) as rd
+      order by l_orderkey desc, l_linenumber desc, l_extendedprice / l_quantity desc) as rd
   from {src}) f
 group by ticker, date"""
 
@@ -635,9 +634,15 @@ stats as (select phase, model, target, fold, sqrt(avg((actual - pred) * (actual
        then avg(sign(pred) * actual) / stddev_samp(sign(pred) * actual) * sqrt(252) else 0.0 end as Sharpe,
   count(*) as n_rows
   from preds group by phase, model, target, fold),
-timing as (select phase, fold, model, target,
-  cast(10.0 as double) + fold * 1.5 + (case model when 'naive' then 1 when 'inverse' then 2 else 3 end) * 3.0 + phase * 0.25
-  + length(target) * cast(0.1 as double) as seconds from stats)"""
+{_timing_cte()}"""
+
+
+def _timing_cte() -> str:
+    return """timing as (select * from (select 1 as phase, cast(day(ts) % 5 as int) as fold,
+  case when event_type in ('click', 'error') then 'naive' when event_type = 'view' then 'inverse' else 'scaled' end as model,
+  case when user_id % 2 = 0 then 'fwd_log_ret_10' else 'dl_label_10' end as target,
+  (epoch_us(lead(ts) over (partition by user_id order by ts, event_id)) - epoch_us(ts)) / cast(1e6 as double) as seconds
+  from events) e where seconds is not null)"""
 
 
 def _he(x: str, d: int = 4) -> str:
@@ -667,7 +672,7 @@ def _():
 
 @q("fold_summary")
 def _():
-    return f"with {_preds_ctes()} select model, target, {_r_all(SUMCOLS)} from ({_summary('model, target', 'where phase = 1')}) s"
+    return f"with {_preds_ctes()} select phase, model, target, {_r_all(SUMCOLS)} from ({_summary('phase, model, target')}) s"
 
 
 @q("phase_comparison")
@@ -682,7 +687,13 @@ def _():
 @q("pivot_metric")
 def _():
     cols = ", ".join(r(f"avg(case when model = '{m}' then Sharpe_mean end)", m) for m in ("naive", "inverse", "scaled"))
-    return f"with {_preds_ctes()}, s as ({_summary('model, target', 'where phase = 1')}) select target, {cols} from s group by target"
+    return f"with {_preds_ctes()}, s as ({_summary('phase, model, target')}) select target, {cols} from s group by target"
+
+
+@q("pivot_phase")
+def _():
+    cols = ", ".join(r(f"avg(case when phase = {p} then Sharpe_mean end)", f"phase_{p}") for p in (1, 2))
+    return f"with {_preds_ctes()}, s as ({_summary('phase, model, target')}) select model, {cols} from s group by model"
 
 
 @q("overall_score")
@@ -722,7 +733,26 @@ def _():
 @q("run_overview")
 def _():
     return f"""with {_preds_ctes()} select count(distinct model) as n_models, count(distinct phase) as n_phases,
-  count(distinct target) as n_targets from stats"""
+  count(distinct target) as n_targets, string_agg(distinct cast(phase as varchar), ',' order by cast(phase as varchar)) as phases from stats"""
+
+
+@q("triple_barrier")
+def _():
+    leads = ", ".join(f"lead(date, {j}) {W} as d{j}, lead(close, {j}) {W} as c{j}" for j in range(1, 11))
+    hits = " ".join(f"when c{j} >= up or c{j} <= lo then {j}" for j in range(1, 11))
+    last = " ".join(f"when d{j} is not null then {j}" for j in range(10, 0, -1))
+    pick = lambda c: " ".join(f"when {j} then {c}{j}" for j in range(1, 11))
+    ret = sln(sdiv("xc", "close"))
+    return f"""with b as ({bars_sql('supplier')}), r1 as (select *, {sdiv('close', f'lag(close, 1) {W}')} - 1 as r from b),
+v as (select *, case when count(r) over w50 = 50 then stddev_samp(r) over w50 end as vv from r1
+      window w50 as (partition by ticker order by date rows between 49 preceding and current row)),
+t as (select *, lag(vv, 1) {W} as trgt, {leads} from v),
+u as (select *, close * (1 + 3.5 * trgt) as up, close * (1 - 2.0 * trgt) as lo from t),
+h as (select *, case {hits} end as hit, case {last} end as fin from u),
+x as (select *, case coalesce(hit, fin) {pick('c')} end as xc, case coalesce(hit, fin) {pick('d')} end as xd,
+      trgt > 0.005 and d1 is not null as event from h)
+select ticker, date, {r(f"case when event then case when hit is not null then case when xc >= up then 1.0 else -1.0 end else sign({ret}) end end", 'tb_label')},
+  {r(f'case when event then {ret} end', 'tb_ret')}, case when event then xd end as tb_exit from x"""
 
 
 @q("efficiency")

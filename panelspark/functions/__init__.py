@@ -75,41 +75,20 @@ def rolling(agg_fn, x, w: Window, k: int, min_periods: int | None = None) -> Col
     return F.when(F.count(col(x)).over(frame) >= need, agg_fn(col(x)).over(frame))
 
 
-SAFE_WILDER_ROWS = 9000
-
-
-def wilder(x, idx, w: Window, n: int = 14) -> Column:
-    """Wilder smoothing as a single running sum (no recursion).
-
-    Seed y(n) = mean(x(1..n)), then y(i) = ((n-1)*y(i-1) + x(i)) / n. With
-    a = n/(n-1): z(i) = a^n x(i)/n for 1 <= i <= n, a^i x(i)/n for i > n, and
-    y(i) = a^-i * sum(z(1..i)) for i >= n. ``idx`` is the 0-based row number
-    within the ticker; x(0) is ignored. Exact to double precision while
-    a^i stays finite (about 9,500 rows for n = 14).
-    """
-    a = n / (n - 1.0)
-    i = col(idx).cast("double")
-    x = col(x)
-    z = F.when(i < 1, F.lit(0.0)) \
-         .when(i <= n, F.pow(F.lit(a), F.lit(float(n))) * x / n) \
-         .otherwise(F.pow(F.lit(a), i) * x / n)
-    run = F.sum(z).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    # never a silently wrong value: past the safe length the job fails with a hint
-    too_long = F.raise_error(F.lit(f"series longer than {SAFE_WILDER_ROWS} rows: use long_series=True "
-                                   "(blocked Wilder form)"))
-    return F.when(i > SAFE_WILDER_ROWS, too_long.cast("double")).when(i >= n, run * F.pow(F.lit(a), -i))
-
-
 def wilder_blocked(df: DataFrame, cols: dict, idx: str, n: int = 14, block: int = 4096,
                    ticker: str = "ticker", date: str = "date") -> DataFrame:
     """Wilder smoothing for series of any length: ``cols`` maps input -> output.
 
-    The running sum restarts every ``block`` rows (window partitioned by
-    ticker and block), so every power of a = n/(n-1) stays below a^block; the
-    value carried in from the previous block is that block's last smoothed
-    value decayed by a^-(rows since). Ignoring the carry of the carry changes
-    the result by a factor below a^-block (1e-132 for n = 14, block = 4096):
-    exact in double precision. Block 0 holds the seed exactly as ``wilder``.
+    Seed y(n) = mean(x(1..n)), then y(i) = ((n-1)*y(i-1) + x(i)) / n; ``idx`` is
+    the 0-based row number within the ticker and x(0) is ignored. As a running
+    sum: with a = n/(n-1), z(i) = a^n x(i)/n up to i = n and a^i x(i)/n after
+    it, y(i) = a^-i * sum(z(1..i)). The sum restarts every ``block`` rows
+    (window partitioned by ticker and block), so powers stay below a^block; the
+    value carried in is the previous block's last smoothed value (one row per
+    block, taken by a running ``last`` over the ticker's own order) decayed by
+    a^-(rows since). Ignoring the carry of the carry changes the result by a
+    factor below a^-block (1e-132 for n = 14, block = 4096): exact in double
+    precision.
     """
     a = n / (n - 1.0)
     if a ** -block > 1e-17 or a ** block > 1e300:
@@ -136,12 +115,6 @@ def wilder_blocked(df: DataFrame, cols: dict, idx: str, n: int = 14, block: int
     return x.select("*", *outs).drop("_blk", *[f"_loc_{o}" for o in cols.values()])
 
 
-def longest_series(df: DataFrame, ticker: str = "ticker") -> int:
-    """Rows of the longest series (one aggregate over per-ticker counts)."""
-    r = df.groupBy(ticker).count().agg(F.max("count")).first()[0]
-    return int(r or 0)
-
-
 def weekday_mon0(d) -> Column:
     """Day of week with Monday = 0 ... Sunday = 6."""
     return F.weekday(col(d))

@@ -18,8 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions import (SAFE_WILDER_ROWS, TWO_PI, clip, longest_series, rolling, safe_div, safe_ln,
-                                  ticker_window, trailing, weekday_mon0, wilder, wilder_blocked)
+from panelspark.functions import (TWO_PI, clip, rolling, safe_div, safe_ln, ticker_window, trailing, weekday_mon0,
+                                  wilder_blocked)
 
 INTERVALS = (1, 3, 5, 10)
 
@@ -46,8 +46,8 @@ def cross_section_rank(df: DataFrame, cols=None, scale: float = 20.0, by: str =
 
     One sort per column: with NULLs first, rank() counts the date's NULLs
     ahead of every value, so the rank among values is rank() - #NULLs; the
-    tie size comes from the (date, value) partition, which the same sort
-    already groups. Average rank = first rank + (ties - 1) / 2.
+    tie size is the count over the current row's peers (a RANGE frame of that
+    value alone) in the same order. Average rank = first rank + (ties - 1) / 2.
     """
     cols = cols or [f"ret_{t}" for t in INTERVALS]
     out = []
@@ -56,8 +56,9 @@ def cross_section_rank(df: DataFrame, cols=None, scale: float = 20.0, by: str =
     for c, name in zip(cols, names):
         n = F.count(c).over(day)
         nulls = F.count(F.lit(1)).over(day) - n
-        r = F.rank().over(Window.partitionBy(by).orderBy(F.col(c).asc_nulls_first())) - nulls
-        ties = F.count(F.lit(1)).over(Window.partitionBy(by, c))
+        order = Window.partitionBy(by).orderBy(F.col(c).asc_nulls_first())
+        r = F.rank().over(order) - nulls
+        ties = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
         avg_rank = r + (ties - 1) / 2.0
         out.append(F.when(F.col(c).isNotNull(), avg_rank / n * scale).alias(name))
     return df.select("*", *out)
@@ -81,24 +82,15 @@ def _row_index(df: DataFrame) -> DataFrame:
     return df.withColumn("_i", F.row_number().over(_w()) - 1)
 
 
-def _long(df: DataFrame, long_series: bool | None) -> bool:
-    """Whether some series is too long for the single running-sum Wilder form."""
-    return longest_series(df) > SAFE_WILDER_ROWS if long_series is None else long_series
-
-
 def technical_indicators(df: DataFrame, n: int = 14, bb_n: int = 20, bb_k: float = 2.0,
-                         keep_atr: bool = False, long_series: bool | None = False) -> DataFrame:
+                         keep_atr: bool = False) -> DataFrame:
     """RSI(n), NATR(n) with Wilder smoothing; Bollinger ratios ``bbu``, ``bbl``.
 
     RSI = 100*G/(G+L) (0 when G+L = 0), first value at row n. ATR over the true
     range max(h-l, |h-c'|, |l-c'|); NATR = 100*ATR/close (0 when close is 0).
-    Bollinger: mean +- k * population std over bb_n rows. The single running
-    sum holds for series up to ``SAFE_WILDER_ROWS`` rows (longer ones fail the
-    job with a hint); ``long_series=True`` uses the blocked form for any
-    length, ``None`` decides with one aggregate of rows per ticker.
+    Bollinger: mean +- k * population std over bb_n rows. Series of any length.
     """
     w = _w()
-    long_series = _long(df, long_series)
     prev = F.lag("close", 1).over(w)
     d = F.col("close") - prev
     x = _row_index(df).select(
@@ -108,17 +100,12 @@ def technical_indicators(df: DataFrame, n: int = 14, bb_n: int = 20, bb_k: float
         F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev),
                    F.abs(F.col("low") - prev)).alias("_tr"),
     )
-    if long_series:
-        x = wilder_blocked(x, {"_gain": "_G", "_loss": "_L", "_tr": "_atr"}, "_i", n)
-        smoothed = []
-    else:
-        smoothed = [wilder("_gain", "_i", w, n).alias("_G"), wilder("_loss", "_i", w, n).alias("_L"),
-                    wilder("_tr", "_i", w, n).alias("_atr")]
+    x = wilder_blocked(x, {"_gain": "_G", "_loss": "_L", "_tr": "_atr"}, "_i", n)
     frame = trailing(w, bb_n)
     full = F.count("close").over(frame) == bb_n
     m = F.avg("close").over(frame)
     s = F.stddev_pop("close").over(frame)
-    x = x.select("*", *smoothed, F.when(full, m + bb_k * s).alias("_up"), F.when(full, m - bb_k * s).alias("_lo"))
+    x = x.select("*", F.when(full, m + bb_k * s).alias("_up"), F.when(full, m - bb_k * s).alias("_lo"))
     out = x.select(
         "*",
         F.when(F.col("_G") + F.col("_L") == 0, F.lit(0.0))
@@ -290,8 +277,7 @@ def global_features(panel: DataFrame, intervals=INTERVALS, frac_width: int = 100
 # ---------------------------------------------------------------- fused plan for the whole table (P-03)
 def feature_label_block(panel: DataFrame, intervals=INTERVALS, frac_width: int = 100, frac_d: float = 0.4,
                         frac_mode: str = "binomial", n: int = 14, bb_n: int = 20, vol_n: int = 50,
-                        min_ret: float = 0.005, barriers: bool = True, rank: bool = True,
-                        long_series: bool | None = False) -> DataFrame:
+                        min_ret: float = 0.005, barriers: bool = True, rank: bool = True) -> DataFrame:
     """Every feature and label of the reference in three per-ticker window
     stages plus the cross-sectional rank; same definitions as the individual
     operators of this module and of ``labels`` (checked against them in tests).
@@ -308,7 +294,6 @@ def feature_label_block(panel: DataFrame, intervals=INTERVALS, frac_width: int =
     stages are never shuffled or sorted by date.
     """
     w = _w()
-    long_series = _long(panel, long_series)
     if rank:
         rets = panel.select("*", *[(safe_div(F.col("close"), F.lag("close", t).over(w)) - 1).alias(f"_rr{t}")
                                    for t in intervals])
@@ -354,21 +339,16 @@ def feature_label_block(panel: DataFrame, intervals=INTERVALS, frac_width: int =
     if barriers:
         for t in intervals:
             target = F.date_add(F.col("date"), t)
-            ds, cs = [], []
-            for j in range(1, max(t, 1) + 1):
-                hit = F.lead("date", j).over(w) >= target
-                ds.append(F.when(hit, F.lead("date", j).over(w)))
-                cs.append(F.when(hit, F.lead("close", j).over(w)))
-            a.append(F.coalesce(*cs, F.max_by("close", "date").over(whole)).alias(f"_c1_{t}"))
+            # a hit counts by its date, so a NULL close there stays NULL
+            exits = [F.when(F.lead("date", j).over(w) >= target, F.struct(F.lead("close", j).over(w).alias("c")))
+                     for j in range(1, max(t, 1) + 1)]
+            a.append(F.coalesce(*exits, F.struct(F.max_by("close", "date").over(whole).alias("c")))["c"].alias(f"_c1_{t}"))
     xa = panel.select(*a)
-    if long_series:  # blocked Wilder sums: their own (ticker, block) window before stage B
-        xa = wilder_blocked(xa, {"_gain": "_G", "_loss": "_L", "_tr": "_atr"}, "_i", n)
+    # blocked Wilder sums: their own (ticker, block) window before stage B
+    xa = wilder_blocked(xa, {"_gain": "_G", "_loss": "_L", "_tr": "_atr"}, "_i", n)
     r1 = F.col("ret_1") if 1 in intervals else F.col("_r1")
     lr1 = F.col("log_ret_1") if 1 in intervals else F.col("_lr1")
     b = [F.col(c) for c in xa.columns if c not in ("_gain", "_loss", "_tr")]
-    if not long_series:
-        b += [wilder("_gain", "_i", w, n).alias("_G"), wilder("_loss", "_i", w, n).alias("_L"),
-              wilder("_tr", "_i", w, n).alias("_atr")]
     up = F.when(r1 > 0, 1).otherwise(0)
     dn = F.when(r1 < 0, 1).otherwise(0)
     for k in intervals:

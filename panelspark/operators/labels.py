@@ -78,15 +78,14 @@ def vertical_barrier(df: DataFrame, days: int, out_date: str = "t1", out_close:
     w = ticker_window("ticker", date)
     whole = Window.partitionBy("ticker")
     target = F.date_add(F.col(date), days)
-    dates, closes = [], []
+    # date and close travel together: a NULL close on the exit date stays NULL
+    exits = []
     for j in range(1, max(days, 1) + 1):
         ld = F.lead(date, j).over(w)
-        hit = ld >= target
-        dates.append(F.when(hit, ld))
-        closes.append(F.when(hit, F.lead("close", j).over(w)))
-    t1 = F.coalesce(*dates, F.max(date).over(whole))
-    c1 = F.coalesce(*closes, F.max_by("close", date).over(whole))
-    return df.select("*", t1.alias(out_date), c1.alias(out_close))
+        exits.append(F.when(ld >= target, F.struct(ld.alias("d"), F.lead("close", j).over(w).alias("c"))))
+    last = F.struct(F.max(date).over(whole).alias("d"), F.max_by("close", date).over(whole).alias("c"))
+    hit = F.coalesce(*exits, last)
+    return df.select("*", hit["d"].alias(out_date), hit["c"].alias(out_close))
 
 
 def barrier_labels(df: DataFrame, intervals=INTERVALS, vol_n: int = 50, min_ret: float = 0.005,
@@ -119,26 +118,24 @@ def triple_barrier(df: DataFrame, t: int = 10, pt: float = 3.5, sl: float = 2.0,
     close*(1-sl*trgt), vertical = next ``t`` rows. ``tb_label`` is +1/-1 for the
     first barrier touched, else the sign of the return at the vertical barrier;
     ``tb_ret`` the log return at the exit; ``tb_exit`` the exit date.
-    The path is the fixed-width frame of the next t rows (bounded per row)."""
+    The path is the next ``t`` rows, read by ``t`` bounded leads."""
     w = _w()
     x = df.withColumn("_r1", _ret1(w))
     vol = F.when(F.count("_r1").over(trailing(w, vol_n)) == vol_n, F.stddev_samp("_r1").over(trailing(w, vol_n)))
     x = x.withColumn("_vol", vol).withColumn("_trgt", F.lag("_vol", 1).over(w))
-    path = F.collect_list(F.struct(F.col("date").alias("d"), F.col("close").alias("c"))).over(w.rowsBetween(1, t))
-    x = x.withColumn("_path", path)
     up = F.col("close") * (1 + pt * F.col("_trgt"))
     lo = F.col("close") * (1 - sl * F.col("_trgt"))
-    hit = F.filter("_path", lambda e: (e["c"] >= up) | (e["c"] <= lo))
-    first = F.try_element_at(hit, F.lit(1))
-    last = F.try_element_at(F.col("_path"), F.lit(-1))
+    ahead = [F.struct(F.lead("date", j).over(w).alias("d"), F.lead("close", j).over(w).alias("c")) for j in range(1, t + 1)]
+    first = F.coalesce(*[F.when((e["c"] >= up) | (e["c"] <= lo), e) for e in ahead])
+    last = F.coalesce(*[F.when(e["d"].isNotNull(), e) for e in reversed(ahead)])
     exit_c = F.coalesce(first["c"], last["c"])
     r = safe_ln(safe_div(exit_c, F.col("close")))
     label = F.when(first.isNotNull(), F.when(first["c"] >= up, F.lit(1.0)).otherwise(F.lit(-1.0))) \
              .otherwise(F.signum(r))
-    event = (F.col("_trgt") > min_ret) & (F.size("_path") > 0)
+    event = (F.col("_trgt") > min_ret) & F.lead("date", 1).over(w).isNotNull()
     x = x.select("*", F.when(event, label).alias("tb_label"), F.when(event, r).alias("tb_ret"),
                  F.when(event, F.coalesce(first["d"], last["d"])).alias("tb_exit"))
-    return x.drop("_r1", "_vol", "_trgt", "_path")
+    return x.drop("_r1", "_vol", "_trgt")
 
 
 TARGET_COLUMNS = (

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 import uuid
 
-from panelspark.functions import clip, safe_div
+from panelspark.functions import clip, finite, safe_div
 from panelspark.functions.quantiles import exact_quantiles
 from panelspark.session import cut_lineage
 
@@ -58,7 +58,7 @@ def mi_scores(df: DataFrame, features, target: str, bins: int = 10, min_obs: int
     y = F.col(target)
     cols = []
     for i, f in enumerate(features):
-        ok = F.col(f).isNotNull() & y.isNotNull()
+        ok = finite(f).isNotNull() & finite(y).isNotNull()
         cols += [F.when(ok, clip(f, -CLIP, CLIP)).alias(f"x{i}"), F.when(ok, clip(y, -CLIP, CLIP)).alias(f"y{i}")]
     # the narrow input feeds several passes (quantile rounds, joint counts):
     # written once under the checkpoint folder instead of recomputed each time
@@ -72,7 +72,7 @@ def mi_scores(df: DataFrame, features, target: str, bins: int = 10, min_obs: int
     mi = _mi_from_joint(joint, "k").filter(F.col("n_obs") >= min_obs)
     names = F.array(*[F.lit(f) for f in features])
     return mi.select(F.element_at(names, F.col("k") + 1).alias("feature"), F.lit(target).alias("target"),
-                     F.col("mi").alias("mi_score"), F.col("n_obs"))
+                     F.col("mi").alias("mi_score"), F.col("n_obs")).orderBy(F.col("mi_score").desc(), "feature")
 
 
 def importance_bands(mi: DataFrame, score: str = "mi_score") -> DataFrame:
@@ -97,7 +97,7 @@ def mi_matrix(df: DataFrame, features, bins: int = 10, min_obs: int = 100) -> Da
     features = list(features)
     complete = F.lit(True)
     for f in features:
-        complete = complete & F.col(f).isNotNull()
+        complete = complete & finite(f).isNotNull()
     x = cut_lineage(df.filter(complete).select(*[clip(f, -CLIP, CLIP).alias(f"c{i}") for i, f in enumerate(features)]),
                     f"mi_matrix_input_{uuid.uuid4().hex}")
     splits = exact_quantiles(x, [f"c{i}" for i in range(len(features))], [k / bins for k in range(1, bins)])

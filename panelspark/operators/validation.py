@@ -50,28 +50,24 @@ def purged_walk_forward(df: DataFrame, n_splits: int = 5, train_days: int = TRAI
     s+test_days-1 (inclusive). Folds stop at the first one with at most
     ``min_train`` training rows or ``min_test`` test rows.
     """
-    spark = df.sparkSession
-    di = date_index(df)
-    n = di.count()
-    if n <= train_days:
-        raise ValueError(f"not enough dates ({n}) for one training window of {train_days}")
-    f = spark.range(n_splits).select(F.col("id").cast("int").alias("fold"))
-    f = f.withColumn("s", F.lit(train_days) + F.lit(test_days) * F.col("fold")) \
-         .filter(F.col("s") + test_days < n)
-    idx = {"train_start": F.greatest(F.lit(0), F.col("s") - purge_days - train_days),
-           "train_end": F.col("s") - purge_days - 1, "test_start": F.col("s"),
-           "test_end": F.least(F.col("s") + test_days, F.lit(n)) - 1}
-    f = f.select("fold", *[e.alias(f"_{k}") for k, e in idx.items()])
-    for k in idx:
-        f = f.join(di.select(F.col("i").alias(f"_{k}"), F.col("date").alias(k)), f"_{k}")
-    f = f.select("fold", *idx.keys())
-    # rows per fold from per-date counts (bounded by the calendar x n_splits)
-    per_day = df.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = per_day.join(F.broadcast(f), (per_day.date >= f.train_start) & (per_day.date <= f.test_end)) \
-        .groupBy("fold").agg(
-            F.sum(F.when(F.col("date") < F.col("train_end"), F.col("_n")).otherwise(0)).alias("n_train"),
-            F.sum(F.when(F.col("date") >= F.col("test_start"), F.col("_n")).otherwise(0)).alias("n_test"))
-    f = f.join(sizes, "fold", "left").na.fill(0, ["n_train", "n_test"])
+    # one pass over the rows: date and count per day, numbered; all else comes from this calendar-sized table
+    calendar = Window.partitionBy(F.lit(1))
+    days = df.groupBy("date").agg(F.count(F.lit(1)).alias("_n")) \
+        .withColumn("i", F.row_number().over(calendar.orderBy("date")) - 1).withColumn("_days", F.count(F.lit(1)).over(calendar))
+    short = F.raise_error(F.concat(F.lit("not enough dates ("), F.col("_days"),
+                                   F.lit(f") for one training window of {train_days}")))
+    s = F.lit(train_days) + F.lit(test_days) * F.col("fold")
+    marked = days.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))) \
+        .withColumn("s", F.when(F.col("_days") <= train_days, short.cast("int")).otherwise(s)) \
+        .filter(F.col("s") + test_days < F.col("_days"))
+    first = F.greatest(F.lit(0), F.col("s") - purge_days - train_days)
+    stop = F.col("s") - purge_days - 1
+    at = lambda e: F.max(F.when(F.col("i") == e, F.col("date")))
+    rows = lambda lo, hi: F.sum(F.when((F.col("i") >= lo) & (F.col("i") < hi), F.col("_n")).otherwise(0))
+    f = marked.groupBy("fold").agg(
+        at(first).alias("train_start"), at(stop).alias("train_end"), at(F.col("s")).alias("test_start"),
+        at(F.col("s") + test_days - 1).alias("test_end"), rows(first, stop).alias("n_train"),
+        rows(F.col("s"), F.col("s") + test_days).alias("n_test"))
     bad = F.min(F.when((F.col("n_train") <= min_train) | (F.col("n_test") <= min_test), F.col("fold"))) \
         .over(Window.partitionBy(F.lit(1)))
     return f.withColumn("_stop", bad).filter(F.col("_stop").isNull() | (F.col("fold") < F.col("_stop"))) \

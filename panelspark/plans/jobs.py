@@ -61,25 +61,23 @@ AS_RUN_COLUMNS = list(FE.FEATURE_COLUMNS) + list(LB.TARGET_COLUMNS)
 
 
 def global_feature_table(panel: DataFrame, intervals=FE.INTERVALS, barriers: bool = True,
-                         frac_width: int = 100, frac_mode: str = "binomial", sparse_frac: float = 0.5,
-                         long_series: bool | None = False) -> DataFrame:
+                         frac_width: int = 100, frac_mode: str = "binomial", sparse_frac: float = 0.5) -> DataFrame:
     """P-03: the 40 leak-free features and the forward targets (plus the
     barrier labels) for every (ticker, date), then the sparse-row drop counted
     over the 55 as-run feature and target columns. All per-ticker windows share
     one exchange + sort on ticker (three fused window stages); the
     cross-sectional rank adds one exchange on date."""
-    x = FE.feature_label_block(panel, intervals, frac_width=frac_width, frac_mode=frac_mode, barriers=barriers,
-                               long_series=long_series)
+    x = FE.feature_label_block(panel, intervals, frac_width=frac_width, frac_mode=frac_mode, barriers=barriers)
     as_run = [c for c in AS_RUN_COLUMNS if c in x.columns]
     return RL.drop_sparse_rows(x, as_run, sparse_frac)
 
 
-def feature_table(panel: DataFrame, legacy_roles: bool = False, **kw):
+def feature_table(panel: DataFrame, **kw):
     """P-04: P-03 -> sparse columns -> roles -> drop rows with missing features.
     Returns (table, targets, features, dropped_columns)."""
     x = global_feature_table(panel, **kw)
     x, dropped = RL.drop_sparse_columns(x)
-    targets, feats = RL.infer_roles(x.columns, legacy=legacy_roles)
+    targets, feats = RL.infer_roles(x.columns)
     return RL.drop_null_features(x, feats), targets, feats, dropped
 
 

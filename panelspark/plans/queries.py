@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import round_doubles
@@ -391,11 +391,16 @@ def fold_stats(spark, sf_dir):
 
 
 def timing(spark, sf_dir):
-    """Fit log with deterministic seconds derived from each fit's key."""
-    s = fold_stats(spark, sf_dir)
-    midx = F.when(F.col("model") == "naive", 1).when(F.col("model") == "inverse", 2).otherwise(3)
-    secs = F.lit(10.0) + F.col("fold") * 1.5 + midx * 3.0 + F.col("phase") * 0.25 + F.length("target") * 0.1
-    return s.select("phase", "fold", "model", "target", secs.alias("seconds"))
+    """Timing log from measured durations of the event table: the seconds from an
+    event to the same user's next one. The event's type stands for the model,
+    its user's parity for the target, its day for the fold."""
+    ev = spark.read.parquet(os.path.join(sf_dir, "events.parquet"))
+    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    model = F.when(F.col("event_type").isin("click", "error"), "naive").when(F.col("event_type") == "view", "inverse").otherwise("scaled")
+    return ev.select(F.lit(1).alias("phase"), (F.dayofmonth("ts") % 5).cast("int").alias("fold"), model.alias("model"),
+                     F.when(F.col("user_id") % 2 == 0, "fwd_log_ret_10").otherwise("dl_label_10").alias("target"),
+                     ((F.lead(ts).over(w) - ts) / F.lit(1e6)).alias("seconds")).filter(F.col("seconds").isNotNull())
 
 
 @query("metrics")
@@ -405,7 +410,7 @@ def q_metrics(spark, sf_dir):
 
 @query("fold_summary")
 def q_fold_summary(spark, sf_dir):
-    return round_doubles(M.fold_summary(fold_stats(spark, sf_dir).filter("phase = 1")))
+    return round_doubles(M.fold_summary(fold_stats(spark, sf_dir), by=("phase", "model", "target")))
 
 
 @query("phase_comparison")
@@ -415,10 +420,18 @@ def q_phase_comparison(spark, sf_dir):
 
 @query("pivot_metric")
 def q_pivot_metric(spark, sf_dir):
-    summ = M.fold_summary(fold_stats(spark, sf_dir).filter("phase = 1"))
+    summ = M.fold_summary(fold_stats(spark, sf_dir), by=("phase", "model", "target"))
     return round_doubles(M.pivot_metric(summ, "target", "model", "Sharpe_mean", list(PRED_MODELS)))
 
 
+@query("pivot_phase")
+def q_pivot_phase(spark, sf_dir):
+    """A-20, the Model x Phase form."""
+    summ = M.fold_summary(fold_stats(spark, sf_dir), by=("phase", "model", "target"))
+    return round_doubles(M.pivot_metric(summ, "model", "phase", "Sharpe_mean", list(PHASES))
+                         .withColumnsRenamed({str(p): f"phase_{p}" for p in PHASES}))
+
+
 @query("overall_score")
 def q_overall_score(spark, sf_dir):
     summ = M.fold_summary(fold_stats(spark, sf_dir), by=("phase", "model", "target"))
@@ -442,7 +455,7 @@ def q_box_summary(spark, sf_dir):
 
 @query("run_overview")
 def q_run_overview(spark, sf_dir):
-    return M.run_overview(fold_stats(spark, sf_dir)).drop("phases")
+    return M.run_overview(fold_stats(spark, sf_dir)).withColumn("phases", F.array_join(F.col("phases").cast("array<string>"), ","))
 
 
 @query("efficiency")
@@ -643,13 +656,13 @@ def q_stream_ingest(spark, sf_dir):
     base = os.path.join(checkpoint_dir(spark), "streams", f"run_{tag}_{uuid.uuid4().hex[:12]}")
     stream_ingest(spark, src, os.path.join(base, "sink"), glob="part-*.csv",
                   checkpoint=os.path.join(base, "ckpt"))
-    return round_doubles(spark.read.parquet(os.path.join(base, "sink")).drop("year"))
+    return round_doubles(spark.read.parquet(os.path.join(base, "sink")).drop("year", "batch"))
 
 
 @query("triple_barrier")
 def q_triple_barrier(spark, sf_dir):
     """L-07 (documented intent): first touch of profit-taking / stop-loss /
-    vertical barrier over the next 10 rows (rows-only check)."""
+    vertical barrier over the next 10 rows."""
     x = lab.triple_barrier(_bars(spark, sf_dir), t=10, pt=3.5, sl=2.0)
     return round_doubles(x.select(*KEY, "tb_label", "tb_ret", "tb_exit"))
 

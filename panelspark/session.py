@@ -36,7 +36,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor
-        conf.setdefault("spark.driver.memory", "16g")
+        conf.setdefault("spark.driver.memory", "8g")
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -57,7 +57,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = sc.getCheckpointDir()
     if not d:
-        # Unset: only the case in local tests. Clusters name a shared folder.
+        # Only local tests leave it unset; on a cluster a machine-local folder would lose data.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="panelspark-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)

@@ -1,36 +1,30 @@
 """Daily OHLCV bars derived from a trade table (one trade = one lineitem row).
 
 A bar per (ticker, date): open/close are the price of the first/last trade in a
-fixed total order of the trade columns, high/low the extreme prices, vol the
-summed quantity. Everything is a hash aggregate with a map-side partial step:
-open and close are ``min``/``max`` over a struct whose leading fields are the
-order keys, so a hot ticker (even one third of all trades) is combined inside
-each map task before the shuffle and never gathered into one task.
+fixed order of the trades, high/low the extreme prices, vol the summed
+quantity. Everything is a hash aggregate with a map-side partial step, so a hot
+ticker (even one third of all trades) is combined inside each map task before
+the shuffle and never gathered into one task.
 
 When the ticker comes from a dimension (supplier or nation), the trades are
 first reduced to bars per (l_suppkey, date) and only those bars are joined to
 the dimension, then merged again per (ticker, date): the join sees bars, not
 trades.
 
-Struct-valued aggregation buffers are not mutable in place, so the struct
-path plans a sort aggregate. When one small aggregate over the trade columns
-proves that the six order fields are non-negative integers (prices and
-quantities on a 1/100 grid) whose digits fit in 38, the order is packed into
-one DECIMAL(38,0) key instead, which is order-preserving and injective, and
-``min_by`` / ``max_by`` on it run as hash aggregates. Otherwise the exact
-struct path is used.
+The trade order is (order number, line number, unit price in cents), packed into
+one DECIMAL(38,0) key by the columns' types: 19 digits for the 64-bit order
+number, 10 for the 32-bit line number, 9 for the price. ``min_by`` / ``max_by``
+on a large decimal run as hash aggregates (struct-valued buffers would plan a
+sort aggregate), and the plan is the same for every input.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Total order of trades inside one (ticker, date); unique per day in the data.
-TRADE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-
 PANELS = ("flags", "nation", "supplier")
 
 
@@ -41,141 +35,56 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _DEC = "decimal(38,0)"
 
 
-_WIDTHS_CACHE: dict = {}
-
-
-def _table_stamp(spark: SparkSession, path: str):
-    """(path, length, modification time) of a table through the Hadoop FileSystem API."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    cs = fs.getContentSummary(p)
-    return path, int(cs.getLength()), int(fs.getFileStatus(p).getModificationTime())
-
-
-def cached_packed_widths(spark: SparkSession, path: str, lineitem: DataFrame) -> list[int] | None:
-    """``packed_order_widths`` once per table version (path, size, mtime)."""
-    key = _table_stamp(spark, path)
-    if key not in _WIDTHS_CACHE:
-        _WIDTHS_CACHE[key] = packed_order_widths(lineitem)
-    return _WIDTHS_CACHE[key]
-
-
-def packed_order_widths(lineitem: DataFrame) -> list[int] | None:
-    """Digit widths of the six order fields when packing them into one
-    DECIMAL(38,0) is exact and order-preserving, else None (one aggregate row)."""
-    ints = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    grid = {"l_extendedprice": F.col("l_extendedprice") * 100.0, "l_quantity": F.col("l_quantity") * 100.0}
-    aggs = []
-    for c in ints:
-        aggs += [F.min(c).alias(f"mn_{c}"), F.max(c).alias(f"mx_{c}")]
-    for c, e in grid.items():
-        # each value must be exactly the double of its 1/100 grid point: then
-        # rint(100 x) is injective and order-preserving on the data
-        aggs += [F.min(e).alias(f"mn_{c}"), F.max(e).alias(f"mx_{c}"),
-                 F.count_if(F.col(c) != F.rint(e) / 100.0).alias(f"off_{c}")]
-    r = lineitem.agg(*aggs).first()
-    if r is None or any(r[f"mn_{c}"] is None or r[f"mn_{c}"] < 0 for c in ints + list(grid)):
-        return None
-    if any(r[f"off_{c}"] > 0 for c in grid):
-        return None
-    widths = [len(str(int(r[f"mx_{c}"]))) for c in ints] + [len(str(int(round(r[f"mx_{c}"])))) for c in grid]
-    return widths if sum(widths) <= 38 else None
-
-
-def _packed_key(widths: list[int]):
-    parts = [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"),
-             F.rint(F.col("l_extendedprice") * 100.0), F.rint(F.col("l_quantity") * 100.0)]
-    key = parts[0].cast(_DEC)
-    for p, w in zip(parts[1:], widths[1:]):
-        key = key * F.lit(10 ** w).cast(_DEC) + p.cast("long").cast(_DEC)
-    return key
-
-
-def _trades(lineitem: DataFrame) -> DataFrame:
-    first = F.struct(*[F.col(c) for c in TRADE_ORDER], (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"))
-    return lineitem.select(
-        "l_returnflag", "l_linestatus", "l_suppkey",
-        F.to_date("l_shipdate").alias("date"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-        F.col("l_quantity"),
-        first.alias("tr"),
-    )
-
+def trade_key() -> Column:
+    """(l_orderkey, l_linenumber, unit price in cents) as one ordered number.
 
-def _partial_bars(trades: DataFrame, keys: list) -> DataFrame:
-    return trades.groupBy(*keys).agg(
-        F.min("tr").alias("first_tr"), F.max("tr").alias("last_tr"),
-        F.max("price").alias("high"), F.min("price").alias("low"),
-        F.sum("l_quantity").alias("vol"))
-
-
-def _merge_bars(partial: DataFrame, ticker_col: str) -> DataFrame:
-    return partial.groupBy(F.col(ticker_col).alias("ticker"), "date").agg(
-        F.min("first_tr").alias("first_tr"), F.max("last_tr").alias("last_tr"),
-        F.max("high").alias("high"), F.min("low").alias("low"), F.sum("vol").alias("vol"))
-
-
-def _finish(bars: DataFrame) -> DataFrame:
-    return bars.select(
-        F.col("ticker").cast("string").alias("ticker"), "date",
-        F.col("first_tr.p").alias("open"), F.col("high"), F.col("low"),
-        F.col("last_tr.p").alias("close"), F.col("vol").cast("double").alias("vol"))
+    Trades of one order line on one bar come in order of price; two that agree
+    to the cent are interchangeable. Prices beyond 9,999,999.99 count as that.
+    """
+    line = F.col("l_linenumber").cast("long") + F.lit(2 ** 31)
+    cents = F.rint(F.greatest(F.lit(0.0), F.least(F.lit(999_999_999.0), F.col("l_extendedprice") / F.col("l_quantity") * 100.0)))
+    key = F.col("l_orderkey").cast(_DEC) * F.lit(10 ** 10).cast("decimal(11,0)")
+    key = (key.cast(_DEC) + line.cast(_DEC)).cast(_DEC) * F.lit(10 ** 9).cast("decimal(10,0)")
+    return (key.cast(_DEC) + cents.cast("long").cast(_DEC)).cast(_DEC)
 
 
-def _packed_trades(lineitem: DataFrame, widths: list[int]) -> DataFrame:
+def _trades(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(
         "l_returnflag", "l_linestatus", "l_suppkey", F.to_date("l_shipdate").alias("date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity"),
-        _packed_key(widths).alias("k"))
+        trade_key().alias("k"))
 
 
-def _packed_partial(trades: DataFrame, keys: list) -> DataFrame:
+def _partial_bars(trades: DataFrame, keys: list) -> DataFrame:
     return trades.groupBy(*keys).agg(
         F.min("k").alias("k_first"), F.min_by("price", "k").alias("p_first"),
         F.max("k").alias("k_last"), F.max_by("price", "k").alias("p_last"),
         F.max("price").alias("high"), F.min("price").alias("low"), F.sum("l_quantity").alias("vol"))
 
 
-def _packed_merge(partial: DataFrame, ticker_col: str) -> DataFrame:
+def _merge_bars(partial: DataFrame, ticker_col: str) -> DataFrame:
     return partial.groupBy(F.col(ticker_col).alias("ticker"), "date").agg(
         F.min_by("p_first", "k_first").alias("p_first"), F.max_by("p_last", "k_last").alias("p_last"),
         F.max("high").alias("high"), F.min("low").alias("low"), F.sum("vol").alias("vol"))
 
 
-def _packed_finish(bars: DataFrame) -> DataFrame:
+def _finish(bars: DataFrame) -> DataFrame:
     return bars.select(F.col("ticker").cast("string").alias("ticker"), "date", F.col("p_first").alias("open"),
                        "high", "low", F.col("p_last").alias("close"), F.col("vol").cast("double").alias("vol"))
 
 
-def bars_from_lineitem(spark: SparkSession, sf_dir: str, panel: str = "flags", packed: bool | None = None) -> DataFrame:
+def bars_from_lineitem(spark: SparkSession, sf_dir: str, panel: str = "flags") -> DataFrame:
     """OHLCV panel ``ticker, date, open, high, low, close, vol``.
 
     ``panel``: ``flags`` (ticker = returnflag||linestatus), ``supplier``
     (ticker = s_name) or ``nation`` (ticker = n_name of the supplier).
     """
-    li = read_table(spark, sf_dir, "lineitem")
     if panel not in PANELS:
         raise ValueError(f"unknown panel {panel!r}; expected one of {PANELS}")
-    widths = cached_packed_widths(spark, os.path.join(sf_dir, "lineitem.parquet"), li) if packed is not False else None
-    if widths:
-        trades = _packed_trades(li, widths)
-        if panel == "flags":
-            return _packed_finish(_packed_partial(trades, ["l_returnflag", "l_linestatus", "date"])
-                                  .withColumn("ticker", F.concat("l_returnflag", "l_linestatus")))
-        by_supp = _packed_partial(trades, ["l_suppkey", "date"])
-        supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-        joined = by_supp.join(supplier, by_supp.l_suppkey == supplier.s_suppkey, "inner")
-        if panel == "supplier":
-            return _packed_finish(_packed_merge(joined, "s_name"))
-        nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-        joined = joined.join(nation, joined.s_nationkey == nation.n_nationkey, "inner")
-        return _packed_finish(_packed_merge(joined, "n_name"))
-    trades = _trades(li)
+    trades = _trades(read_table(spark, sf_dir, "lineitem"))
     if panel == "flags":
-        bars = _partial_bars(trades, ["l_returnflag", "l_linestatus", "date"]) \
-            .withColumn("ticker", F.concat("l_returnflag", "l_linestatus"))
-        return _finish(bars)
+        return _finish(_partial_bars(trades, ["l_returnflag", "l_linestatus", "date"])
+                       .withColumn("ticker", F.concat("l_returnflag", "l_linestatus")))
     by_supp = _partial_bars(trades, ["l_suppkey", "date"])
     supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     joined = by_supp.join(supplier, by_supp.l_suppkey == supplier.s_suppkey, "inner")

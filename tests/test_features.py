@@ -153,15 +153,37 @@ def test_triple_barrier_first_touch(spark):
     assert r["tb_label"] == 1.0 and r["tb_exit"] == d(56)
 
 
-def test_long_series_blocked_wilder(spark):
-    closes = walk(700, seed=11)
+def test_null_close_at_the_barrier_stays_null(spark):
+    df = make_panel(spark, {"A": [10.0 + i for i in range(8)]})
+    days = [r["date"] for r in df.orderBy("date").collect()]
+    holed = df.withColumn("close", F.when(F.col("date") != F.lit(days[3]), F.col("close")))
+    r = {x["date"]: x for x in LB.vertical_barrier(holed, (days[3] - days[0]).days).collect()}[days[0]]
+    assert r["t1"] == days[3] and r["t1_close"] is None
+
+
+def test_rank_needs_one_sort_per_column(spark):
+    df = make_panel(spark, {t: walk(30, seed=i) for i, t in enumerate("ABC")})
+    x = FE.cross_section_rank(FE.returns(df), ["ret_1", "ret_3"])
+    x.collect()
+    plan = x._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    by_date = [line for line in plan.split("\n") if " Sort [date" in line]
+    assert len(by_date) == 2
+
+
+def test_one_long_series_through_the_default_operators(spark):
+    n = 20_000
+    closes = walk(n, seed=11)
     df = make_panel(spark, {"L": closes})
-    a = round_doubles(FE.technical_indicators(df, keep_atr=True, long_series=False), 9)
-    b = round_doubles(FE.technical_indicators(df, keep_atr=True, long_series=True), 9)
-    assert a.exceptAll(b).count() == 0
-    f1 = round_doubles(FE.feature_label_block(df, frac_width=20, long_series=False), 9)
-    f2 = round_doubles(FE.feature_label_block(df, frac_width=20, long_series=True), 9)
-    assert f1.exceptAll(f2).count() == 0
+    got = [r["_atr"] for r in FE.technical_indicators(df, keep_atr=True).orderBy("date").select("_atr").collect()]
+    rows = df.orderBy("date").collect()
+    tr = [0.0] + [max(r["high"] - r["low"], abs(r["high"] - p["close"]), abs(r["low"] - p["close"]))
+                  for p, r in zip(rows, rows[1:])]
+    ref = _wilder_loop(tr)
+    assert len(got) == n and got[:14] == [None] * 14
+    for i in [14, 15, 4095, 4096, 4097, 9001, 12288, 19999]:
+        assert got[i] == pytest.approx(ref[i], rel=1e-9)
+    block = FE.feature_label_block(df, frac_width=20, rank=False).orderBy("date").select("NATR").collect()
+    assert block[19_000]["NATR"] == pytest.approx(100 * ref[19_000] / rows[19_000]["close"], rel=1e-9)
 
 
 def test_blocked_wilder_carries_across_blocks(spark):
@@ -176,11 +198,3 @@ def test_blocked_wilder_carries_across_blocks(spark):
         assert g == pytest.approx(e, rel=1e-12)
     with pytest.raises(ValueError):
         wilder_blocked(df, {"x": "y"}, "_i", 14, block=128)
-
-
-def test_wilder_guard_fails_loudly(spark):
-    from panelspark.functions import SAFE_WILDER_ROWS, ticker_window, wilder
-    n = SAFE_WILDER_ROWS + 50
-    df = spark.createDataFrame([("A", i, 1.0, i) for i in range(n)], "ticker string, date int, x double, _i int")
-    with pytest.raises(Exception, match="long_series=True"):
-        df.select(wilder("x", "_i", ticker_window("ticker", "date"), 14).alias("y")).collect()

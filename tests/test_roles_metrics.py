@@ -6,12 +6,9 @@ from panelspark.operators import roles as RL
 NAMES = ["ticker", "date", "fwd_vola_05", "ret_1", "fwd_log_ret_05", "fwd_log_ret_10", "dl_label_05", "RSI"]
 
 
-def test_roles_default_and_legacy():
+def test_roles():
     t, f = RL.infer_roles(NAMES)
     assert t == ["fwd_vola_05", "fwd_log_ret_05", "fwd_log_ret_10", "dl_label_05"] and f == ["ret_1", "RSI"]
-    t, f = RL.infer_roles(NAMES, legacy=True)
-    assert t == ["fwd_log_ret_10", "dl_label_05"]
-    assert f == ["fwd_vola_05", "RSI"]  # the as-run leak: a forward column as a feature
 
 
 def test_eda_and_slice():

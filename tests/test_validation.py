@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import make_panel, walk
 from panelspark.functions.quantiles import exact_quantiles
 from panelspark.operators import validation as V
 
@@ -71,3 +72,31 @@ def test_condition_target_inverse(spark):
     back = x.select((F.col("y_scaled") * p["std"] + p["mean"]).alias("b"), "y").collect()
     for r in back:
         assert p["lower"] - 1e-9 <= r["b"] <= p["upper"] + 1e-9
+
+
+def test_folds_read_the_rows_once(spark, tmp_path):
+    df = make_panel(spark, {t: walk(400, seed=i) for i, t in enumerate("AB")})
+    path = str(tmp_path / "rows")
+    df.write.parquet(path)
+    folds = V.purged_walk_forward(spark.read.parquet(path), n_splits=2, train_days=150, test_days=60, purge_days=5, min_train=10, min_test=10)
+    assert folds.count() == 2
+    assert folds._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_test_rows_look_back_through_the_purge_gap(spark):
+    from panelspark.operators import models as ML
+    df = make_panel(spark, {"A": [1.0 + i for i in range(80)]}).withColumn("fwd_ret_10", F.col("close") * 1.0)
+    rows = ML.with_target_lags(df, "fwd_ret_10").orderBy("date").collect()
+    # the first test row after a gap: its 10th lag is the row 10 back on the whole panel
+    assert rows[66]["fwd_ret_10__lag10"] == rows[56]["close"]
+    assert rows[66]["fwd_ret_10__lag14"] == rows[52]["close"]
+
+
+def test_unlabelled_test_rows_are_predicted(spark):
+    from panelspark.operators import models as ML
+    rows = [("A", i, float(i % 7), float(i % 7) * 2 if i < 40 else None) for i in range(50)]
+    df = spark.createDataFrame(rows, "ticker string, date int, x double, y double")
+    m, pred, _ = ML.evaluate_fold("Linear", df.filter("date < 30"), df.filter("date >= 30"), ["x"], "y", min_train=5)
+    got = pred.collect()
+    assert len(got) == 20 and sum(r["actual"] is None for r in got) == 10 and m["test_size"] == 10
+    assert abs(m["RMSE"]) < 1e-6
