@@ -77,7 +77,6 @@ def first_fit_decreasing(sizes: list[int], space: int) -> list[list[tuple[int, i
                 gaps[k] -= put
                 at, n = at + put, n - put
         out[donor] = []
-        total += gaps[donor]
     return [b for b in out if b]
 
 
