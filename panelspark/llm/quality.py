@@ -168,7 +168,7 @@ def score_quality(docs: DataFrame, fitted: dict, name: str = "score") -> DataFra
 
     def run(batches):
         for batch in batches:
-            score = np.full(len(batch), fitted["rate"]) if "rate" in fitted else _sigmoid(fitted["net"].logits(features(batch.column("text"))) - fitted["cut"] + shift)
+            score = np.full(len(batch), fitted["rate"]) if "rate" in fitted else np.round(_sigmoid(fitted["net"].logits(features(batch.column("text"))) - fitted["cut"] + shift), 9)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score, pa.float64())], names=["row", "score"])
 
     return docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")) \
