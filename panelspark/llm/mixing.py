@@ -38,9 +38,11 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
                                / F.sum("w").over(line.rowsBetween(0, W.unboundedFollowing))) \
         .withColumn("level", F.coalesce("level", F.col("total") / F.sum("w").over(every)))
     full = F.col("cap") <= F.col("level") * F.col("w")
-    ranked = ranked.withColumn("rest", F.min(F.when(~full, F.struct(F.col("cap") / F.col("w"), "level"))).over(every)["level"])
+    # the level of the first that is not at its ceiling holds for all of those
+    ranked = ranked.withColumn("at", F.row_number().over(line))
+    ranked = ranked.withColumn("rest", F.min(F.when(~full, F.struct("at", "level"))).over(every)["level"])
     return ranked.withColumn("target", F.when(full, F.col("cap")).otherwise(F.least("cap", F.col("rest") * F.col("w")))) \
-        .drop("w", "cap", "total", "level", "rest")
+        .drop("w", "cap", "total", "level", "at", "rest")
 
 
 def quotas(units: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -73,7 +75,7 @@ def mix_plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: floa
         .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("int")) \
         .withColumn("extra", F.col("words") - F.col("passes") * F.col("source_size")) \
         .withColumn("n_blocks", F.ceil(F.sqrt("n_docs")))
-    per = scratch_table(per, "sources")
+    per = scratch_table(per, "sources", narrow=True)
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
     dealt = sized.alias("d").join(per.select("source", "n_blocks", "source_size", "target").alias("s"), same("d", "s")) \
         .select("d.*", "s.source_size", "s.target", F.pmod("d.draw", "s.n_blocks").alias("block"))
@@ -86,13 +88,13 @@ def mix_plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: floa
         .withColumn("room", F.when(F.col("pass") < F.col("passes"), F.col("block_words")).otherwise(F.greatest(F.lit(0), F.least("block_words", F.col("extra") - F.col("before"))))) \
         .filter((F.col("room") > 0) | (F.col("pass") < F.col("passes")))
     draws = draws.withColumn("ordinal", F.row_number().over(W.partitionBy("source").orderBy("pass", "before", F.xxhash64("source", "block", "pass", F.lit(seed)), "block")) - 1)
-    draws = scratch_table(draws, "draws")
-    runs = scratch_table(quotas(draws.select("source", "ordinal"), shards, seed), "quotas")
+    draws = scratch_table(draws, "draws", narrow=True)
+    runs = scratch_table(quotas(draws.select("source", "ordinal"), shards, seed), "quotas", narrow=True)
     placed = draws.alias("b").join(runs.alias("q"), same("b", "q") & F.col("b.ordinal").between(F.col("q.first"), F.col("q.last")))
     placed = placed.groupBy("b.source", "b.block").agg(
         F.max("b.passes").alias("passes"), F.max(F.when(F.col("b.pass") == F.col("b.passes"), F.col("b.room"))).alias("room"),
         F.max("b.block_words").alias("block_words"), F.transform(F.array_sort(F.collect_list(F.struct("b.pass", "q.shard"))), lambda x: x["shard"]).alias("shards"))
-    placed = scratch_table(placed, "placed")
+    placed = scratch_table(placed, "placed", narrow=True)
     both = dealt.alias("d").join(placed.alias("p"), same("d", "p") & (F.col("d.block") == F.col("p.block")), "left")
     both = both.select("d.*", F.coalesce("p.passes", F.lit(0)).alias("passes"), F.coalesce("p.room", F.lit(0)).alias("room"),
                        F.coalesce("p.block_words", F.lit(0)).alias("block_words"), F.coalesce("p.shards", F.array().cast("array<int>")).alias("shards"))
@@ -103,7 +105,7 @@ def mix_plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: floa
     part = both.filter(cut).withColumn("last", F.greatest(F.lit(0), F.least("size", F.col("room") - (F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")))))
     out = whole.union(part)
     return out.withColumn("taken", F.col("passes") * F.col("size") + F.col("last")) \
-        .withColumn("shards", F.when(F.col("last") > 0, F.col("shards")).otherwise(F.slice("shards", 1, F.greatest("passes", F.lit(0))))) \
+        .withColumn("shards", F.when(F.col("taken") == 0, F.array().cast("array<int>")).when(F.col("last") > 0, F.col("shards")).otherwise(F.slice("shards", 1, F.greatest("passes", F.lit(0))))) \
         .drop("block", "passes", "room", "block_words")
 
 
