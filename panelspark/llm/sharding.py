@@ -42,11 +42,16 @@ def _propagate(state: DataFrame, shards: int, slack: float) -> DataFrame:
     near = state.filter("linked").groupBy(*key, "shard").agg(F.sum("size").alias("bytes"))
     # a shard without room counts only for those that are there
     best = near.groupBy(*key).agg(F.max_by("shard", F.struct("bytes", F.xxhash64("grp", "shard"))).alias("most"),
-                                  F.max_by("shard", F.when(_at(room, F.col("shard")) > 0, F.struct("bytes", F.xxhash64("grp", "shard")))).alias("free"))
-    best = scratch_table(best, "best")
-    wish = state.filter("linked").join(best, key).withColumn("to", F.when(F.col("shard") == F.col("most"), F.col("shard"))
-                                                             .when(_at(room, F.col("most")) > 0, F.col("most")).otherwise(F.coalesce("free", "shard")))
-    wish = scratch_table(wish.drop("most", "free"), "wishes")
+                                  F.max("bytes").alias("top"), F.sum("bytes").alias("total"), F.max_by("shard", F.when(_at(room, F.col("shard")) > 0, F.struct("bytes", F.xxhash64("grp", "shard")))).alias("free"))
+    best = scratch_table(best, "best", narrow=True)
+    # where most of them are, if the others fit; else all to another of their shards, or to any, with room for all; a
+    # group that fits nowhere fills the room that its other shards have
+    roomy = sorted(range(shards), key=lambda k: -room[k])[:max(1, shards // 4)]
+    spare = _at(roomy, F.pmod(F.xxhash64("grp"), F.lit(len(roomy))))
+    to = F.when(F.col("total") - F.col("top") <= _at(room, F.col("most")), F.col("most")) \
+        .when(F.col("total") <= _at(room, F.col("free")), F.col("free")).when(F.col("total") <= _at(room, spare), spare) \
+        .when(F.col("shard") == F.col("most"), F.col("shard")).otherwise(F.coalesce("free", "shard"))
+    wish = scratch_table(state.filter("linked").join(best, key).withColumn("to", to).drop("most", "free", "top", "total"), "wishes", narrow=True)
     moves = _before(wish.filter("to <> shard"), ["to"], "size")
     moved = moves.withColumn("shard", F.when(F.col("before") + F.col("size") <= _at(room, F.col("to")), F.col("to")).otherwise(F.col("shard")))
     cols = state.columns
@@ -62,7 +67,7 @@ def _even_out(state: DataFrame, loads: list[int], largest: float | None) -> Data
     movable = (_at(excess, F.col("shard")) > 0) & (F.lit(True) if largest is None else F.col("size") <= largest)
     marked = _before(state.filter(movable), ["shard"], "size")
     out = F.col("before") + F.col("size") / 2 <= _at(excess, F.col("shard"))
-    marked = scratch_table(marked.withColumn("out", out).drop("before"), "released")
+    marked = scratch_table(marked.withColumn("out", out).drop("before"), "released", narrow=True)
     pool = _before(marked.filter("out"), [], "size")
     upto = [sum(room[:k + 1]) for k in range(shards)]
     to = F.least(F.lit(shards - 1), F.size(F.filter(F.array(*[F.lit(x) for x in upto]), lambda x: x <= F.col("before") + F.col("size") / 2)))
@@ -85,18 +90,18 @@ def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = 4, slack: f
                        F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("grp"), (F.octet_length(text)).cast("long").alias("group_size"))
     rows = scratch_table(rows.withColumn("draw", F.xxhash64("doc_id", "grp", F.lit(seed))).withColumn("bucket", F.pmod(F.xxhash64("draw"), F.lit(BUCKETS))), "rows")
     key = ["grp", "text_crc32", "group_size"]
-    groups = scratch_table(rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").withColumn("linked", F.lit(True)).drop("n"), "groups")
+    groups = scratch_table(rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").withColumn("linked", F.lit(True)).drop("n"), "groups", narrow=True)
     state = rows.join(groups, key, "left").withColumn("linked", F.coalesce("linked", F.lit(False))) \
         .withColumn("shard", F.pmod("draw", F.lit(shards)).cast("int"))
-    state = scratch_table(state, "state")
+    state = scratch_table(state, "state", narrow=True)
     for _ in range(rounds):
-        state = scratch_table(_propagate(state, shards, slack), "state")
+        state = scratch_table(_propagate(state, shards, slack), "state", narrow=True)
     for finer in (None, 4, 16, 64, 256, 1024):
         loads = _loads(state, shards)
         mean = sum(loads) / shards
         if max(abs(x - mean) for x in loads) <= even * mean:
             break
-        state = scratch_table(_even_out(state, loads, None if finer is None else mean / finer), "state")
+        state = scratch_table(_even_out(state, loads, None if finer is None else mean / finer), "state", narrow=True)
     per = state.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     line = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     per = per.withColumn("first", F.sum("n").over(line) - F.col("n")).drop("n")
