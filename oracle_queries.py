@@ -875,6 +875,7 @@ from (select ticker, date, {sln(sdiv(f'lead(close, 10) {W}', 'close'))} as y fro
 # ------------------------------------------------------------------ files (round trips of the flags panel)
 _FLAGS_OHLCV = f"select ticker, date, {OHLCV_R} from ({bars_sql('flags')}) b"
 QUERIES["ingest"] = _FLAGS_OHLCV
+QUERIES["file_audit"] = f"select ticker as t, count(*) as rows, 'ok' as status from ({bars_sql('flags')}) b group by ticker"
 QUERIES["stream_ingest"] = _FLAGS_OHLCV
 QUERIES["panel_roundtrip"] = _FLAGS_OHLCV + " where date between date '1997-01-01' and date '1999-12-31'"
 

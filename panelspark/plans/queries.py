@@ -637,7 +637,10 @@ def q_ingest(spark, sf_dir):
 
 @query("file_audit")
 def q_file_audit(spark, sf_dir):
-    return FS.file_audit(spark, _price_tree(spark, sf_dir), glob="part-*.csv").drop("_file")
+    """S-02 on the generated tree, summed per ticker's folder (file counts and sizes depend on the writer)."""
+    audit = FS.file_audit(spark, _price_tree(spark, sf_dir), glob="part-*.csv")
+    return audit.groupBy(F.regexp_extract("_file", r"/t=([^/]*)/", 1).alias("t")) \
+        .agg(F.sum("rows").alias("rows"), F.min("status").alias("status"))
 
 
 @query("panel_roundtrip")
