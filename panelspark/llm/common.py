@@ -31,9 +31,14 @@ _SEP[[0x20, 9, 10, 11, 12, 13]] = True
 _POWERS: list[np.ndarray] = []
 
 
-def scratch_table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared checkpoint folder and read it back: cuts lineage, survives executors."""
+def scratch_table(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it back: cuts lineage, survives executors.
+
+    ``narrow`` rows (ids and hashes) are written by four tasks a core at most, not one a shuffle partition.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(16, 4 * spark.sparkContext.defaultParallelism))
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

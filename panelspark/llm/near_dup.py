@@ -1,14 +1,14 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Documents with equal shingle sets are one node. Each node has the minima of 256 hash functions over its set, of
-which only the low 8 bits are kept, packed into 32 longs. Bands of 6 packed values give candidate buckets; the
-bit count of two packed signatures' difference, corrected for chance agreement, estimates the similarity, and
-the pairs that can reach the threshold are confirmed on the full sets.
+Documents with equal shingle sets are one node. Each node has the minima of hash functions over its set, of which only
+the low 8 bits are kept, packed into longs. Bands of 6 of the first 252 packed values give candidate buckets; nodes that
+share a bucket get 2,048 values, and the bit count of two such signatures' difference, corrected for chance agreement,
+estimates their similarity. The pairs that can reach the threshold are confirmed on the full sets.
 
 A bucket is never expanded into its pairs. First every member is compared with the bucket's smallest one. Only
 buckets whose members still lie in different components are looked at again, and there only members outside the
 bucket's largest component meet the others, in blocks of about 256 against 256 whose estimates are computed in
-one step; more and more of the best estimates are confirmed until no candidate between two components is left.
+one step. The best few estimates of each are confirmed first, then, where components still differ, all that are left.
 A pair at the threshold shares no band with a chance of about 3 in a million (1 - 0.8^6)^42.
 """
 
@@ -22,20 +22,24 @@ from panelspark.llm.common import flat_list, mix, read_table, scratch_table
 from panelspark.llm.graph import connected_components
 from panelspark.llm.shingles import shingle_sets
 
-HASHES, BITS, BAND, BANDS = 256, 8, 6, 42
+BITS, BAND, BANDS = 8, 6, 42
+HASHES = 2048
 BLOCK = 256
-# five standard deviations of the estimate at a similarity of 0.8
-MARGIN = 0.135
+# the best estimates of a straggler that are confirmed first
+FIRST = 8
+# four and a half standard deviations of the estimate at a similarity of 0.8
+MARGIN = 0.043
 
 _A = np.random.Generator(np.random.PCG64(41)).integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
 _B = np.random.Generator(np.random.PCG64(43)).integers(0, 2**32, HASHES, dtype=np.uint32)
 
 
-def _signature(values: np.ndarray) -> np.ndarray:
-    low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+def _signature(values: np.ndarray, hashes: int) -> np.ndarray:
+    low = np.full(hashes, 0xFFFFFFFF, np.uint32)
     x = (values >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(x), 2048):
-        np.minimum(low, (x[None, at:at + 2048] * _A[:, None] + _B[:, None]).min(axis=1), out=low)
+    a, b = _A[:hashes, None], _B[:hashes, None]
+    for at in range(0, len(x), 1024):
+        np.minimum(low, (x[None, at:at + 1024] * a + b).min(axis=1), out=low)
     return low.astype(np.uint8)
 
 
@@ -53,7 +57,7 @@ def signatures(docs: DataFrame, shingle_size: int = 5) -> DataFrame:
                              np.bitwise_xor.reduce(mix(s + np.uint64(0x27D4EB2F))) if len(s) else np.uint64(0)))
                 sizes.append(1 if len(s) else 0)
                 if len(s):
-                    slots = _signature(s)[:BAND * BANDS].reshape(BANDS, BAND).astype(np.uint64)
+                    slots = _signature(s, BAND * BANDS).reshape(BANDS, BAND).astype(np.uint64)
                     bands.append(((slots << weights).sum(axis=1, dtype=np.uint64) | tag).view(np.int64))
             k = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
             sizes = np.array(sizes, np.int64)
@@ -71,7 +75,7 @@ def _features(docs: DataFrame, shingle_size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             sets = list(shingle_sets(batch.column("text"), shingle_size))
-            sigs = [_signature(s).view(np.int64) for s in sets]
+            sigs = [_signature(s, HASHES).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), flat_list(np.concatenate([np.zeros(0, np.int64), *sigs]), np.array([len(s) for s in sigs], np.int64), pa.int64()),
                  pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "sig", "members"])
@@ -108,15 +112,15 @@ def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
     mixed = here.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key") \
         .agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("comp", F.struct("n", "comp")).alias("main")) \
         .filter("comps > 1").drop("comps")
-    return here.join(scratch_table(mixed, "mixed"), "key")
+    return here.join(scratch_table(mixed, "mixed", narrow=True), "key")
 
 
-def _across(rows: DataFrame, features: DataFrame, percent: int, most: int) -> DataFrame:
-    """Candidates between components inside a bucket: each straggler's ``most`` best estimates in each block it meets.
+def _across(rows: DataFrame, features: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Candidates (u, v, cut) between components inside a bucket: each straggler's ``most`` best estimates, or all.
 
-    A pair is looked at in the first of the bands that it shares. cut: a straggler had more of them.
+    A pair is looked at in the first of the bands that it shares. cut: the straggler had more of them.
     """
-    rows = scratch_table(rows.join(features.select("node", "sig"), "node"), "rows")
+    rows = scratch_table(rows.join(features.select("node", "sig"), "node"), "rows", narrow=True)
     blocks = lambda t, n, k: t.withColumn(k, F.pmod(F.xxhash64("node"), F.ceil(n / F.lit(BLOCK)))) \
         .groupBy("key", k).agg(F.collect_list(F.struct("node", "comp", "sig")).alias(f"{k}_rows"))
     xs = blocks(rows.filter("comp <> main"), F.col("n") - F.col("top"), "x")
@@ -138,13 +142,17 @@ def _across(rows: DataFrame, features: DataFrame, percent: int, most: int) -> Da
                 for i in np.flatnonzero((est >= 0).any(axis=1)):
                     good = np.flatnonzero(est[i] >= 0)
                     good = good[(slots[1][good] == slots[0][i]).all(axis=2).argmax(axis=1) == key >> BAND * BITS]
-                    best = good[np.lexsort((node[1][good], -est[i][good]))][:most]
-                    out += [(min(a, b), max(a, b), len(good) > most) for a in (int(node[0][i]),) for b in node[1][best].tolist()]
-            u, v, cut = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(cut, pa.bool_())], names=["u", "v", "cut"])
+                    best = good[np.lexsort((node[1][good], -est[i][good]))][:most and max(1, most // 4)]
+                    out += [(int(node[0][i]), int(node[1][j]), float(est[i][j]), len(best) < len(good)) for j in best]
+            x, y, e, cut = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(e, pa.float64()), pa.array(cut, pa.bool_())], names=["x", "y", "est", "cut"])
 
-    found = xs.join(ys, "key").select("key", "x_rows", "y_rows").mapInArrow(run, "u long, v long, cut boolean")
-    return found.groupBy("u", "v").agg(F.max("cut").alias("cut"))
+    found = xs.join(ys, "key").select("key", "x_rows", "y_rows").mapInArrow(run, "x long, y long, est double, cut boolean")
+    if most is not None:
+        line = W.partitionBy("x").orderBy(F.col("est").desc(), "y")
+        found = found.withColumn("place", F.row_number().over(line)).filter(F.col("place") <= most + 1) \
+            .withColumn("cut", F.col("cut") | (F.col("place") > most))
+    return found.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), "cut")
 
 
 def near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int = 80) -> DataFrame:
@@ -158,32 +166,30 @@ def near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int = 80) -
     """
     base = scratch_table(signatures(docs, shingle_size), "minhash")
     reps = scratch_table(base.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b")
-                         .agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")), "reps")
+                         .agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")), "reps", narrow=True)
     bands = reps.select("node", F.explode("bands").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")) \
         .filter("low < high").drop("high")
-    members = scratch_table(bands.join(scratch_table(buckets, "buckets"), "key"), "members")
+    members = scratch_table(bands.join(scratch_table(buckets, "buckets", narrow=True), "key"), "members", narrow=True)
     near = members.select(F.col("node").alias("near")).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    features = scratch_table(_features(text.join(near, text.doc_id == near.near, "left_semi"), shingle_size), "features")
+    features = scratch_table(_features(text.join(near, text.doc_id == near.near, "left_semi"), shingle_size), "features", narrow=True)
 
     stars = members.filter("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
-    tested = scratch_table(_confirm(stars, features, percent), "tested")
+    tested = scratch_table(_confirm(stars, features, percent), "tested", narrow=True)
     comps = connected_components(tested.filter("linked"))
-    most = 4
-    while True:
-        rows = scratch_table(_mixed(members, comps), "mixed")
+    for most in (FIRST, None):
+        rows = scratch_table(_mixed(members, comps), "mixed", narrow=True)
         if rows.isEmpty():
             break
-        found = scratch_table(_across(rows, features, percent, most), "across")
-        fresh = scratch_table(_confirm(found.select("u", "v").join(tested, ["u", "v"], "left_anti"), features, percent), "tested")
+        found = scratch_table(_across(rows, features, percent, most), "across", narrow=True)
+        fresh = scratch_table(_confirm(found.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"), features, percent), "tested", narrow=True)
         tested = tested.union(fresh)
         if not fresh.filter("linked").isEmpty():
             comps = connected_components(tested.filter("linked"))
         if found.filter("cut").isEmpty():
             break
-        most *= 16
-    labels = scratch_table(reps.join(comps, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component")), "labels")
+    labels = scratch_table(reps.join(comps, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component")), "labels", narrow=True)
     return base.select("doc_id", "n_shingles", "set_a", "set_b").join(labels, ["set_a", "set_b"], "left") \
         .select("doc_id", "n_shingles",
                 F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id"))
@@ -196,7 +202,7 @@ def drop_near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int =
 
     Rows without doc_id and documents without words are no one's duplicates and stay.
     """
-    found = scratch_table(near_duplicates(docs, shingle_size, percent), "groups")
+    found = scratch_table(near_duplicates(docs, shingle_size, percent), "groups", narrow=True)
     rows = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     out = rows.filter("not kept").select(F.col("doc_id").alias("_out"))
     once = docs.join(out, F.col("doc_id").cast("long") == F.col("_out"), "left_anti")
