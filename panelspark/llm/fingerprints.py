@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from panelspark.llm.common import CHUNK_BYTES, mix, prefix_hash, read_table, scratch_table, span_hash
 
 K, SIZE = 64, 9
-RANGE_BYTES, MOST_RANGES = 16 << 20, 20_000
+RANGE_BYTES, MOST_RANGES = 4 << 20, 20_000
 
 
 def _smallest(h: np.ndarray, k: int) -> np.ndarray:
