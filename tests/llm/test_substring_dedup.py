@@ -60,7 +60,8 @@ def test_text_loses_whole_characters(make_docs):
     line = "äöü" * 30  # the shared strings may start and end inside a character
     docs = make_docs(["1" + line, "é" + line + "ß"], [1, 2])
     got = {r["doc_id"]: r["kept"] for r in remove_repeated_strings(docs, as_text=True).collect()}
-    assert got == {1: "1" + line, 2: "éß"}
+    # the first byte of the closing letter goes with a shared string, so the letter goes
+    assert got == {1: "1" + line, 2: "é"}
 
 
 def test_empty_table(make_docs):
