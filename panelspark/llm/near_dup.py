@@ -27,7 +27,7 @@ HASHES = 2048
 BLOCK = 256
 # the best estimates of a straggler that are confirmed first
 FIRST = 8
-# four and a half standard deviations of the estimate at a similarity of 0.8
+# four and a half standard deviations of the estimate at a similarity of 0.8, measured as 0.0095 for sets of 5 to 500
 MARGIN = 0.043
 
 _A = np.random.Generator(np.random.PCG64(41)).integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -35,11 +35,19 @@ _B = np.random.Generator(np.random.PCG64(43)).integers(0, 2**32, HASHES, dtype=n
 
 
 def _signature(values: np.ndarray, hashes: int) -> np.ndarray:
+    """Low bits of the minima. a * x + b alone is not enough: whether the low bits of two of its values agree hardly depends
+    on a, so all functions would agree or differ alike; a shift and a product after it bring the high bits down."""
     low = np.full(hashes, 0xFFFFFFFF, np.uint32)
     x = (values >> np.uint64(32)).astype(np.uint32)
-    a, b = _A[:hashes, None], _B[:hashes, None]
-    for at in range(0, len(x), 1024):
-        np.minimum(low, (x[None, at:at + 1024] * a + b).min(axis=1), out=low)
+    a, b = _A[:hashes], _B[:hashes]
+    # values of a block stay in the processor's cache
+    step = (1 << 17) // hashes
+    for at in range(0, len(x), step):
+        h = x[at:at + step, None] * a
+        h += b
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x85EBCA6B)
+        np.minimum(low, h.min(axis=0), out=low)
     return low.astype(np.uint8)
 
 

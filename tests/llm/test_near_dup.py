@@ -1,11 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from helpers import words
 from panelspark.llm.graph import connected_components
-from panelspark.llm.near_dup import drop_near_duplicates, near_duplicates
+from panelspark.llm.near_dup import BITS, HASHES, MARGIN, _signature, drop_near_duplicates, near_duplicates
 
 
 def brute(texts, ids, size, percent=80):
@@ -84,3 +85,27 @@ def test_components_of_a_long_chain(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
     low = min(ids)
     assert got == {**{i: low for i in ids if i != low}, 10 ** 10 + 1: 10 ** 10}
+
+
+@pytest.mark.parametrize("common, a, b", [(4, 1, 0), (8, 2, 0), (8, 1, 1)])
+def test_estimates_of_small_sets_stay_within_the_margin(common, a, b):
+    rng = np.random.default_rng(common + b)
+    estimates = []
+    for _ in range(6000):
+        x = rng.integers(0, 2**64, common + a + b, dtype=np.uint64)
+        u, v = _signature(x[:common + a], HASHES), _signature(np.concatenate([x[:common], x[common + a:]]), HASHES)
+        estimates.append(1 - 2 * int(np.bitwise_count(u ^ v).sum(dtype=np.int64)) / (HASHES * BITS))
+    estimates = np.array(estimates)
+    assert (estimates < 0.8 - MARGIN).sum() == 0
+    assert estimates.mean() == pytest.approx(0.8, abs=0.001)
+    assert estimates.std() < MARGIN / 4.3
+
+
+def test_short_texts_at_the_threshold_are_linked(make_docs):
+    rnd = random.Random(11)
+    texts = []
+    for i in range(2000):
+        base = words(rnd, 5, prefix=f"p{i}_", most=10 ** 6)  # 4 shingles of two words, 5 with one word more
+        texts += [base, base + f" q{i}"]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make_docs(texts), 2).collect()}
+    assert [i for i in range(0, 4000, 2) if got[i + 1] != i] == []
