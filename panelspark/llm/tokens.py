@@ -2,7 +2,8 @@
 
 A text is cut into units: runs without ASCII white space, and of those the closing ASCII punctuation after a letter or
 digit. Such a tokenizer encodes each unit alone as it does within the text, so each distinct unit is encoded once per
-worker process and whole texts are assembled by array lookups. The cache is emptied at ``MOST_UNITS`` units.
+worker process and whole texts are assembled by array lookups. The cache is emptied at ``MOST_UNITS`` units, except that
+it always holds the chunk at hand.
 """
 
 from __future__ import annotations
@@ -58,17 +59,16 @@ class UnitTokenizer:
         self.n = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, strings: list[str]):
-        if len(self.keys) + len(keys) > MOST_UNITS:
-            self._clear()
-        ids, n = [], []
-        for lo in range(0, len(strings), 2048):
-            for e in self.model.encode_batch_fast(strings[lo:lo + 2048], add_special_tokens=False):
-                ids += e.ids
-                n.append(len(e))
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        ids, n = [self.pool], []
+        for lo in range(0, len(keys), 2048):
+            strings = [bytes(data[i:j]).decode("utf-8", "replace") for i, j in zip(starts[lo:lo + 2048], ends[lo:lo + 2048])]
+            found = self.model.encode_batch_fast(strings, add_special_tokens=False)
+            ids.append(np.array([i for e in found for i in e.ids], np.uint32))
+            n += [len(e) for e in found]
         n = np.array(n, np.int64)
         at = len(self.pool) + np.cumsum(n) - n
-        self.pool = np.concatenate([self.pool, np.array(ids, np.uint32)])
+        self.pool = np.concatenate(ids)
         order = np.argsort(keys)
         to = np.searchsorted(self.keys, keys[order])
         self.at = np.insert(self.at, to, at[order])
@@ -76,20 +76,20 @@ class UnitTokenizer:
         self.keys = np.insert(self.keys, to, keys[order])
 
     def _find(self, data, starts, ends, keys, first):
-        """Places of the keys in the cache, all encoded before; the whole chunk is learnt anew after a clearing."""
-        for _ in range(2):
-            at = np.searchsorted(self.keys, keys)
-            known = np.zeros(len(keys), bool)
-            inside = at < len(self.keys)
-            known[inside] = self.keys[at[inside]] == keys[inside]
-            if known.all():
-                return at
-            new = np.flatnonzero(~known)
-            had = len(self.keys)
-            self._learn(keys[new], [bytes(data[starts[i]:ends[i]]).decode("utf-8", "replace") for i in first[new]])
-            if len(self.keys) == had + len(new):
-                return np.searchsorted(self.keys, keys)
-        return self._find(data, starts, ends, keys, first)
+        """Places of the keys in the cache, all encoded before. Where the cache would outgrow its limit, it is emptied and the
+        whole chunk learnt anew; a chunk with more units than the limit has them all in the cache until the next emptying."""
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        if known.all():
+            return at
+        if len(self.keys) + len(keys) - int(known.sum()) > MOST_UNITS:
+            self._clear()
+            known[:] = False
+        new = np.flatnonzero(~known)
+        self._learn(keys[new], data, starts[first[new]], ends[first[new]])
+        return np.searchsorted(self.keys, keys)
 
     def counts(self, data: np.ndarray, offsets: np.ndarray):
         """Units (starts, ends, document offsets) and, per unit, its place in ``pool`` and number of ids."""

@@ -37,6 +37,17 @@ def test_cache_is_emptied_without_harm(model, monkeypatch):
     test_units_give_the_ids_of_whole_texts(model)
 
 
+@pytest.mark.parametrize("most", [1, 3, 20])
+def test_a_text_with_more_units_than_the_cache_may_hold(monkeypatch, most):
+    monkeypatch.setattr("panelspark.llm.tokens.MOST_UNITS", most)
+    model = UnitTokenizer(word_tokenizer())
+    texts = ["u1 u2", words(random.Random(5), 400), "u2 u3. u1", words(random.Random(6), 400), ""]
+    for t in texts + texts[::-1]:  # the cache is warm from the second on
+        (ids, off), = model.encode(pa.array([t]))
+        assert ids.tolist() == whole(model, t) and off.tolist() == [0, len(ids)]
+    assert _count(model, texts) == [len(whole(model, t)) for t in texts]
+
+
 def test_first_fit_takes_the_first_bin_with_room():
     free = FreeSpace(3, 10)
     assert [free.take_first(n) for n in (6, 6, 4, 5, 4)] == [0, 1, 0, 2, 1]
