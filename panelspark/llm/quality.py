@@ -4,7 +4,8 @@ Each text becomes a few dozen numbers about its whole bytes: shares of letters,
 space, length and repetition of words and lines, how much of it a compressor saves. A small network on the
 standardised numbers is trained in numpy by the non-negative risk estimator (Kiryo et al., 2017): the positives' loss
 times the class prior, plus the part of the unlabelled texts' negative loss that the positives don't explain, never
-below zero. The prior is estimated from the unlabelled texts themselves (Elkan and Noto, 2008, on held-back positives).
+below zero. The prior is estimated from held-back halves of both samples, ranked by a classifier of positives against
+unlabelled texts: the least ratio of the shares above a score (Garg et al., 2021).
 """
 
 from __future__ import annotations
@@ -109,9 +110,9 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int, batch: int, seed: int) -> Network:
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int, batch: int, seed: int) -> Network:
     """Minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss; where the second part of a batch
-    is below zero, its gradient is turned round."""
+    is below zero, its gradient is turned round. Without a prior, R_p(+) + R_u(-): positives against unlabelled texts."""
     net = Network(unlabelled, seed)
     rng = np.random.default_rng(seed + 1)
     m = [np.zeros_like(p) for p in net.p]
@@ -119,10 +120,11 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     for t in range(1, steps + 1):
         xp, xu = positive[rng.integers(0, len(positive), batch)], unlabelled[rng.integers(0, len(unlabelled), batch)]
         zp, zu = net.logits(xp), net.logits(xu)
-        rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp_neg, gu_neg = -prior * _sigmoid(zp) / batch, _sigmoid(zu) / batch
+        share = 0.0 if prior is None else prior
+        rest = np.logaddexp(0, zu).mean() - share * np.logaddexp(0, zp).mean()
+        gp_neg, gu_neg = -share * _sigmoid(zp) / batch, _sigmoid(zu) / batch
         if rest >= 0:
-            grads = [a + b for a, b in zip(net.gradient(xp, -prior * _sigmoid(-zp) / batch + gp_neg), net.gradient(xu, gu_neg))]
+            grads = [a + b for a, b in zip(net.gradient(xp, -(prior or 1.0) * _sigmoid(-zp) / batch + gp_neg), net.gradient(xu, gu_neg))]
         else:
             grads = [a + b for a, b in zip(net.gradient(xp, -gp_neg), net.gradient(xu, -gu_neg))]
         for i, g in enumerate(grads):
@@ -134,31 +136,41 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0) -> float:
-    """Share of positives among the unlabelled: from a classifier of trusted against unlabelled texts, how often the
-    unlabelled ones reach what all but a hundredth of held-back positives reach; from above 0.5 to 0.98."""
-    net = train(positive[::2], unlabelled, 0.5, 400, 256, seed)
-    low = np.quantile(net.logits(positive[1::2]), 0.01) if len(positive) > 1 else 0.0
-    return float(np.clip((net.logits(unlabelled) >= low).mean() / 0.99, 0.5, 0.98))
-
-
-def widest_gap(z: np.ndarray, share: float, around: float = 0.06) -> float:
-    """Middle of the widest gap between neighbouring values near the ``share`` quantile: where the odds turn."""
-    z = np.sort(np.clip(z, -12, 12))
-    lo, hi = (int(np.clip((share + s * around) * len(z), 0, len(z) - 1)) for s in (-1, 1))
-    if hi <= lo:
+    """Share of positives among the unlabelled. Above any score lie at least prior * (the positives' share above it) of the
+    unlabelled, so the ratio of the two shares is at least the prior, and nearest to it where no others are left; it is
+    taken where the ratio and its error bound (of samples of this size) are least together."""
+    net = train(positive[::2], unlabelled[::2], None, 400, 256, seed)
+    zp, zu = (np.sort(net.logits(x[1::2] if len(x) > 1 else x)) for x in (positive, unlabelled))
+    above = [1 - np.searchsorted(z, zp, "left") / len(z) for z in (zp, zu)]
+    error = sum(np.sqrt(np.log(40) / 2 / len(z)) for z in (zp, zu))
+    ratio = above[1] / above[0]
+    # the network's odds need both classes
+    return float(np.clip(ratio[np.argmin(ratio + 1.01 * error / above[0])], 0.001, 0.999))
+
+
+def even_odds(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
+    """The logit at which texts are told apart with the least risk at ``prior``: that times the positives' share below, plus
+    the unlabelled share above that the positives don't explain. Of all cuts within one standard error of the least risk,
+    the middle of the widest gap between neighbouring unlabelled logits."""
+    zp, zu = np.sort(np.clip(zp, -12, 12)), np.sort(np.clip(zu, -12, 12))
+    if len(zu) < 2:
         return 0.0
-    k = lo + int(np.argmax(np.diff(z[lo:hi + 1])))
-    return float((z[k] + z[k + 1]) / 2)
+    middle = (zu[1:] + zu[:-1]) / 2
+    found, above = 1 - np.searchsorted(zp, middle, "left") / len(zp), 1 - np.arange(1, len(zu)) / len(zu)
+    risk = prior * (1 - found) + np.maximum(0, above - prior * found)
+    least = int(np.argmin(risk))
+    error = np.sqrt(prior ** 2 * found[least] * (1 - found[least]) / len(zp) + above[least] * (1 - above[least]) / len(zu))
+    return float(middle[np.argmax(np.where(risk <= risk[least] + error, np.diff(zu), -1))])
 
 
 def fit_quality(positives: list[str], unlabelled: list[str], steps: int = 3000, batch: int = 256, seed: int = 0) -> dict:
-    """Network and prior; without positives or unlabelled texts every score is the 0.7 that asks for no decision."""
+    """Network, prior and cut; without positives or unlabelled texts every score is the 0.7 that asks for no decision."""
     if not positives or not unlabelled:
         return {"rate": THRESHOLD}
     xp, xu = features(pa.array(positives, pa.large_string())), features(pa.array(unlabelled, pa.large_string()))
     prior = estimate_prior(xp, xu, seed)
     net = train(xp, xu, prior, steps, batch, seed)
-    return {"net": net, "prior": prior, "cut": widest_gap(net.logits(xu), 1 - prior)}
+    return {"net": net, "prior": prior, "cut": even_odds(net.logits(xp), net.logits(xu), prior)}
 
 
 def score_quality(docs: DataFrame, fitted: dict, name: str = "score") -> DataFrame:

@@ -83,6 +83,17 @@ def test_positive_unlabelled_learning_on_held_out_texts():
     assert ((z >= 0) == np.array([True] * 150 + [False] * 150)).mean() > 0.95
 
 
+@pytest.mark.parametrize("share", [0.02, 0.1, 0.3, 0.5, 0.9])
+def test_any_share_of_good_texts(share):
+    good, junk = quality_texts(800, 5)
+    k = round(500 * share)
+    fitted = Q.fit_quality(good[:300], good[300:300 + k] + junk[:500 - k], steps=800)
+    assert fitted["prior"] == pytest.approx(share, abs=0.05)
+    a, b = quality_texts(200, 6)
+    z = fitted["net"].logits(Q.features(pa.array(a + b))) - fitted["cut"]
+    assert (z[:200] >= 0).mean() > 0.95 and (z[200:] < 0).mean() > 0.95
+
+
 def test_gradient_of_the_risk():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(20, 5))
