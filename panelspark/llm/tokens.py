@@ -95,6 +95,11 @@ class UnitTokenizer:
         """Units (starts, ends, document offsets) and, per unit, its place in ``pool`` and number of ids."""
         starts, ends, docs = units(data, offsets)
         h = span_hash(prefix_hash(data, lower=True), starts, ends)
+        # special tokens are matched before lower-casing: their units are known by their exact bytes
+        mark = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|"))) if len(starts) else np.zeros(0, np.int64)
+        if len(mark):
+            exact = np.unique(np.searchsorted(starts, mark, "right") - 1)
+            h[exact] = span_hash(prefix_hash(data), starts[exact], ends[exact])
         keys, first, same = np.unique(h, return_index=True, return_inverse=True)
         at = self._find(data, starts, ends, keys, first) if len(keys) else np.zeros(0, np.int64)
         return starts, ends, docs, self.at[at][same], self.n[at][same]

@@ -48,6 +48,19 @@ def test_a_text_with_more_units_than_the_cache_may_hold(monkeypatch, most):
     assert _count(model, texts) == [len(whole(model, t)) for t in texts]
 
 
+def test_spellings_of_a_special_token_in_any_order():
+    texts = ["a <|endoftext|> b", "A <|ENDOFTEXT|> B", "x<|EndOfText|>y.", "X<|endoftext|>Y.", "<", "|>"]
+    for order in (texts, texts[::-1]):
+        fresh = UnitTokenizer(word_tokenizer())
+        got = []
+        for ids, off in fresh.encode(pa.array(order)):
+            got += [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])]
+        assert got == [whole(fresh, t) for t in order]
+        for t in order[::-1]:
+            (ids, _), = fresh.encode(pa.array([t]))
+            assert ids.tolist() == whole(fresh, t)
+
+
 def test_first_fit_takes_the_first_bin_with_room():
     free = FreeSpace(3, 10)
     assert [free.take_first(n) for n in (6, 6, 4, 5, 4)] == [0, 1, 0, 2, 1]
