@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import PANEL, d, make_panel, walk
+from panel_helpers import PANEL, d, make_panel, walk
 from panelspark.functions import round_doubles
 from panelspark.operators import features as FE
 from panelspark.operators import labels as LB

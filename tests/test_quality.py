@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import PANEL, d
+from panel_helpers import PANEL, d
 from panelspark.operators import quality as Q
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import make_panel, walk
+from panel_helpers import make_panel, walk
 from panelspark.functions.quantiles import exact_quantiles
 from panelspark.operators import validation as V
 
