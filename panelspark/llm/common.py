@@ -73,7 +73,7 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES):
         lo = hi
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, CHUNK_BYTES + 1)
         out = []
@@ -96,14 +96,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
     """n + 1 prefix sums; ``span_hash`` turns two of them into the hash of the bytes between."""
-    up, _ = _powers(len(data) + 1)
+    up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[: len(data)], out=out[1:])
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = _powers(len(prefix))
+    _, down = powers(len(prefix))
     return mix((prefix[end] - prefix[start]) * down[start])
 
 

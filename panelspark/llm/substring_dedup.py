@@ -5,7 +5,8 @@ window's bytes only, so equal windows have equal anchors. Neighbouring windows o
 
 1. Documents are dealt into groups of a few MB. Each group reports its distinct anchor hashes to hash buckets, which
    answer with those that occur in two documents or more: any other window is unique. Nothing is lost, as a chance
-   agreement of hashes only adds work.
+   agreement of hashes only adds work. Groups and buckets meet over as many exchanges as keep the rows of a task below
+   a fixed number (``Net``), so rows grow in proportion to the groups.
 2. Each group sends its distinct pieces of those anchors to suffix buckets, keyed by the anchor (or, for an anchor
    with very many pieces, by the window itself, so a frequent short line is spread out).
 3. A suffix bucket sorts its windows block by block: by their first 32 bytes, long ties by the precomputed ranks of a
@@ -22,19 +23,23 @@ from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from panelspark.llm.common import chunks, prefix_hash, read_table, span_hash, text_bytes
+from panelspark.llm.common import chunks, mix, powers, prefix_hash, read_table, span_hash, text_bytes
 
 # A perfect difference set; every distance modulo 31 is a difference of two of its members.
 COVER, PERIOD = (0, 1, 3, 8, 12, 18), 31
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
+FAN = 128
 SORT_BLOCK = 1 << 20
 HOT_PIECES = 512
 LAST = np.iinfo(np.int64).max
 _LOW48 = np.uint64((1 << 48) - 1)
+_BLOCK = 1 << 16
+_PLACE = np.uint64((1 << 17) - 1)  # a place in a block and its last window
 _TO_SAMPLE = np.array([min((c - r) % PERIOD for c in COVER) for r in range(PERIOD)])
 
 
@@ -109,34 +114,46 @@ class _Shape:
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, shape: _Shape):
-    """Runs of windows of one anchor: first and last window start, anchor hash (48 bits), prefix hash of the data."""
+    """Runs of windows of one anchor: first and last window start, anchor hash (48 bits), prefix hash of the data.
+
+    Blocks of windows at a time: a k-mer's hash and its place in the block are one number, so a window's anchor is a minimum.
+    """
     n = len(data) - shape.length + 1
-    if n <= 0:
-        z = np.zeros(0, np.int64)
-        return z, z, z.astype(np.uint64), prefix_hash(data)
     prefix = prefix_hash(data)
-    i = np.arange(len(data) - shape.k + 1)
-    kmer = span_hash(prefix, i, i + shape.k)
-    value, place, have = kmer, i.astype(np.int32 if len(data) < 2**31 else np.int64), 1
-    while have < shape.many:
-        step = min(have, shape.many - have)
-        later = value[step:] < value[:-step]
-        place = np.where(later, place[step:], place[:-step])
-        value = np.minimum(value[step:], value[:-step])
-        have += step
-    edge = np.zeros(n + 1, np.int32)
+    firsts, lasts, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     lo, hi = offsets[:-1], offsets[1:] - shape.length
     ok = hi >= lo
-    np.add.at(edge, lo[ok], 1)
-    np.add.at(edge, hi[ok] + 1, -1)
-    start = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-    if not len(start):
-        z = np.zeros(0, np.int64)
-        return z, z, z.astype(np.uint64), prefix
-    owner = place[start]
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    last = np.concatenate([first[1:], [len(start)]]) - 1
-    return start[first], start[last], kmer[owner[first]] & _LOW48, prefix
+    edge = np.zeros(max(n, 0) + 1, np.int8)
+    edge[lo[ok]] += 1  # no two documents with a window start, or end, at one place
+    edge[hi[ok] + 1] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    for s in range(0, n, _BLOCK):
+        e = min(n, s + _BLOCK)
+        value = _kmers(prefix, s, e + shape.many - 1, shape.k)
+        value &= ~_PLACE
+        value |= np.arange(len(value), dtype=np.uint64)
+        have = 1
+        while have < shape.many:
+            step = min(have, shape.many - have)
+            value = np.minimum(value[step:], value[:-step])
+            have += step
+        start = np.flatnonzero(inside[s:e])
+        if len(start):
+            owner = (value[start] & _PLACE).astype(np.int64)
+            cut = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+            firsts.append(s + start[np.concatenate([[0], cut])])
+            lasts.append(s + start[np.concatenate([cut, [len(start)]]) - 1])
+            owners.append(s + owner[np.concatenate([[0], cut])])
+    first, last, owner = map(np.concatenate, (firsts, lasts, owners))
+    if len(owner):  # a run that goes on in the next block is one run
+        new = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        first, last, owner = first[new], last[np.append(new[1:], len(owner)) - 1], owner[new]
+    return first, last, span_hash(prefix, owner, owner + shape.k) & _LOW48, prefix
+
+
+def _kmers(prefix: np.ndarray, lo: int, hi: int, k: int) -> np.ndarray:
+    """Hashes of the k-byte strings that start at lo .. hi - 1."""
+    return mix((prefix[lo + k:hi + k] - prefix[lo:hi]) * powers(len(prefix))[1][lo:hi])
 
 
 def _runs(text: pa.ChunkedArray, shape: _Shape):
@@ -186,11 +203,29 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-_REPORT = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("anchors", pa.binary()), ("counts", pa.binary())])
-_SHARED = pa.schema([("g", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
-_PIECES = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
-_DDL = {id(s): ", ".join(f"{f.name} {t}" for f in s for t in [{"int64": "long", "int32": "int", "binary": "binary"}[str(f.type)]])
-        for s in (_REPORT, _SHARED, _PIECES)}
+class Net:
+    """How items travel between groups and buckets: in ``hops`` exchanges, each dealing the items of a task to ``fan`` others.
+
+    After hop l a task holds, of ``fan**l`` groups, the items whose bucket begins with the same l digits (base fan), which is
+    as much as one group has; so an exchange has ``groups * fan`` rows, not ``groups * buckets``. Answers go back likewise.
+    """
+
+    def __init__(self, groups: int, fan: int = FAN):
+        self.groups, self.hops = groups, 1
+        while fan ** self.hops < groups:
+            self.hops += 1
+        self.fan = next(f for f in range(1, fan + 1) if f ** self.hops >= groups)
+        self.buckets = self.fan ** self.hops
+
+    def key(self, level: int, bucket, g):
+        """The task at a level (0: the group itself, ``hops``: the bucket itself) of an item between group g and a bucket."""
+        return bucket // self.fan ** (self.hops - level) * -(-self.groups // self.fan ** level) + g // self.fan ** level
+
+
+# Rows of items; a row without ``who`` is the list of frequent anchors of group ``own``, which travels to bucket own % buckets and back.
+_ROWS = pa.schema([("key", pa.int64()), ("own", pa.int64()), ("who", pa.binary()), ("lens", pa.binary()), ("bucket", pa.binary()),
+                   ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_DDL = ", ".join(f"{f.name} {({'int64': 'long', 'binary': 'binary'})[str(f.type)]}" for f in _ROWS)
 
 
 def _by_bucket(bucket: np.ndarray):
@@ -199,8 +234,100 @@ def _by_bucket(bucket: np.ndarray):
     return [(int(bucket[order[a]]), order[a:b]) for a, b in zip(edges[:-1], edges[1:])] if len(order) else []
 
 
-def _report(shape: _Shape, buckets: int):
-    """A group's distinct anchors: per bucket, sorted hashes and occurrences (1 if in one document only, at most 255)."""
+def _deal(net: Net, level: int, bucket: np.ndarray, g: np.ndarray, pack) -> list[tuple]:
+    """Rows of items for the tasks of a level; ``pack(items)`` gives the columns a, b, c of the chosen items."""
+    out = []
+    for k, i in _by_bucket(net.key(level, bucket, g)):
+        i = i[np.argsort(g[i], kind="stable")]
+        at = np.flatnonzero(np.diff(g[i], prepend=-1))
+        out.append((k, None, g[i[at]].tobytes(), np.diff(np.append(at, len(i))).astype(np.int32).tobytes(),
+                    bucket[i].tobytes() if 0 < level < net.hops else None, *pack(i)))
+    return out
+
+
+def _items(table: pa.Table):
+    """Of rows with items: the group of each item."""
+    return np.repeat(_bytes(table.column("who"), np.int64), _bytes(table.column("lens"), np.int32))
+
+
+def _split(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """Rows with items, and rows with a group's frequent anchors."""
+    own = table.column("own").is_valid()
+    return table.filter(pc.invert(own)), table.filter(own)
+
+
+def _lists(net: Net, level: int, table: pa.Table) -> list[tuple]:
+    return [(net.key(level, own % net.buckets, own), own, None, None, None, a, None, None)
+            for own, a in zip(table.column("own").to_pylist(), table.column("a").to_pylist())]
+
+
+def _pack_hashes(h, n):
+    return lambda i: (_planes(h[i]), n[i].tobytes(), None)
+
+
+def _forward(net: Net, level: int):
+    """A task between the hops: hashes of ``fan**level`` groups go on by the next digit of their bucket."""
+    def run(table: pa.Table) -> pa.Table:
+        h, n, g = _hashes(table)
+        return _table(_ROWS, _deal(net, level + 1, (h % np.uint64(net.buckets)).astype(np.int64), g, _pack_hashes(h, n)))
+
+    return run
+
+
+def _forward_pieces(net: Net, level: int):
+    def run(table: pa.Table) -> pa.Table:
+        rows, lists = _split(table)
+        out = _lists(net, level + 1, lists)
+        if len(rows):
+            doc, size, data = _unpack_pieces(rows)
+            out += _deal(net, level + 1, _bytes(rows.column("bucket"), np.int64), _items(rows), _pack_pieces(doc, size, data, np.cumsum(size) - size))
+        return _table(_ROWS, out)
+
+    return run
+
+
+def _back(net: Net, level: int, planes: bool):
+    """A task between the hops on the way back: answers go on to the level below."""
+    def run(table: pa.Table) -> pa.Table:
+        rows, lists = _split(table)
+        out = _lists(net, level - 1, lists)
+        if len(rows):
+            g, bucket = _items(rows), _bytes(rows.column("bucket"), np.int64)
+            if planes:
+                h, n, _ = _hashes(rows)
+                out += _deal(net, level - 1, bucket, g, _pack_hashes(h, n))
+            else:
+                a, b = _bytes(rows.column("a"), np.uint64), _bytes(rows.column("b"), np.uint64)
+                out += _deal(net, level - 1, bucket, g, lambda i: (a[i].tobytes(), b[i].tobytes(), None))
+        return _table(_ROWS, out)
+
+    return run
+
+
+def _hashes(table: pa.Table):
+    h = np.concatenate([np.zeros(0, np.uint64), *[_unplanes(b) for b in table.column("a")]])
+    return h, _bytes(table.column("b"), np.uint8), _items(table)
+
+
+def _pack_pieces(doc, size, data, where):
+    squeeze = zstandard.ZstdCompressor(level=1)  # pieces overlap, so their bytes are most of what moves
+
+    def pack(i):
+        n = size[i]
+        take = np.repeat(where[i] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return doc[i].tobytes(), n.astype(np.uint8).tobytes(), squeeze.compress(data[take].tobytes())
+
+    return pack
+
+
+def _unpack_pieces(table: pa.Table):
+    grow = zstandard.ZstdDecompressor()
+    data = np.concatenate([np.frombuffer(grow.decompress(b.as_buffer()), np.uint8) for b in table.column("c")])
+    return _bytes(table.column("a"), np.int64), _bytes(table.column("b"), np.uint8).astype(np.int64), data
+
+
+def _report(shape: _Shape, net: Net):
+    """A group's distinct anchors: sorted hashes and occurrences (1 if in one document only, at most 255)."""
     def run(table: pa.Table) -> pa.Table:
         doc = _ids(table.column("doc"))
         anchors, docs = [], []
@@ -209,48 +336,42 @@ def _report(shape: _Shape, buckets: int):
             docs.append(doc[lo + np.searchsorted(off, first, "right") - 1])
         h, d = np.concatenate(anchors), np.concatenate(docs)
         if not len(h):
-            return _table(_REPORT, [])
+            return _table(_ROWS, [])
         order = np.argsort(h, kind="stable")
         h, d = h[order], d[order]
         at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         n = np.diff(np.append(at, len(h)))
         n[np.minimum.reduceat(d, at) == np.maximum.reduceat(d, at)] = 1
         h, n = h[at], np.minimum(n, 255).astype(np.uint8)
-        g = table.column("g")[0].as_py()
-        return _table(_REPORT, [(b, g, _planes(h[i]), n[i].tobytes()) for b, i in _by_bucket((h % np.uint64(buckets)).astype(np.int64))])
+        g = np.full(len(h), table.column("g")[0].as_py(), np.int64)
+        return _table(_ROWS, _deal(net, 1, (h % np.uint64(net.buckets)).astype(np.int64), g, _pack_hashes(h, n)))
 
     return run
 
 
-def _share(shape: _Shape):
-    """A hash bucket's answers: each group's anchors that occur in two documents or more (kind 0: a; hot ones: b)."""
+def _share(shape: _Shape, net: Net):
+    """A hash bucket's answers: each group's anchors that occur in two documents or more, and whether they are frequent."""
     def run(table: pa.Table) -> pa.Table:
-        parts = [_unplanes(b) for b in table.column("anchors")]
-        h = np.concatenate(parts)
-        n = _bytes(table.column("counts"), np.uint8).astype(np.int64)
-        who = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        h, n, g = _hashes(table)
         order = np.argsort(h, kind="stable")
         at = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
-        total = np.add.reduceat(n[order], at)
+        total = np.add.reduceat(n[order].astype(np.int64), at)
         count = np.empty(len(h), np.int64)
         count[order] = np.repeat(total, np.diff(np.append(at, len(h))))
         keep = count > 1
-        out = []
-        g = table.column("g").to_pylist()
-        for w, i in _by_bucket(who[keep]):
-            own, hot = h[keep][i], count[keep][i] > shape.hot_pieces
-            out.append((g[w], 0, _planes(own), _planes(own[hot])))
-        return _table(_SHARED, out)
+        bucket = (h[keep] % np.uint64(net.buckets)).astype(np.int64)
+        return _table(_ROWS, _deal(net, net.hops - 1, bucket, g[keep], _pack_hashes(h[keep], (count[keep] > shape.hot_pieces).astype(np.uint8))))
 
     return run
 
 
-def _send(shape: _Shape, buckets: int):
-    """A group's distinct pieces of shared anchors, each with its smallest document, by suffix bucket."""
+def _send(shape: _Shape, net: Net):
+    """A group's distinct pieces of shared anchors, each with its smallest document, by suffix bucket; and its frequent anchors."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(right) or not len(left):
-            return _table(_PIECES, [])
-        shared, hot = (np.sort(np.concatenate([_unplanes(b) for b in right.column(c)])) for c in ("a", "b"))
+            return _table(_ROWS, [])
+        shared, frequent, _ = _hashes(right)
+        hot, shared = np.sort(shared[frequent > 0]), np.sort(shared)
         left = left.sort_by("doc")
         doc = _ids(left.column("doc"))
         keys, contents, docs, sizes, where, texts = [], [], [], [], [], []
@@ -267,17 +388,14 @@ def _send(shape: _Shape, buckets: int):
             texts.append(part)
             base += len(part)
         keys, contents, docs, sizes, where = map(np.concatenate, (keys, contents, docs, sizes, where))
-        data = np.concatenate(texts)
         _, one = np.unique(contents, return_index=True)  # documents ascend: the first is the smallest
-        g = left.column("g")[0].as_py()
-        squeeze = zstandard.ZstdCompressor(level=1)  # pieces overlap, so their bytes are most of what moves
-        out = []
-        for b, i in _by_bucket((keys[one] % np.uint64(buckets)).astype(np.int64)):
-            i = one[i]
-            n = sizes[i]
-            take = np.repeat(where[i] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            out.append((b, g, docs[i].tobytes(), n.astype(np.uint8).tobytes(), squeeze.compress(data[take].tobytes())))
-        return _table(_PIECES, out)
+        one = one[np.argsort(keys[one], kind="stable")]  # pieces of one anchor look alike
+        own = left.column("g")[0].as_py()
+        out = _deal(net, 1, (keys[one] % np.uint64(net.buckets)).astype(np.int64), np.full(len(one), own, np.int64),
+                    _pack_pieces(docs[one], sizes[one], np.concatenate(texts), where[one]))
+        if len(hot):
+            out += [(net.key(1, own % net.buckets, own), own, None, None, None, _planes(hot), None, None)]
+        return _table(_ROWS, out)
 
     return run
 
@@ -307,16 +425,18 @@ def smallest_documents(data: np.ndarray, start: np.ndarray, size: np.ndarray, do
     return out, many
 
 
-def _sort_bucket(shape: _Shape):
-    """A suffix bucket's answers: for each group and piece, the windows that start in a smaller document (kind 1)."""
+def _sort_bucket(shape: _Shape, net: Net):
+    """A suffix bucket's answers: for each group and piece, the windows that start in a smaller document."""
     def run(table: pa.Table) -> pa.Table:
-        doc, size = _bytes(table.column("docs"), np.int64), _bytes(table.column("sizes"), np.uint8).astype(np.int64)
-        grow = zstandard.ZstdDecompressor()
-        data = np.concatenate([np.frombuffer(grow.decompress(b.as_buffer()), np.uint8) for b in table.column("bytes")])
+        bucket = table.column("key")[0].as_py()
+        table, lists = _split(table)
+        passed = _lists(net, net.hops - 1, lists)
+        if not len(table):
+            return _table(_ROWS, passed)
+        doc, size, data = _unpack_pieces(table)
         start = np.cumsum(size) - size
         content, key, lead = _identify(data, start, size, shape)
-        who = np.repeat(np.arange(len(table)), [len(b.as_buffer()) for b in table.column("sizes")])
-        g = table.column("g").to_pylist()
+        g = _items(table)
         order = np.lexsort([doc, content, key])
         k, c = key[order], content[order]
         new = np.concatenate([[True], (c[1:] != c[:-1]) | (k[1:] != k[:-1])])
@@ -361,7 +481,8 @@ def _sort_bucket(shape: _Shape):
             bits = np.where(smaller, np.uint64(1) << step.astype(np.uint64), np.uint64(0))
             mask[need] = np.bitwise_or.reduceat(bits, np.cumsum(many) - many)
         some = np.flatnonzero(mask)
-        return _table(_SHARED, [(g[w], 1, content[some[i]].tobytes(), mask[some[i]].tobytes()) for w, i in _by_bucket(who[some])])
+        content, mask = content[some], mask[some]
+        return _table(_ROWS, passed + _deal(net, net.hops - 1, np.full(len(some), bucket, np.int64), g[some], lambda i: (content[i].tobytes(), mask[i].tobytes(), None)))
 
     return run
 
@@ -378,7 +499,7 @@ def _identify(data, start, size, shape: _Shape):
         place = np.zeros(hi - lo, np.int64)
         for j in range(1, shape.many):
             v = span_hash(prefix, at + j, at + j + shape.k)
-            less = v < best
+            less = (v & ~_PLACE) < (best & ~_PLACE)
             best[less], place[less] = v[less], j
         key[lo:hi], lead[lo:hi] = best & _LOW48, place
     return content, key, lead
@@ -395,10 +516,9 @@ def _whole_characters(data: np.ndarray, removed: np.ndarray) -> np.ndarray:
 def _finish(shape: _Shape, as_text: bool):
     """A group's documents with the removed byte ranges and the bytes that stay."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind = right.column("kind").to_numpy() if len(right) else np.zeros(0, np.int32)
-        hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *[_unplanes(b) for b, k in zip(right.column("b"), kind) if k == 0]]))
-        answer = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(b.as_buffer(), np.uint64) for b, k in zip(right.column("a"), kind) if k == 1]])
-        marks = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(b.as_buffer(), np.uint64) for b, k in zip(right.column("b"), kind) if k == 1]])
+        rows, lists = _split(right)
+        hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *[_unplanes(b) for b in lists.column("a")]]))
+        answer, marks = _bytes(rows.column("a"), np.uint64), _bytes(rows.column("b"), np.uint64)
         order = np.argsort(answer, kind="stable")
         answer, marks = answer[order], marks[order]
         left = left.sort_by("doc")
@@ -448,33 +568,44 @@ def _finish(shape: _Shape, as_text: bool):
 
 
 def remove_repeated_strings(docs: DataFrame, length: int = 50, group_bytes: int = GROUP_BYTES,
-                            hot_pieces: int = HOT_PIECES, sort_block: int = SORT_BLOCK, as_text: bool = False) -> DataFrame:
+                            hot_pieces: int = HOT_PIECES, sort_block: int = SORT_BLOCK, fan: int = FAN, as_text: bool = False) -> DataFrame:
     """All columns of ``docs`` but text, and: removed_starts, removed_ends (array<long>: the maximal byte ranges that
     ``length``-byte strings cover which also start in a document with a smaller doc_id), kept (binary: the other bytes).
 
-    group_bytes, hot_pieces and sort_block (bytes of a group, pieces from which an anchor counts as frequent, bytes sorted
-    at a time) bound memory and don't change the result.
+    group_bytes, hot_pieces, sort_block and fan (bytes of a group, pieces from which an anchor counts as frequent, bytes sorted
+    at a time, rows that a task sends at most) bound memory and rows and don't change the result.
 
     With ``as_text`` kept is a string without the characters that lost a byte.
 
     Texts are compared as UTF-8 bytes as they come in; a null text is empty; strings never cross documents. A row
-    without doc_id counts as the largest document. Rows of one doc_id do not remove each other's bytes. Columns
-    other than doc_id and text are carried along whatever their names.
+    without doc_id counts as the largest document. Rows of one doc_id do not remove each other's bytes, and are dealt out
+    by doc_id and text. Repeated rows give repeated results; an empty table gives an empty one. A very long text is held
+    by one task, with about 40 bytes for each of its bytes. Columns other than doc_id and text are carried along whatever
+    their names.
     """
     shape = _Shape(length, hot_pieces, sort_block)
     others = [c for c in docs.columns if c.lower() != "text"]
     table = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                         F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"))
-    groups = max(1, -(-int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // group_bytes))
-    table = table.withColumn("g", F.pmod(F.when(F.col("doc").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc")), F.lit(groups)))
-    reports = table.groupBy("g").applyInArrow(_report(shape, groups), _DDL[id(_REPORT)])
-    shared = reports.groupBy("bucket").applyInArrow(_share(shape), _DDL[id(_SHARED)])
-    pieces = table.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_send(shape, groups), _DDL[id(_PIECES)])
-    answers = pieces.groupBy("bucket").applyInArrow(_sort_bucket(shape), _DDL[id(_SHARED)])
+    # a row counts for 64 bytes more than its text has
+    groups = max(1, -(-int(docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0) // group_bytes))
+    net = Net(groups, fan)
+    table = table.withColumn("g", F.pmod(F.xxhash64("doc", "text"), F.lit(groups)))
+    shared = table.groupBy("g").applyInArrow(_report(shape, net), _DDL)
+    for level in range(1, net.hops):
+        shared = shared.groupBy("key").applyInArrow(_forward(net, level), _DDL)
+    shared = shared.groupBy("key").applyInArrow(_share(shape, net), _DDL)
+    for level in range(net.hops - 1, 0, -1):
+        shared = shared.groupBy("key").applyInArrow(_back(net, level, planes=True), _DDL)
+    answers = table.groupBy("g").cogroup(shared.groupBy("key")).applyInArrow(_send(shape, net), _DDL)
+    for level in range(1, net.hops):
+        answers = answers.groupBy("key").applyInArrow(_forward_pieces(net, level), _DDL)
+    answers = answers.groupBy("key").applyInArrow(_sort_bucket(shape, net), _DDL)
+    for level in range(net.hops - 1, 0, -1):
+        answers = answers.groupBy("key").applyInArrow(_back(net, level, planes=False), _DDL)
     out = StructType([StructField("rest", table.schema["rest"].dataType), StructField("removed_starts", ArrayType(LongType())),
                       StructField("removed_ends", ArrayType(LongType())), StructField("kept", StringType() if as_text else BinaryType())])
-    both = shared.filter(F.length("b") > 0).union(answers)
-    done = table.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(_finish(shape, as_text), out)
+    done = table.groupBy("g").cogroup(answers.groupBy("key")).applyInArrow(_finish(shape, as_text), out)
     return done.select("rest.*", "removed_starts", "removed_ends", "kept")
 
 

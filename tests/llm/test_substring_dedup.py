@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from panelspark.llm.common import chunks
-from panelspark.llm.substring_dedup import COVER, PERIOD, _words, cover_ranks, remove_repeated_strings, sort_suffixes
+from panelspark.llm.substring_dedup import COVER, PERIOD, Net, _anchors, _Shape, _words, cover_ranks, remove_repeated_strings, sort_suffixes
 
 
 def brute(rows, length=50):
@@ -43,7 +43,7 @@ def hard_rows():
     return texts, rnd
 
 
-@pytest.mark.parametrize("sizes", [{}, {"group_bytes": 700, "hot_pieces": 4, "sort_block": 600}])
+@pytest.mark.parametrize("sizes", [{}, {"group_bytes": 700, "hot_pieces": 4, "sort_block": 600}, {"group_bytes": 500, "hot_pieces": 4, "fan": 3}])
 def test_ranges_equal_brute_force(make_docs, sizes):
     texts, rnd = hard_rows()
     ids = rnd.sample(range(10 ** 12), len(texts))
@@ -95,3 +95,28 @@ def test_query_digest(spark, tmp_path, make_docs):
         r = got[i]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (len((texts[i] or "").encode()), sum(b - a for a, b in ranges), len(ranges))
         assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize("fan", [3, 128])
+def test_rows_grow_with_the_groups(fan):
+    for groups in (60, 240):  # four times the groups: a task still sends at most fan rows, and tasks grow with the groups
+        net = Net(groups, fan)
+        g, b = (x.ravel() for x in np.meshgrid(np.arange(groups), np.arange(net.buckets)))
+        assert np.array_equal(net.key(0, b, g), g) and np.array_equal(net.key(net.hops, b, g), b)
+        for level in range(net.hops):
+            pairs = np.unique(np.stack([net.key(level, b, g), net.key(level + 1, b, g)]), axis=1)
+            tasks, sent = np.unique(pairs[0], return_counts=True)
+            assert sent.max() <= fan and len(tasks) <= 2 * groups
+
+
+def test_anchor_runs_do_not_depend_on_blocks():
+    rnd = random.Random(9)
+    text = "".join(rnd.choice("abcd ") for _ in range(200_000)).encode()
+    shape = _Shape(50)
+    first, last, anchor, _ = _anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]), shape)
+    assert first[0] == 0 and last[-1] == len(text) - 50 and np.array_equal(first[1:], last[:-1] + 1)
+    # the same bytes elsewhere have the same anchors
+    cut = 70_000
+    f2, l2, a2, _ = _anchors(np.frombuffer(text[cut:], np.uint8), np.array([0, len(text) - cut]), shape)
+    both = {(int(x) - cut, int(y) - cut, int(z)) for x, y, z in zip(first, last, anchor) if x >= cut}
+    assert both <= set(zip(f2.tolist(), l2.tolist(), a2.tolist())) and len(both) > 5000
