@@ -107,11 +107,11 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start])
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of all documents, and the n + 1 word offsets of the documents."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all documents, and the n + 1 word offsets of the documents; ``between``: bytes of no word."""
     n = len(data)
     sep = np.ones(n + 2, bool)
-    sep[1:-1] = _SEP[data]
+    sep[1:-1] = between[data]
     inside = offsets[1:-1]
     begins = sep[:-1] & ~sep[1:]
     ends = ~sep[:-1] & sep[1:]
