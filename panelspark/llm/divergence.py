@@ -339,7 +339,7 @@ def divergence(docs: DataFrame, min_docs: int = 30, top: int = 50, shard_terms:
         .select("lang", "source", "sub", F.col("own.slot").alias("slots"), F.col("own.p").alias("ps"))
     tiles = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / tile).cast("long").alias("tiles"))
     grid = groups.join(tiles, "lang").join(hashes.select("lang", "sub", "n"), "lang", "left").na.fill(0, ["n"]).na.fill(-1, ["sub"]) \
-        .join(own, ["lang", "source", "sub"], "left") \
+        .join(own.hint("merge"), ["lang", "source", "sub"], "left") \
         .withColumn("tile", F.pmod(F.xxhash64("source"), F.col("tiles"))) \
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     pairs = grid.select("lang", "sub", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"), "tile", "source", "base", "n", "slots", "ps") \
@@ -348,9 +348,10 @@ def divergence(docs: DataFrame, min_docs: int = 30, top: int = 50, shard_terms:
 
     whole = counts.groupBy("lang", "sub", "slot").agg(F.sum("n").alias("whole"))
     of_lang = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.first("v").alias("v"))
-    named = hashes.select("lang", "sub", F.posexplode("terms").alias("slot", "item")).join(whole, ["lang", "sub", "slot"]).join(of_lang, "lang") \
+    # what grows with the terms is not broadcast, however small it looks
+    named = hashes.select("lang", "sub", F.posexplode("terms").alias("slot", "item")).hint("merge").join(whole, ["lang", "sub", "slot"]).join(of_lang, "lang") \
         .select("lang", "sub", "slot", "item", _share("whole", "total", "v").alias("q"))
-    terms = shares.join(named, ["lang", "sub", "slot"]).filter("p > q").select("lang", "source", "item", (F.col("p") - F.col("q")).alias("value"))
+    terms = shares.join(named.hint("merge"), ["lang", "sub", "slot"]).filter("p > q").select("lang", "source", "item", (F.col("p") - F.col("q")).alias("value"))
     order = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     terms = terms.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).withColumn("part", F.lit("term"))
     pairs = pairs.withColumn("rank", F.row_number().over(order))
