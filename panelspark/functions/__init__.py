@@ -115,6 +115,19 @@ def wilder_blocked(df: DataFrame, cols: dict, idx: str, n: int = 14, block: int
     return x.select("*", *outs).drop("_blk", *[f"_loc_{o}" for o in cols.values()])
 
 
+def wilder_running(x: Column, i: Column, w: Window, n: int = 14, longest: int = 9000) -> Column:
+    """The same recursion as one running sum over a window of at most ``longest`` rows, whose row number is ``i`` (0-based).
+
+    y(i) = a^-i * sum(z(1..i)), a = n/(n-1); the powers stay finite (a^9000 < 1e290 for n = 14). NULL inputs add nothing.
+    """
+    a = n / (n - 1.0)
+    if a ** longest > 1e300:
+        raise ValueError(f"longest={longest} must keep a^longest finite (n={n})")
+    at = i.cast("double")
+    z = F.when(i < 1, F.lit(0.0)).otherwise(F.pow(F.lit(a), F.greatest(at, F.lit(float(n)))) * x / n)
+    return F.sum(z).over(w.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(a), -at)
+
+
 def weekday_mon0(d) -> Column:
     """Day of week with Monday = 0 ... Sunday = 6."""
     return F.weekday(col(d))

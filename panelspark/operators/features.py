@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import (TWO_PI, clip, rolling, safe_div, safe_ln, ticker_window, trailing, weekday_mon0,
-                                  wilder_blocked)
+                                  wilder_blocked, wilder_running)
+from panelspark.operators import blocks as BL
 
 INTERVALS = (1, 3, 5, 10)
 
@@ -194,8 +195,12 @@ def frac_partials(price: str, w: Window, ws: list[float], block: int = 10, prefi
     10 x 10 needs 9 lags of the price here and 9 lags of the partial sums in
     the second level: 18 distinct offset frames instead of 99 (each window
     frame carries its own per-partition set-up)."""
-    lags = [F.col(price)] + [F.lag(price, b).over(w) for b in range(1, block)]
-    parts = []
+    return frac_sums([F.col(price)] + [F.lag(price, b).over(w) for b in range(1, block)], ws, prefix)
+
+
+def frac_sums(lags: list[Column], ws: list[float], prefix: str = "_fu") -> list[Column]:
+    """The partial sums over the price and its next lags (as many as a partial sum has taps)."""
+    block, parts = len(lags), []
     for a in range((len(ws) + block - 1) // block):
         expr = None
         for b in range(block):
@@ -277,11 +282,16 @@ def global_features(panel: DataFrame, intervals=INTERVALS, frac_width: int = 100
 # ---------------------------------------------------------------- fused plan for the whole table (P-03)
 def feature_label_block(panel: DataFrame, intervals=INTERVALS, frac_width: int = 100, frac_d: float = 0.4,
                         frac_mode: str = "binomial", n: int = 14, bb_n: int = 20, vol_n: int = 50,
-                        min_ret: float = 0.005, barriers: bool = True, rank: bool = True) -> DataFrame:
+                        min_ret: float = 0.005, barriers: bool = True, rank: bool = True,
+                        block: int = BL.BLOCK) -> DataFrame:
     """Every feature and label of the reference in three per-ticker window
     stages plus the cross-sectional rank; same definitions as the individual
     operators of this module and of ``labels`` (checked against them in tests).
 
+    Windows run over blocks of ``block`` rows with a halo (``operators.blocks``),
+    so a series of any length is dealt over many tasks; a halo row's values are
+    dropped at the end.
+
     Chaining the single operators stacks ~26 Window operators, each copying
     the growing row. Here each stage is one ``select``: Catalyst puts all of
     its window expressions with the same (partition, order) spec into one
@@ -293,20 +303,39 @@ def feature_label_block(panel: DataFrame, intervals=INTERVALS, frac_width: int =
     prices and returns (one exchange on date), so the wide rows of the later
     stages are never shuffled or sorted by date.
     """
-    w = _w()
+    if max(intervals) > BL.AHEAD or frac_width + 50 > BL.BACK or n != 14 or max(vol_n, bb_n) > BL.BACK:
+        raise ValueError("windows must stay within the blocks' halo")
+    columns = panel.columns
+    panel = BL.number_rows(panel)
+    w = Window.partitionBy("ticker", "_b").orderBy("date")
     if rank:
-        rets = panel.select("*", *[(safe_div(F.col("close"), F.lag("close", t).over(w)) - 1).alias(f"_rr{t}")
-                                   for t in intervals])
+        near = BL.with_blocks(panel, block, max(intervals), 0)
+        rets = near.select("*", *[(safe_div(F.col("close"), F.lag("close", t).over(w)) - 1).alias(f"_rr{t}")
+                                   for t in intervals]).filter("_own")
         rets = cross_section_rank(rets, [f"_rr{t}" for t in intervals],
                                   names=[f"ret_rel_perc_{t}" for t in intervals])
-        panel = rets.select(*panel.columns, *[f"ret_rel_perc_{t}" for t in intervals])
-    whole = Window.partitionBy("ticker")
+        panel = rets.select(*columns, "_i", *[f"ret_rel_perc_{t}" for t in intervals])
+    panel = BL.with_blocks(panel, block)
+    # the last close of a block with its halo is the series' last one wherever a lead runs out
+    whole = Window.partitionBy("ticker", "_b")
     close, high, low = F.col("close"), F.col("high"), F.col("low")
-    lagc = {j: F.lag("close", j).over(w) for j in set(intervals) | {1}}
-    ratio = {t: safe_div(close, lagc[t]) for t in lagc}
-    # ---- stage A: windows over raw prices only
-    a = [F.col("ticker"), F.col("date"), close,
-         (F.row_number().over(w) - 1).alias("_i")]
+    # ---- stage 0: each window value over raw prices once, however many features use it
+    ahead = sorted(set(intervals) | (set(range(1, max(intervals) + 1)) if barriers else set()))
+    taps = set() if frac_mode == "first_difference" else set(range(1, 10))
+    back = sorted(set(intervals) | {1} | taps)
+    lr2 = F.pow(safe_ln(safe_div(high, low)), 2)
+    bb = trailing(w, bb_n)
+    zero = [F.lag("close", j).over(w).alias(f"_p{j}") for j in back] + [F.lead("close", j).over(w).alias(f"_f{j}") for j in ahead]
+    zero += [F.count(close).over(bb).alias("_bbc"), F.avg(close).over(bb).alias("_bbm"), F.stddev_pop(close).over(bb).alias("_bbs"),
+             (F.row_number().over(w) - 1).alias("_li")]
+    zero += [x for k in intervals for x in (F.count(lr2).over(trailing(w, k)).alias(f"_pc{k}"), F.avg(lr2).over(trailing(w, k)).alias(f"_pm{k}"))]
+    if barriers:
+        zero += [F.lead("date", j).over(w).alias(f"_d{j}") for j in ahead] + [F.max_by("close", "date").over(whole).alias("_end")]
+    panel = panel.select("*", *zero)
+    lagc = {j: F.col(f"_p{j}") for j in back}
+    ratio = {t: safe_div(close, lagc[t]) for t in set(intervals) | {1}}
+    # ---- stage A: what follows from them row by row
+    a = [F.col("ticker"), F.col("date"), close, F.col("_i"), F.col("_b"), F.col("_own"), F.col("_li")]
     a += [F.col(f"ret_rel_perc_{t}") for t in intervals if rank]
     for t in intervals:
         a += [(ratio[t] - 1).alias(f"ret_{t}"), safe_ln(ratio[t]).alias(f"log_ret_{t}")]
@@ -319,36 +348,32 @@ def feature_label_block(panel: DataFrame, intervals=INTERVALS, frac_width: int =
     d = close - lagc[1]
     a += [F.greatest(d, F.lit(0.0)).alias("_gain"), F.greatest(-d, F.lit(0.0)).alias("_loss"),
           F.greatest(high - low, F.abs(high - lagc[1]), F.abs(low - lagc[1])).alias("_tr")]
-    bb = trailing(w, bb_n)
-    full = F.count(close).over(bb) == bb_n
-    m, s = F.avg(close).over(bb), F.stddev_pop(close).over(bb)
+    full, m, s = F.col("_bbc") == bb_n, F.col("_bbm"), F.col("_bbs")
     a += [F.when(full, m + 2.0 * s).alias("_up"), F.when(full, m - 2.0 * s).alias("_lo")]
-    lr2 = F.pow(safe_ln(safe_div(high, low)), 2)
     const = 4.0 * math.log(2.0)
-    for k in intervals:
-        fr = trailing(w, k)
-        a.append(F.sqrt(F.when(F.count(lr2).over(fr) >= k, F.avg(lr2).over(fr)) / const).alias(f"parkinson_{k}"))
+    a += [F.sqrt(F.when(F.col(f"_pc{k}") >= k, F.col(f"_pm{k}")) / const).alias(f"parkinson_{k}") for k in intervals]
     if frac_mode == "first_difference":
         parts = [(close - lagc[1]).alias("_fu0")]
     else:
-        parts = frac_partials("close", w, frac_weights(frac_d, frac_width))
+        parts = frac_sums([close] + [lagc[j] for j in range(1, 10)], frac_weights(frac_d, frac_width))
     a += parts
     for t in intervals:
-        fr_ = safe_div(F.lead("close", t).over(w), close)
+        fr_ = safe_div(F.col(f"_f{t}"), close)
         a += [(fr_ - 1).alias(f"fwd_ret_{t:02}"), safe_ln(fr_).alias(f"fwd_log_ret_{t:02}")]
     if barriers:
         for t in intervals:
             target = F.date_add(F.col("date"), t)
             # a hit counts by its date, so a NULL close there stays NULL
-            exits = [F.when(F.lead("date", j).over(w) >= target, F.struct(F.lead("close", j).over(w).alias("c")))
-                     for j in range(1, max(t, 1) + 1)]
-            a.append(F.coalesce(*exits, F.struct(F.max_by("close", "date").over(whole).alias("c")))["c"].alias(f"_c1_{t}"))
+            out = F.col("_end")
+            for j in range(max(t, 1), 0, -1):
+                out = F.when(F.col(f"_d{j}") >= target, F.col(f"_f{j}")).otherwise(out)
+            a.append(out.alias(f"_c1_{t}"))
     xa = panel.select(*a)
-    # blocked Wilder sums: their own (ticker, block) window before stage B
-    xa = wilder_blocked(xa, {"_gain": "_G", "_loss": "_L", "_tr": "_atr"}, "_i", n)
     r1 = F.col("ret_1") if 1 in intervals else F.col("_r1")
     lr1 = F.col("log_ret_1") if 1 in intervals else F.col("_lr1")
     b = [F.col(c) for c in xa.columns if c not in ("_gain", "_loss", "_tr")]
+    # running sums from the block's first row on; in later blocks the halo has the seed forgotten
+    b += [F.when(F.col("_i") >= n, wilder_running(F.col(c), F.col("_li"), w, n)).alias(o) for c, o in (("_gain", "_G"), ("_loss", "_L"), ("_tr", "_atr"))]
     up = F.when(r1 > 0, 1).otherwise(0)
     dn = F.when(r1 < 0, 1).otherwise(0)
     for k in intervals:
@@ -373,7 +398,7 @@ def feature_label_block(panel: DataFrame, intervals=INTERVALS, frac_width: int =
     if barriers:
         fv = trailing(w, vol_n)
         b.append(F.when(F.count(r1).over(fv) == vol_n, F.stddev_samp(r1).over(fv)).alias("_vol"))
-    xb = xa.select(*b).drop("_i", *[f"_fu{j}" for j in range(len(parts))])
+    xb = xa.select(*b).drop("_i", "_li", *[f"_fu{j}" for j in range(len(parts))])
     # ---- stage C: one-row lag of the barrier volatility + plain projections
     c = [F.col(x) for x in xb.columns if x not in ("_G", "_L", "_atr", "_up", "_lo", "_vol", "_r1", "_lr1", "_fd")
          and not x.startswith("_c1_")]
@@ -390,4 +415,4 @@ def feature_label_block(panel: DataFrame, intervals=INTERVALS, frac_width: int =
         for t in intervals:
             rr = safe_ln(safe_div(F.col(f"_c1_{t}"), close))
             c += [F.when(event, F.signum(rr)).alias(f"tbm_label_{t:02}"), F.when(event, rr).alias(f"tbm_ret_{t:02}")]
-    return xb.select(*c).drop("close")
+    return xb.select(*c).filter("_own").drop("close", "_b", "_own")
