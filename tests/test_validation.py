@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panel_helpers import make_panel, walk
-from panelspark.functions.quantiles import exact_quantiles
+from panelspark.functions.quantiles import exact_quantiles, grouped_quantiles
 from panelspark.operators import validation as V
 
 
@@ -40,12 +40,28 @@ def test_exact_quantiles_match_numpy(spark):
     ints = [float(rnd.randint(0, 7)) for _ in range(len(vals))]
     df = spark.createDataFrame(list(zip(vals, ints)), "a double, b double")
     probs = [0.0, 0.025, 0.1, 0.5, 0.9, 0.975, 1.0]
-    got = exact_quantiles(df, ["a", "b"], probs, buckets=16, max_collect=64)
+    got = exact_quantiles(df, ["a", "b"], probs)
+    # a coarse sketch and few values to fetch: brackets that miss, and rounds of narrowing
+    assert exact_quantiles(df, ["a", "b"], probs, accuracy=100, max_collect=30) == got
     a = np.array([v for v in vals if v is not None])
     assert got["a"] == pytest.approx(list(np.percentile(a, [p * 100 for p in probs])), rel=1e-12, abs=1e-12)
     assert got["b"] == pytest.approx(list(np.percentile(np.array(ints), [p * 100 for p in probs])))
 
 
+def test_quantiles_of_all_groups_in_one_go(spark):
+    rnd = random.Random(6)
+    rows = [(g, rnd.choice([None, rnd.gauss(g or 0, 2), 1.25])) for g in (0, 1, 1, 1, 2, None) for _ in range(900)] + [(7, None), (8, 3.0)]
+    df = spark.createDataFrame(rows, "fold int, v double")
+    probs = [0.0, 0.025, 0.3, 0.975]
+    for sizes in ({}, {"accuracy": 200, "max_collect": 10}):
+        got = grouped_quantiles(df, ["v"], probs, by="fold", **sizes)
+        for g in (0, 1, 2, None, 8):
+            own = [v for f, v in rows if f == g and v is not None]
+            assert got[g]["v"] == pytest.approx(list(np.percentile(own, [p * 100 for p in probs])), rel=1e-12)
+        assert got[7]["v"] == [None] * 4
+    assert exact_quantiles(df.limit(0), ["v"], probs) == {"v": [None] * 4}
+
+
 def test_time_series_split_blocks(spark):
     rows = [(t, dt.date(2000, 1, 1) + dt.timedelta(days=i)) for i in range(25) for t in ("A", "B")]
     df = spark.createDataFrame(rows, "ticker string, date date")
