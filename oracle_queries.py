@@ -543,7 +543,8 @@ xx as (select ticker, date, ret_1, ret_5, log_ret_10, fwd_log_ret_10,
          sqrt({roll('avg', 'lr2', 5)} / (4 * ln(2))) as parkinson_5 from x),
 {_folds_ctes('b')},
 tr as (select xx.* from xx, folds where folds.fold = 0 and xx.date >= folds.train_start and xx.date < folds.train_end),
-te as (select xx.* from xx, folds where folds.fold = 0 and xx.date between folds.test_start and folds.test_end)"""
+tra as (select fold, xx.* from xx join folds on xx.date >= folds.train_start and xx.date < folds.train_end),
+tea as (select fold, xx.* from xx join folds on xx.date between folds.test_start and folds.test_end)"""
 
 
 SC = ["ret_1", "ret_5", "log_ret_10", "parkinson_5"]
@@ -582,8 +583,8 @@ select ticker, date, pos, cast(case when pos >= 750 then floor((pos - 750) / 750
 
 @q("winsor_bounds")
 def _():
-    parts = [f"select '{c}' as \"column\", {r(f'quantile_cont({c}, 0.025)', 'lower')}, "
-             f"{r(f'quantile_cont({c}, 0.975)', 'upper')} from tr" for c in SC]
+    parts = [f"select fold, '{c}' as \"column\", {r(f'quantile_cont({c}, 0.025)', 'lower')}, "
+             f"{r(f'quantile_cont({c}, 0.975)', 'upper')} from tra group by fold" for c in SC]
     return f"with {_small_feat_ctes()} {' union all '.join(parts)}"
 
 
@@ -591,24 +592,24 @@ def _():
 def _():
     bnd = ", ".join(f"quantile_cont({c}, 0.025) as lo_{c}, quantile_cont({c}, 0.975) as hi_{c}" for c in SC)
     cols = ", ".join(r(clip(c, f'qb.lo_{c}', f'qb.hi_{c}'), c) for c in SC)
-    return f"with {_small_feat_ctes()}, qb as (select {bnd} from tr) select ticker, date, {cols} from tr, qb"
+    return f"with {_small_feat_ctes()}, qb as (select fold, {bnd} from tra group by fold) select fold, ticker, date, {cols} from tra join qb using (fold)"
 
 
 @q("standard_scale")
 def _():
     st = ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in SC)
     cols = ", ".join(r(f"({c} - m_{c}) / coalesce(nullif(s_{c}, 0), 1.0)", c) for c in SC)
-    return f"with {_small_feat_ctes()}, st as (select {st} from tr) select ticker, date, {cols} from te, st"
+    return f"with {_small_feat_ctes()}, st as (select fold, {st} from tra group by fold) select fold, ticker, date, {cols} from tea join st using (fold)"
 
 
 @q("condition_target")
 def _():
     return f"""with {_small_feat_ctes()},
-y0 as (select ticker, date, coalesce(fwd_log_ret_10, 0.0) as y from tr),
-qb as (select quantile_cont(y, 0.05) as lo, quantile_cont(y, 0.95) as hi from y0),
-y1 as (select ticker, date, {clip('y', 'qb.lo', 'qb.hi')} as y from y0, qb),
-st as (select avg(y) as m, stddev_pop(y) as s from y1)
-select ticker, date, {r('(y - m) / coalesce(nullif(s, 0), 1.0)', 'y_scaled')} from y1, st"""
+y0 as (select fold, ticker, date, coalesce(fwd_log_ret_10, 0.0) as y from tra),
+qb as (select fold, quantile_cont(y, 0.05) as lo, quantile_cont(y, 0.95) as hi from y0 group by fold),
+y1 as (select fold, ticker, date, {clip('y', 'qb.lo', 'qb.hi')} as y from y0 join qb using (fold)),
+st as (select fold, avg(y) as m, stddev_pop(y) as s from y1 group by fold)
+select fold, ticker, date, {r('(y - m) / coalesce(nullif(s, 0), 1.0)', 'y_scaled')} from y1 join st using (fold)"""
 
 
 # ------------------------------------------------------------------ metrics and reports

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import clip
-from panelspark.functions.quantiles import exact_quantiles
+from panelspark.functions.quantiles import exact_quantiles, grouped_quantiles
 
 TRAIN_DAYS = 7 * 252
 TEST_DAYS = 126
@@ -201,3 +201,54 @@ def condition_target(train: DataFrame, y: str, lower: float = 0.05, upper: float
 def inverse_condition(pred, params):
     return F.col(pred) * F.lit(params["std"]) + F.lit(params["mean"]) if isinstance(pred, str) \
         else pred * params["std"] + params["mean"]
+
+
+# ---------------------------------------------------------------- A-15, M-01, M-03, M-04 over all folds in one go
+# Input: rows with ``fold`` and ``split`` (``assign_folds``), so a row stands once for each fold it belongs to. What is fitted
+# on the training rows is a table of one row a fold, joined back by broadcast (at most n_splits rows).
+
+def _train(assigned: DataFrame) -> DataFrame:
+    return assigned.filter(F.col("split") == "train")
+
+
+def _with_params(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, f"fold int, {schema}")), "fold")
+
+
+def fold_bounds(assigned: DataFrame, cols, lower: float = 0.025, upper: float = 0.975) -> DataFrame:
+    """A-15 per fold: ``fold, column, lower, upper`` of the training rows."""
+    found = grouped_quantiles(_train(assigned), list(cols), [lower, upper], by="fold")
+    return assigned.sparkSession.createDataFrame([(g, c, *v) for g, q in sorted(found.items()) for c, v in q.items()],
+                                                 "fold int, column string, lower double, upper double")
+
+
+def winsorize_folds(assigned: DataFrame, cols, lower: float = 0.025, upper: float = 0.975, apply_to: str = "train") -> DataFrame:
+    """M-01 in every fold: the columns clipped to the bounds of the fold's training rows; test rows too with ``apply_to="both"``."""
+    cols = list(cols)
+    found = grouped_quantiles(_train(assigned), cols, [lower, upper], by="fold")
+    x = _with_params(assigned, [(g, *[b for c in cols for b in q[c]]) for g, q in found.items()],
+                     ", ".join(f"_lo{i} double, _hi{i} double" for i in range(len(cols))))
+    clipped = F.lit(True) if apply_to == "both" else F.col("split") == "train"
+    at = {c: i for i, c in enumerate(cols)}
+
+    def one(c):
+        lo, hi = F.col(f"_lo{at[c]}"), F.col(f"_hi{at[c]}")
+        return F.when(clipped & F.col(c).isNotNull() & lo.isNotNull(), F.greatest(lo, F.least(hi, F.col(c)))).otherwise(F.col(c)).alias(c)
+
+    return x.select(*[one(c) if c in at else F.col(c) for c in assigned.columns])
+
+
+def scale_folds(assigned: DataFrame, cols) -> DataFrame:
+    """M-03 in every fold: (x - mean) / population std of the fold's training rows; a zero std leaves the centred value."""
+    cols = list(cols)
+    params = _train(assigned).groupBy("fold").agg(*[f(c).alias(f"{p}{i}") for i, c in enumerate(cols) for f, p in ((F.avg, "_m"), (F.stddev_pop, "_s"))])
+    x = assigned.join(F.broadcast(params), "fold")  # one row a fold
+    at = {c: i for i, c in enumerate(cols)}
+    scaled = lambda c: (F.col(c) - F.col(f"_m{at[c]}")) / F.coalesce(F.nullif(F.col(f"_s{at[c]}"), F.lit(0.0)), F.lit(1.0))
+    return x.select(*[F.when(F.col(f"_m{at[c]}").isNotNull(), scaled(c)).otherwise(F.col(c)).alias(c) if c in at else F.col(c) for c in assigned.columns])
+
+
+def condition_folds(assigned: DataFrame, y: str, lower: float = 0.05, upper: float = 0.95, out: str = "y_scaled") -> DataFrame:
+    """M-04 in every fold: undefined -> 0, clipped to the training quantiles, standardised by the clipped training rows."""
+    x = assigned.withColumn(out, F.coalesce(F.when(~F.isnan(y) & (F.abs(F.col(y)) != float("inf")), F.col(y)), F.lit(0.0)))
+    return scale_folds(winsorize_folds(x, [out], lower, upper, apply_to="both"), [out])

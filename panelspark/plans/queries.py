@@ -7,6 +7,8 @@ the DuckDB oracle; the operators themselves never round.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import round_doubles
 from panelspark.operators import features as feat
+from panelspark.session import cut_lineage
 from panelspark.sources.bars import bars_from_lineitem
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -330,32 +333,34 @@ def q_tuning_split(spark, sf_dir):
     return V.time_series_split(sample, 3).select(*KEY, "pos", "block")
 
 
+def _all_folds(spark, sf_dir):
+    """The small feature table with every fold it belongs to, written once: the fits read it more than once."""
+    x = _small_features(spark, sf_dir)
+    tag = re.sub(r"[^A-Za-z0-9]+", "_", sf_dir.strip("/"))
+    return cut_lineage(V.assign_folds(x, V.purged_walk_forward(x)), f"fold_rows_{tag}_{uuid.uuid4().hex[:12]}")
+
+
 @query("winsor_bounds")
 def q_winsor_bounds(spark, sf_dir):
-    x, f0 = _fold0(spark, sf_dir)
-    b = V.quantile_bounds(V.fold_rows(x, f0, "train"), SCALE_COLS)
-    return round_doubles(V.bounds_frame(spark, b))
+    return round_doubles(V.fold_bounds(_all_folds(spark, sf_dir), SCALE_COLS))
 
 
 @query("winsorize")
 def q_winsorize(spark, sf_dir):
-    x, f0 = _fold0(spark, sf_dir)
-    tr, _, _ = V.winsorize(V.fold_rows(x, f0, "train"), cols=SCALE_COLS)
-    return round_doubles(tr.select(*KEY, *SCALE_COLS))
+    x = V.winsorize_folds(_all_folds(spark, sf_dir), SCALE_COLS)
+    return round_doubles(x.filter("split = 'train'").select("fold", *KEY, *SCALE_COLS))
 
 
 @query("standard_scale")
 def q_standard_scale(spark, sf_dir):
-    x, f0 = _fold0(spark, sf_dir)
-    params = V.fit_standard_scaler(V.fold_rows(x, f0, "train"), SCALE_COLS)
-    return round_doubles(V.apply_standard_scaler(V.fold_rows(x, f0, "test").select(*KEY, *SCALE_COLS), params))
+    x = V.scale_folds(_all_folds(spark, sf_dir), SCALE_COLS)
+    return round_doubles(x.filter("split = 'test'").select("fold", *KEY, *SCALE_COLS))
 
 
 @query("condition_target")
 def q_condition_target(spark, sf_dir):
-    x, f0 = _fold0(spark, sf_dir)
-    y, _ = V.condition_target(V.fold_rows(x, f0, "train"), "fwd_log_ret_10")
-    return round_doubles(y.select(*KEY, "y_scaled"))
+    x = V.condition_folds(_all_folds(spark, sf_dir), "fwd_log_ret_10")
+    return round_doubles(x.filter("split = 'train'").select("fold", *KEY, "y_scaled"))
 
 
 # ------------------------------------------------------------------ metrics and reports (A-16 .. A-31, T-07, T-08, U-01)
@@ -541,11 +546,7 @@ def q_histogram(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ Spark ML (M-02, M-05 .. M-14): rows-only checks
-import re  # noqa: E402
-import uuid  # noqa: E402
-
 from panelspark.operators import models as ML  # noqa: E402
-from panelspark.session import cut_lineage  # noqa: E402
 
 ML_TARGETS = ["fwd_log_ret_10", "dl_label_10"]
 RF_FIXED = {"RandomForest": ML.forest_params(n_estimators=50, max_depth=6, min_samples_leaf=20, max_features=0.5)}
