@@ -22,7 +22,7 @@ from panelspark.llm.common import chunks, mix, prefix_hash, read_table, scratch_
 SHARD_TERMS = 4096
 BUNDLE_BYTES = 64 << 20
 TILE = 256
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 DENSE_SLOTS = 4 << 20
 GAMMA = 1.5
 MOST_LEVELS = 40
