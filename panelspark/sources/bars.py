@@ -25,6 +25,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.functions import safe_div
+
 PANELS = ("flags", "nation", "supplier")
 
 
@@ -42,16 +44,17 @@ def trade_key() -> Column:
     to the cent are interchangeable. Prices beyond 9,999,999.99 count as that.
     """
     line = F.col("l_linenumber").cast("long") + F.lit(2 ** 31)
-    cents = F.rint(F.greatest(F.lit(0.0), F.least(F.lit(999_999_999.0), F.col("l_extendedprice") / F.col("l_quantity") * 100.0)))
+    cents = F.rint(F.greatest(F.lit(0.0), F.least(F.lit(999_999_999.0), safe_div("l_extendedprice", "l_quantity") * 100.0)))
     key = F.col("l_orderkey").cast(_DEC) * F.lit(10 ** 10).cast("decimal(11,0)")
     key = (key.cast(_DEC) + line.cast(_DEC)).cast(_DEC) * F.lit(10 ** 9).cast("decimal(10,0)")
     return (key.cast(_DEC) + cents.cast("long").cast(_DEC)).cast(_DEC)
 
 
 def _trades(lineitem: DataFrame) -> DataFrame:
-    return lineitem.select(
+    """Trades with a price; one of quantity 0 or without quantity or price has none and is left out."""
+    return lineitem.filter("l_quantity <> 0 and l_extendedprice is not null").select(
         "l_returnflag", "l_linestatus", "l_suppkey", F.to_date("l_shipdate").alias("date"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity"),
+        safe_div("l_extendedprice", "l_quantity").alias("price"), F.col("l_quantity"),
         trade_key().alias("k"))
 
 

@@ -35,3 +35,10 @@ def test_large_and_negative_order_numbers_keep_their_order(spark, tmp_path):
     r = out.collect()[0]
     assert r["open"] == 7.0 and r["close"] == 8.0
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trades_without_a_price_are_left_out(spark, tmp_path):
+    day = dt.datetime(1996, 3, 1)
+    rows = [(ok, 1, 1, 1, q, p, 0.0, 0.0, "A", "F", day) for ok, q, p in [(1, 0.0, 5.0), (2, 2.0, 8.0), (3, 4.0, 12.0), (4, None, 1.0), (5, 3.0, None), (6, 0.0, 0.0)]]
+    r = _bars(spark, tmp_path, rows).collect()
+    assert [(x["open"], x["close"], x["vol"]) for x in r] == [(4.0, 3.0, 6.0)]
