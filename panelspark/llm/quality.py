@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from panelspark.llm.common import chunks, prefix_hash, read_table, span_hash, text_bytes, word_spans
-from panelspark.llm.toxicity import labelled_rows
+from panelspark.llm.toxicity import labelled_rows, texts_of
 
 HIDDEN = 24
 THRESHOLD = 0.7
@@ -184,16 +184,19 @@ def score_quality(docs: DataFrame, fitted: dict, name: str = "score") -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score, pa.float64())], names=["row", "score"])
 
     return docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")) \
-        .mapInArrow(run, shape).select("row.*", F.col("score").alias(name))
+        .mapInArrow(run, shape) \
+        .select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() != name.lower()], F.col("score").alias(name))
 
 
 def quality(docs: DataFrame, labels: DataFrame, learn, max_positives: int = 3000, max_unlabelled: int = 6000) -> DataFrame:
     """``docs`` with a quality score. Fitted on at most ``max_positives`` trusted texts (label 1 where ``learn`` allows its
-    use) and ``max_unlabelled`` texts without regard to labels, those with the smallest hashes of doc_id; every row is scored."""
+    use) and ``max_unlabelled`` texts without regard to labels, those with the smallest hashes of doc_id,
+    one text a doc_id and 256 MB of each (toxicity.SAMPLE_BYTES). Every row is scored, repeated or not; a very long text is
+    held by one task. An empty table gives an empty one; a column called score gives way to the score."""
     positives = labelled_rows(docs, labels, "quality", {1: max_positives}, learn)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct() \
         .orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(max_unlabelled)
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").collect()
+    some = texts_of(docs, ids.withColumn("y", F.lit(0))).select("doc_id", "text").collect()
     order = lambda rows: [r[1] or "" for r in sorted(rows, key=lambda r: (r[0], r[1] or ""))]
     return score_quality(docs, fit_quality(order(positives), order(some)))
 

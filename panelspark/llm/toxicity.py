@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from panelspark.llm.common import chunks, prefix_hash, read_table, span_hash, text_bytes
@@ -17,6 +17,7 @@ from panelspark.llm.tokens import units
 
 SLOTS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
 BLANKS = max(WIDTHS)
+SAMPLE_BYTES = 1 << 28
 # Frequent function words of four languages, each in one list only.
 FUNCTION_WORDS = {
     "en": "the of and to in is that for it was with on be at this are or from by an have not they",
@@ -205,13 +206,27 @@ def score_texts(docs: DataFrame, fitted: dict, name: str = "score") -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score, pa.float64())], names=["row", "score"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    return docs.select(F.struct("*").alias("row"), text).mapInArrow(run, shape).select("row.*", F.col("score").alias(name))
+    return docs.select(F.struct("*").alias("row"), text).mapInArrow(run, shape) \
+        .select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() != name.lower()], F.col("score").alias(name))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], learn) -> list[tuple[int, str, int]]:
-    """At most ``most[label]`` (doc_id, text, label) rows of each label, those with the smallest hash of doc_id.
+def texts_of(docs: DataFrame, ids: DataFrame, max_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """``ids`` (doc_id, y; a bounded table) with their texts: one text a doc_id, that of the smallest hash where rows share it,
+    none longer than a 32nd of ``max_bytes``, and in order of the doc_ids' hashes at most ``max_bytes`` of each y."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = F.octet_length("text")
+    # as many ids as their limit allows
+    one = own.filter(size <= max_bytes // 32).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    line = W.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    return one.withColumn("bytes", F.sum(size).over(line)).filter(F.col("bytes") <= max_bytes).drop("bytes")
 
-    ``learn`` is the condition on doc_id that allows a label to be used. A document's label is the largest it has.
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], learn, max_bytes: int = SAMPLE_BYTES) -> list[tuple[int, str, int]]:
+    """At most ``most[label]`` (doc_id, text, label) rows of each label, those with the smallest hash of doc_id, and at most
+    ``max_bytes`` of their texts.
+
+    ``learn`` is the condition on doc_id that allows a label to be used. A document's label is the largest it has, its text
+    one of its rows' texts.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")) \
         .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & learn).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -219,16 +234,16 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int
     for y, n in most.items():
         part = own.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = part if picked is None else picked.union(part)
-    # as many ids as ``most`` allows
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    return [(r[0], r[1], r[2]) for r in found.select("doc_id", "text", "y").collect()]
+    return [(r[0], r[1], r[2]) for r in texts_of(docs, picked, max_bytes).select("doc_id", "text", "y").collect()]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean: int = 6000, folds: int = 5, name: str = "score") -> DataFrame:
     """``docs`` with a toxicity score, learned from labels of rows whose crc32(doc_id) modulo ``folds`` is not 0.
 
     The network is fitted on a bounded sample of labelled rows: at most ``max_toxic``
-    rows of label 1 and ``max_clean`` of label 0. Every row is scored.
+    rows of label 1 and ``max_clean`` of label 0, one a doc_id, and 256 MB of each (SAMPLE_BYTES). Every row is scored,
+    repeated or not, in batches; a very long text is held with about 100 bytes for each of its bytes. An empty table
+    gives an empty one; a column called ``name`` gives way to the score.
     """
     held = F.crc32(F.col("doc_id").cast("string")) % folds == 0
     return score_texts(docs, fit_toxicity(labelled_rows(docs, labels, "toxic", {1: max_toxic, 0: max_clean}, ~held)), name)
