@@ -87,12 +87,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int =
     A document is its ids by the tokenizer file (no special tokens added) and ``end_id``; a null text is empty, so it is
     the end id alone. Every id lies in exactly one piece; a sequence has at most ``size`` ids, its pieces without
     gaps from offset 0. Rows are packed one by one, repeated or not, and a null doc_id stays null. Groups and
-    sequences depend on doc_id, text and ``seed`` only; sequence_id is the group's number times 2^32 plus a number within.
+    sequences depend on doc_id, text, ``seed`` and the number of groups, which the bytes of the whole table give; rows that
+    agree in both doc_id and text share a group. sequence_id is the group's number times 2^32 plus a number within.
     """
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")) + 8)).first()[0] or 0
     groups = max(1, -(-int(total) // group_bytes))
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")) \
-        .withColumn("g", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit(seed)), F.lit(groups)))
+        .withColumn("g", F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(groups)))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
