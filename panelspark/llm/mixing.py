@@ -16,6 +16,7 @@ from panelspark.llm.common import WORD, read_table, scratch_table
 
 # The weights that the sources take in turn, and the size of the mix.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
+SHARD_BYTES = 1 << 26
 
 
 def word_count(text):
@@ -126,27 +127,39 @@ def source_mix(docs: DataFrame, shards: int = 32, seed: int = 0, **rule) -> Data
     return mix_plan(sized, shards=shards, seed=seed, **rule).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
-def draw_mix(docs: DataFrame, shards: int = 32, seed: int = 0, **rule) -> DataFrame:
-    """The mix itself: a row of ``docs`` for each time it is drawn, with its shard in mix_shard, each shard in random order.
+def shards_for(docs: DataFrame, share: float = SHARE, shard_bytes: int = SHARD_BYTES) -> int:
+    """The power of two that gives the mix of ``docs`` shards of at most about ``shard_bytes`` bytes of text."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return 1 << max(0, -(-int(share * size) // shard_bytes) - 1).bit_length()
+
+
+def draw_mix(docs: DataFrame, shards: int | None = None, seed: int = 0, name: str | None = "mix_shard", **rule) -> DataFrame:
+    """The mix itself: a row of ``docs`` for each time it is drawn, each shard in random order; last its shard, as ``name``
+    (None: not given). Without a number of ``shards`` it follows from the bytes of the texts.
 
     The pass that ends inside a document takes its first words, with the white space before each. Columns keep their
-    names and values, but for text.
+    names, whatever they are, and their values, but for text; a column called ``name`` gives way to the shard. Rows that
+    agree in doc_id (without one: in text), size and source are told apart by their texts. Null and empty texts are
+    never drawn; an empty table gives an empty one. A very long text is held once by each task that handles its row.
     """
+    shards = shards or shards_for(docs, rule.get("share", SHARE))
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)))
     plan = mix_plan(scratch_table(_sized(docs, seed), "sized"), shards=shards, seed=seed, **rule)
     # rows that share a draw number share doc_id (or text): one plan row for each (draw, size, source), numbered among equals
     twin = W.partitionBy("draw", "size", "source").orderBy(F.col("taken").desc())
     plan = scratch_table(plan.withColumn("twin", F.row_number().over(twin)), "plan").filter("taken > 0")
-    rows = docs.select(F.struct("*").alias("row"), key.alias("draw"), word_count("text").alias("size"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("body"))
+    # the row but for its text as one struct, so that no column of docs can be taken for one of the plan's
+    rest = [c for c in docs.columns if c.lower() != "text"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), key.alias("draw"), word_count("text").alias("size"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("body"))
     rows = rows.withColumn("twin", F.row_number().over(W.partitionBy("draw", "size", "source").orderBy(F.xxhash64("body"))))
     found = rows.alias("r").join(plan.alias("p"), (F.col("r.draw") == F.col("p.draw")) & (F.col("r.size") == F.col("p.size")) & F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.twin") == F.col("p.twin")))
     drawn = found.select("r.row", "r.body", "p.size", "p.taken", F.posexplode("p.shards").alias("pass", "mix_shard"), "p.draw")
     words = F.least("size", F.col("taken") - F.col("pass") * F.col("size"))
     text = F.when(words >= F.col("size"), F.col("body")).otherwise(
         F.array_join(F.slice(F.regexp_extract_all("body", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, words.cast("int")), ""))
-    out = [text.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns]
-    return drawn.select(*out, "mix_shard", F.xxhash64("draw", "pass", F.lit(seed + 1)).alias("_order")) \
-        .repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", "_order").drop("_order")
+    out = [text.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns if name is None or c.lower() != name.lower()]
+    drawn = drawn.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", F.xxhash64("draw", "pass", F.lit(seed + 1)))
+    return drawn.select(*out, *([] if name is None else [F.col("mix_shard").alias(name)]))
 
 
 def op7_source_mix(spark, sf_dir: str) -> DataFrame:

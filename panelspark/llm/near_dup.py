@@ -208,19 +208,22 @@ def near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int = 80) -
 def drop_near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id, and of rows that share it one.
 
-    Rows without doc_id and documents without words are no one's duplicates and stay.
+    Rows without doc_id and documents without words are no one's duplicates and stay. Repeated rows of a kept document
+    leave the one whose text has the smallest hash. Other columns are carried along whatever their names; an empty table
+    gives an empty one.
     """
     found = scratch_table(near_duplicates(docs, shingle_size, percent), "groups", narrow=True)
     rows = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    out = rows.filter("not kept").select(F.col("doc_id").alias("_out"))
-    once = docs.join(out, F.col("doc_id").cast("long") == F.col("_out"), "left_anti")
-    twice = rows.filter("kept and n > 1").select(F.col("doc_id").alias("_twice"))
+    out = rows.filter("not kept").select(F.col("doc_id").alias("out"))
+    # the row as one struct, so that no column of docs can be taken for one of these
+    once = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash")) \
+        .join(out, F.col("id") == F.col("out"), "left_anti")
+    twice = rows.filter("kept and n > 1").select(F.col("doc_id").alias("twice"))
     if twice.isEmpty():
-        return once
-    marked = once.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text")).join(twice, F.col("_id") == F.col("_twice"), "left")
-    first = W.partitionBy("_id").orderBy("_text")
-    some = marked.filter("_twice is not null").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    return marked.filter("_twice is null").select("row.*").union(some.select("row.*"))
+        return once.select("row.*")
+    marked = once.join(twice, F.col("id") == F.col("twice"), "left")
+    some = marked.filter("twice is not null").withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("hash"))).filter("n = 1")
+    return marked.filter("twice is null").select("row.*").union(some.select("row.*"))
 
 
 def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:

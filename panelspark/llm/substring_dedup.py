@@ -581,10 +581,10 @@ def remove_repeated_strings(docs: DataFrame, length: int = 50, group_bytes: int
     without doc_id counts as the largest document. Rows of one doc_id do not remove each other's bytes, and are dealt out
     by doc_id and text. Repeated rows give repeated results; an empty table gives an empty one. A very long text is held
     by one task, with about 40 bytes for each of its bytes. Columns other than doc_id and text are carried along whatever
-    their names.
+    their names; one called like a result gives way to it.
     """
     shape = _Shape(length, hot_pieces, sort_block)
-    others = [c for c in docs.columns if c.lower() != "text"]
+    others = [c for c in docs.columns if c.lower() not in ("text", "removed_starts", "removed_ends", "kept")]
     table = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                         F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"))
     # a row counts for 64 bytes more than its text has
