@@ -29,7 +29,9 @@ def _recount(docs: DataFrame) -> DataFrame:
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity network scores 0.5 or more; null and empty texts stay."""
     ship_package(spark)
-    name = "_toxicity"
+    name = "toxicity"
+    while name in [c.lower() for c in docs.columns]:
+        name += "_"
     return toxicity(docs, read_table(spark, sf_dir, "labels"), name=name).filter((F.col(name) < 0.5) | F.coalesce(F.length("text") == 0, F.lit(True))).drop(name)
 
 
@@ -42,14 +44,15 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def repeated_strings_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes from each text the bytes of 50-byte strings that a smaller doc_id has too; of a character cut in two nothing stays."""
     ship_package(spark)
-    out = remove_repeated_strings(docs, as_text=True)
-    return _recount(out.select(*[F.col("kept").alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns]))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"])
+    out = remove_repeated_strings(docs.select("doc_id", "text", rest.alias("row")), as_text=True)
+    return _recount(out.select(*[F.col("kept").alias(c) if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns]))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources: a document appears as often as it is drawn, the last draw of a source perhaps in part."""
     ship_package(spark)
-    return _recount(draw_mix(docs).drop("mix_shard"))
+    return _recount(draw_mix(docs, name=None))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
