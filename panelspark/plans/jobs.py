@@ -106,7 +106,10 @@ def walk_forward_training(table: DataFrame, phases: dict, features, targets, mod
                           out_path: str | None = None, params: dict | None = None, **kw) -> dict[str, DataFrame]:
     """P-06: each phase ``{phase: (start, end, n_splits)}`` -> M-10 -> fold
     summary (A-18) -> result sinks (S-14) and the last available fold's
-    models (S-15)."""
+    models (S-15). With ``out_path`` a job that was cut off goes on from the
+    fits finished under ``out_path/finished_fits``."""
+    if out_path:
+        kw.setdefault("store", f"{out_path}/finished_fits")
     from panelspark.operators import models as MD
     from panelspark.sources import files as FS
     res, preds, timing = [], [], []
@@ -124,6 +127,8 @@ def walk_forward_training(table: DataFrame, phases: dict, features, targets, mod
     summary = MT.fold_summary(stats, by=("phase", "model", "target"))
     out = {"results": results, "summary": summary, "timing": MT.union_results(*timing),
            "predictions": MT.union_results(*preds) if preds else None}
+    if preds:
+        out["wide"] = MD.wide_predictions(out["predictions"], targets)
     if out_path:
         FS.write_results(out_path, out["results"], out["predictions"], summary, out["timing"])
     return out
