@@ -881,6 +881,12 @@ QUERIES["stream_ingest"] = _FLAGS_OHLCV
 QUERIES["panel_roundtrip"] = _FLAGS_OHLCV + " where date between date '1997-01-01' and date '1999-12-31'"
 
 
+@q("comparison_report")
+def _():
+    return f"""select b.phase, b.target, b.best_model, b.best_sharpe, e.seconds_mean, e.efficiency
+from ({QUERIES['best_model']}) b left join ({QUERIES['efficiency']}) e on e.model = b.best_model"""
+
+
 # ------------------------------------------------------------------ set operations, counts, result round trip
 QUERIES["entity_count"] = f"select count(distinct ticker) as n_entities, count(*) as n_entities_rows from ({bars_sql('supplier')}) b" \
     .replace("as n_entities_rows", "as n_rows")

@@ -122,7 +122,8 @@ def efficiency(summary: DataFrame, timing: DataFrame) -> DataFrame:
     perf = summary.groupBy("model").agg(F.avg("Sharpe_mean").alias("Sharpe_mean"))
     t = timing.groupBy("model").agg(F.avg("seconds").alias("seconds_mean"))
     return perf.join(t, "model", "inner").withColumn(
-        "efficiency", safe_div(F.col("Sharpe_mean"), F.col("seconds_mean")))
+        "efficiency", safe_div(F.col("Sharpe_mean"), F.col("seconds_mean"))) \
+        .orderBy(F.col("efficiency").desc_nulls_last(), "model")
 
 
 # ---------------------------------------------------------------- T-07, T-08

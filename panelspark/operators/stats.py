@@ -16,11 +16,13 @@ pairs x B x B rows per task, whatever the data volume. No row-level self join.
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-import uuid
-
 from panelspark.functions import clip, finite, safe_div
 from panelspark.functions.quantiles import exact_quantiles
 from panelspark.session import cut_lineage
@@ -119,15 +121,64 @@ def mi_matrix(df: DataFrame, features, bins: int = 10, min_obs: int = 100) -> Da
                            .select(F.col("f2").alias("f1"), F.col("f1").alias("f2"), "mi"))
 
 
+def _moments(d: int):
+    """Arrow batches of ``d`` double columns -> one row a column pair and task: n, both means, both sums of squared
+    deviations and that of products over the rows where both are present. Memory: d x d numbers beside a batch."""
+    def run(batches):
+        n = np.zeros((d, d))
+        mean, square, product = np.zeros((d, d)), np.zeros((d, d)), np.zeros((d, d))  # of the row's column, over the pair's rows
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(d)]).astype(np.float64)
+            here = ~np.isnan(x)
+            m = here.astype(np.float64)
+            centre = np.where(here, x, 0.0).sum(axis=0) / np.maximum(m.sum(axis=0), 1)
+            y = np.where(here, x - centre, 0.0)
+            k = m.T @ m
+            least = np.maximum(k, 1)
+            own = y.T @ m
+            own_mean = centre[:, None] + own / least
+            # merge of two parts by their sizes and the distance of their means
+            both = np.maximum(n + k, 1)
+            far = np.where(n > 0, own_mean - mean, 0.0)
+            square += (y * y).T @ m - own * own / least + far * far * n * k / both
+            product += y.T @ y - own * own.T / least + far * far.T * n * k / both
+            mean = np.where(k > 0, np.where(n > 0, mean + far * k / both, own_mean), mean)
+            n += k
+        i, j = np.triu_indices(d, 1)
+        kept = n[i, j] > 0
+        i, j = i[kept], j[kept]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (i.astype(np.int32), j.astype(np.int32), n[i, j], mean[i, j], mean[j, i],
+                                                               square[i, j], square[j, i], product[i, j])],
+                                         names=["i", "j", "n", "mx", "my", "sxx", "syy", "sxy"])
+    return run
+
+
 def corr_matrix(df: DataFrame, features) -> DataFrame:
-    """A-27: pairwise-complete Pearson correlation of every pair, one pass
-    (one ``corr`` aggregate per pair). Long form ``f1, f2, corr``."""
+    """A-27: pairwise-complete Pearson correlation of every pair over their
+    finite values. Long form ``f1, f2, corr``; NULL for fewer than two rows or a
+    constant side.
+
+    One pass: each task reduces its rows to moment matrices (masked matrix
+    products, a batch at a time) and sends one row a pair; parts are merged by
+    their means, so neither the size of the values nor the number of columns
+    squared meets the rows in an aggregate's expressions. Means are rounded
+    doubles: a column whose mean is 10^k times its spread keeps about 15 - k digits."""
     features = list(features)
-    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
-    row = df.agg(*[F.corr(features[i], features[j]).alias(f"p{p}") for p, (i, j) in enumerate(pairs)])
-    recs = [F.struct(F.lit(features[i]).alias("f1"), F.lit(features[j]).alias("f2"), F.col(f"p{p}").alias("corr"))
-            for p, (i, j) in enumerate(pairs)]
-    return row.select(F.explode(F.array(*recs)).alias("r")).select("r.f1", "r.f2", "r.corr")
+    d = len(features)
+    spark = df.sparkSession
+    pairs = [(i, j, features[i], features[j]) for i in range(d) for j in range(i + 1, d)]
+    names = spark.createDataFrame(pairs, "i int, j int, f1 string, f2 string")
+    parts = df.select(*[finite(f).cast("double").alias(f"c{i}") for i, f in enumerate(features)]) \
+        .mapInArrow(_moments(d), "i int, j int, n double, mx double, my double, sxx double, syy double, sxy double")
+    parts = cut_lineage(parts, f"moments_{uuid.uuid4().hex}")  # pairs x tasks rows, read twice
+    whole = parts.groupBy("i", "j").agg(F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("_mx"),
+                                        (F.sum(F.col("n") * F.col("my")) / F.sum("n")).alias("_my"))
+    x, y = F.col("mx") - F.col("_mx"), F.col("my") - F.col("_my")
+    sums = parts.join(whole, ["i", "j"]).groupBy("i", "j").agg(
+        F.max("_n").alias("n"), F.sum(F.col("sxx") + F.col("n") * x * x).alias("sxx"), F.sum(F.col("syy") + F.col("n") * y * y).alias("syy"),
+        F.sum(F.col("sxy") + F.col("n") * x * y).alias("sxy"))
+    corr = F.when((F.col("n") > 1) & (F.col("sxx") > 0) & (F.col("syy") > 0), F.col("sxy") / F.sqrt("sxx") / F.sqrt("syy"))
+    return F.broadcast(names).join(sums, ["i", "j"], "left").select("f1", "f2", corr.alias("corr"))  # pairs of the feature list
 
 
 def distribution(df: DataFrame, col: str, bins: int = 50) -> DataFrame:

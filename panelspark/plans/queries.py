@@ -483,7 +483,7 @@ def q_fastest_slowest(spark, sf_dir):
 # ------------------------------------------------------------------ feature table (P-03, P-04, F-06 .. F-11)
 from panelspark.operators import roles as RL  # noqa: E402
 from panelspark.operators import stats as ST  # noqa: E402
-from panelspark.plans.jobs import feature_table, global_feature_table  # noqa: E402
+from panelspark.plans.jobs import comparison_report, feature_table, global_feature_table, walk_forward_training  # noqa: E402
 
 
 @query("feature_table")
@@ -578,7 +578,7 @@ def q_regime(spark, sf_dir):
 @query("forest_oos")
 def q_forest_oos(spark, sf_dir):
     x, targets, feats = _model_table(spark, sf_dir)
-    _, preds, _, _ = ML.run_phase(x, 1, "1995-01-01", "2025-12-31", feats, targets[:1], ("RandomForest",),
+    _, preds, _, _ = ML.run_phase(x, 1, "1995-01-01", "2025-12-31", feats, targets, ("RandomForest",),
                                   params=RF_FIXED)
     return round_doubles(preds)
 
@@ -614,6 +614,25 @@ def q_model_smoke(spark, sf_dir):
     return round_doubles(ML.model_smoke(x, feats, targets, "RandomForest", params=RF_FIXED))
 
 
+@query("walk_forward_training")
+def q_walk_forward_training(spark, sf_dir):
+    """P-06: two phases, fits, sinks and models; the fold summary as written and read back, with the stored rows it stands for."""
+    x, targets, feats = _model_table(spark, sf_dir)
+    path = os.path.join(checkpoint_dir(spark), "results", f"walk_{uuid.uuid4().hex}")
+    walk_forward_training(x, {1: ("1992-01-01", "2025-12-31", 3), 2: ("1993-01-01", "2025-12-31", 2)}, feats, targets, ("LagForecaster",),
+                          out_path=path, winsor=False, regime=False)
+    rows = spark.read.parquet(f"{path}/predictions").filter("actual is not null").groupBy("phase", "model", "target").agg(F.count(F.lit(1)).alias("n_stored"))
+    return round_doubles(spark.read.parquet(f"{path}/summary").join(rows, ["phase", "model", "target"], "left"))
+
+
+@query("comparison_report")
+def q_comparison_report(spark, sf_dir):
+    """P-07: best model of each phase and target beside its efficiency."""
+    report = comparison_report(fold_stats(spark, sf_dir), timing(spark, sf_dir))
+    own = report["efficiency"].select(F.col("model").alias("best_model"), "seconds_mean", "efficiency")
+    return round_doubles(report["best_model"].join(own, "best_model", "left").select("phase", "target", "best_model", "best_sharpe", "seconds_mean", "efficiency"))
+
+
 # ------------------------------------------------------------------ files in / out (S-01 .. S-17, P-01) and streaming
 import os  # noqa: E402
 
