@@ -14,6 +14,7 @@ the calendar, not by the trade volume.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import (TWO_PI, clip, rolling, safe_div, safe_ln, ticker_window, trailing, weekday_mon0,
                                   wilder_blocked, wilder_running)
 from panelspark.operators import blocks as BL
+from panelspark.session import cut_lineage
 
 INTERVALS = (1, 3, 5, 10)
 
@@ -306,16 +308,19 @@ def feature_label_block(panel: DataFrame, intervals=INTERVALS, frac_width: int =
     if max(intervals) > BL.AHEAD or frac_width + 50 > BL.BACK or n != 14 or max(vol_n, bb_n) > BL.BACK:
         raise ValueError("windows must stay within the blocks' halo")
     columns = panel.columns
-    panel = BL.number_rows(panel)
+    # numbering reads the panel twice and shuffles it by stretch: written once, in narrow rows, so that neither the bars nor
+    # their numbers are worked out again by a stage that is run anew
+    panel = cut_lineage(BL.number_rows(panel), f"numbered_{uuid.uuid4().hex}")
     w = Window.partitionBy("ticker", "_b").orderBy("date")
     if rank:
-        near = BL.with_blocks(panel, block, max(intervals), 0)
+        near = BL.with_blocks(panel, block, max(intervals), 0).repartition("ticker", "_b")
         rets = near.select("*", *[(safe_div(F.col("close"), F.lag("close", t).over(w)) - 1).alias(f"_rr{t}")
                                    for t in intervals]).filter("_own")
         rets = cross_section_rank(rets, [f"_rr{t}" for t in intervals],
                                   names=[f"ret_rel_perc_{t}" for t in intervals])
         panel = rets.select(*columns, "_i", *[f"ret_rel_perc_{t}" for t in intervals])
-    panel = BL.with_blocks(panel, block)
+    # blocks are dealt out by name, as the windows ask for them, also where a reader needs none of the windows' columns
+    panel = BL.with_blocks(panel, block).repartition("ticker", "_b")
     # the last close of a block with its halo is the series' last one wherever a lead runs out
     whole = Window.partitionBy("ticker", "_b")
     close, high, low = F.col("close"), F.col("high"), F.col("low")
