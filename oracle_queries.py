@@ -516,6 +516,66 @@ select date '1995-01-01' as period_start, date '2025-12-31' as period_end, count
   count(*) as final_rows from fin"""
 
 
+# ------------------------------------------------------------------ the panel of all suppliers, cleaned
+def _supplier_ctes() -> str:
+    return f"""{_chain('supplier')}, gs as ({_gapstats('dense')}),
+c2 as (select * from clean where ticker not in (select ticker from gs where gap_pct > 67.2)),
+f as ({_flags(f'({_liq("c2")})', 800.0, 10.0, 21000.0)}),
+fin as (select * from c2 where ticker in (select ticker from f where is_valid)
+          and date between date '1995-01-01' and date '2025-12-31')"""
+
+
+@q("clean_panel_supplier")
+def _():
+    return f"with {_supplier_ctes()} select ticker, date, {OHLCV_R} from fin"
+
+
+@q("liquidity_stats_supplier")
+def _():
+    return f"""with {_chain('supplier')}
+select ticker, {r('med_price', 'med_price')}, {r('med_vol', 'med_vol')}, {r('med_dvol', 'med_dvol')}
+from ({_liq('clean')}) s"""
+
+
+@q("pipeline_missing")
+def _():
+    parts = [f"select '{c}' as \"column\", count(*) filter (where {c} is null) as missing from fin"
+             for c in ("ticker", "date", "open", "high", "low", "close", "vol")]
+    pct = "cast(round_even(cast(missing * 100.0 / nullif((select count(*) from fin), 0) * 100.0 as double), 0) as double) / 100.0"
+    return f"""with {_supplier_ctes()}
+select "column", cast(missing as bigint) as missing, {r(pct, 'missing_pct')} from ({' union all '.join(parts)}) m"""
+
+
+def _stack(part: str, item: str, src: str, **values) -> str:
+    return " union all ".join(f"select '{part}' as part, cast({item} as varchar) as item, '{m}' as measure, "
+                              f"{r(e, 'value')} from {src}" for m, e in values.items())
+
+
+def _hist(col: str, src: str, bins: int) -> str:
+    return f"""(with v as (select {col} as v from {src} where {col} is not null), mm as (select min(v) as mn, max(v) as mx from v),
+c as (select cast(least({bins - 1}, floor((v - mn) / (mx - mn) * {bins})) as integer) as bin, count(*) as n from v, mm group by 1)
+select cast(g.range as integer) as bin, mn + g.range * (mx - mn) / {bins} as lower, mn + (g.range + 1) * (mx - mn) / {bins} as upper,
+  coalesce(c.n, 0) as n from range(0, {bins}) g cross join mm left join c on c.bin = g.range)"""
+
+
+@q("quality_report")
+def _():
+    daily = f"""(select date, n_tickers, case when count(n_tickers) over w >= 10 then quantile_cont(n_tickers, 0.5) over w end as rm
+  from (select date, count(distinct ticker) as n_tickers from ({bars_sql('supplier')}) b0 group by date) d
+  window w as (order by date rows between 10 preceding and 10 following)) z"""
+    flags = "(select c2.date, f.* from c2 join f using (ticker)) x group by date"
+    parts = [
+        _stack("lifecycle", "kind || ':' || bucket", f"({QUERIES['lifecycle']}) l", n="n_tickers"),
+        _stack("daily_tickers", "date", daily, n="n_tickers", median="rm"),
+        _stack("gap_distribution", "bin", _hist("gap_pct", "gs", 50) + " h", lower="lower", upper="upper", n="n"),
+        _stack("top_gaps", "ticker", "(select * from gs order by gap_pct desc, ticker limit 10) t", gap_pct="gap_pct"),
+        _stack("liquidity_funnel", "'all'", "f", n="count(*)", price="count_if(is_price_ok)", vol="count_if(is_vol_ok)",
+               dvol="count_if(is_dvol_ok)", valid="count_if(is_valid)"),
+        _stack("daily_flags", "date", flags, valid="count_if(is_valid)", invalid="count_if(not is_valid)", price_ok="count_if(is_price_ok)",
+               vol_ok="count_if(is_vol_ok)", dvol_ok="count_if(is_dvol_ok)")]
+    return f"with {_supplier_ctes()} {' union all '.join(parts)}"
+
+
 # ------------------------------------------------------------------ validation
 def _folds_ctes(src: str = "b", n_splits: int = 5, x: str = "") -> str:
     return f"""di{x} as (select date, row_number() over (order by date) - 1 as i from (select distinct date from {src}) d),
@@ -837,12 +897,11 @@ select feature, {r('mi_score', 'mi_score')},
 
 @q("mi_matrix")
 def _():
-    f6 = DEP[:6]
     parts = []
-    for i, a in enumerate(f6):
-        for b in f6[i:]:
+    for i, a in enumerate(DEP):
+        for b in DEP[i:]:
             parts.append(f"select '{a}' as f1, '{b}' as f2, * from {_mi_pair_sql('cc', a, b, 0)} t")
-    cond = " and ".join(f"{c} is not null" for c in f6)
+    cond = " and ".join(f"{c} is not null" for c in DEP)
     return f"""with {_dep_cte()}, cc as (select * from dep where {cond}),
 one as (select f1, f2, case when n_obs >= 100 then mi else 0.0 end as mi from ({' union all '.join(parts)}) u)
 select f1, f2, {r('mi', 'mi')} from one union all select f2, f1, {r('mi', 'mi')} from one where f1 <> f2"""
@@ -865,6 +924,24 @@ select cast(g.range as integer) as bin, {r('mn + g.range * (mx - mn) / 50', 'low
 from range(0, 50) g cross join mm left join c on c.bin = g.range"""
 
 
+@q("exploratory_report")
+def _():
+    mi = " union all ".join(f"select * from {_mi_pair_sql('dep', f, 'fwd_log_ret_05', chr(39) + f + chr(39))} t{i}" for i, f in enumerate(DEP))
+    band = "case when mi > top * 0.8 then 'very_high' when mi > top * 0.5 then 'high' when mi > top * 0.2 then 'medium' else 'low' end"
+    parts = [
+        _stack("mi_scores", "k", "mi", mi="mi", n_obs="n_obs"),
+        _stack("bands", f"{band} || ':' || k", "(select *, max(mi) over () as top from mi) m", mi="mi"),
+        _stack("top_features", "k", "(select * from mi order by mi desc, k limit 20) m", mi="mi"),
+        _stack("mi_matrix", "f1 || '~' || f2", f"({QUERIES['mi_matrix']}) m", mi="mi"),
+        _stack("corr_matrix", "f1 || '~' || f2", f"({QUERIES['corr_matrix']}) m", corr="corr"),
+        _stack("mi_distribution", "bin", _hist("mi", "mi", 30) + " h", n="n"),
+        _stack("target_distribution", "bin", _hist("fwd_log_ret_05", "dep", 50) + " h", lower="lower", n="n")]
+    return f"with {_dep_cte()}, mi as (select * from ({mi}) u where n_obs >= 100) {' union all '.join(parts)}"
+
+
+QUERIES["mi_store"] = QUERIES["mi_scores"]
+
+
 # ------------------------------------------------------------------ Spark ML inputs
 @q("lag_vector")
 def _():
@@ -878,6 +955,8 @@ _FLAGS_OHLCV = f"select ticker, date, {OHLCV_R} from ({bars_sql('flags')}) b"
 QUERIES["ingest"] = _FLAGS_OHLCV
 QUERIES["file_audit"] = f"select ticker as t, count(*) as rows, 'ok' as status from ({bars_sql('flags')}) b group by ticker"
 QUERIES["stream_ingest"] = _FLAGS_OHLCV
+QUERIES["narrow_floats"] = "select ticker, date, " + ", ".join(
+    r(f"cast(cast({c} as float) as double)", c) for c in ("open", "high", "low", "close", "vol")) + f" from ({bars_sql('supplier')}) b"
 QUERIES["panel_roundtrip"] = _FLAGS_OHLCV + " where date between date '1997-01-01' and date '1999-12-31'"
 
 

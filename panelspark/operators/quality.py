@@ -243,11 +243,15 @@ def liquidity_stats(df: DataFrame, window: int = 42) -> DataFrame:
     """Per ticker the minimum over time of the trailing ``window``-row medians
     of close, vol and dollar volume (full windows only)."""
     w = ticker_window().rowsBetween(-(window - 1), 0)
+    lo, hi = (window - 1) // 2, window // 2
 
     def med(c):
-        return F.when(F.count(c).over(w) >= window, F.percentile(F.col(c), 0.5).over(w))
+        full = F.array_sort(F.filter(F.transform("_w", lambda s: s[c].cast("double")), lambda v: v.isNotNull()))
+        return F.when(F.size(full) >= window, 0.5 * F.get(full, F.lit(lo)) + 0.5 * F.get(full, F.lit(hi)))
 
     x = add_dollar_volume(df) if "dollar_vol" not in df.columns else df
+    # the three medians share one frame: its rows as an array, sorted per column
+    x = x.select("ticker", F.collect_list(F.struct("close", "vol", "dollar_vol")).over(w).alias("_w"))
     x = x.select("ticker", med("close").alias("med_price"), med("vol").alias("med_vol"),
                  med("dollar_vol").alias("med_dvol"))
     return x.groupBy("ticker").agg(F.min("med_price").alias("med_price"), F.min("med_vol").alias("med_vol"),
@@ -329,6 +333,11 @@ def pipeline_summary(original: DataFrame, final: DataFrame) -> DataFrame:
         "median_tickers_per_day", "min_tickers_per_day", "max_tickers_per_day")
 
 
+def pipeline_missing(final: DataFrame) -> DataFrame:
+    """A-13, the block on missing values: NULLs per column of the final panel, fullest columns last."""
+    return missing_report(final).orderBy(F.desc("missing"), "column")
+
+
 def panel_metadata(final: DataFrame, period_start: str, period_end: str) -> DataFrame:
     return final.agg(F.lit(period_start).cast("date").alias("period_start"),
                      F.lit(period_end).cast("date").alias("period_end"),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators import quality as Q
+from panelspark.session import cut_lineage
 
 
 @dataclass
@@ -33,18 +35,27 @@ def clean_panel(raw: DataFrame, start: str = "2000-01-01", period_start: str | N
     ``gap_threshold=None`` skips the gap filter; ``liquidity=False`` skips the
     liquidity filter. ``period_start=None`` infers it (modal start year + 1),
     the only data-dependent scalar of the job (one row collected).
+
+    Three tables are written under the checkpoint folder, each read more than
+    once: the bars from ``start`` on (``raw`` is worked out once), the valid days,
+    and the cleaned panel before the liquidity filter with its gap statistics.
     """
-    panel = Q.filter_from(raw, start)
+    run = uuid.uuid4().hex
+
+    def once(df: DataFrame, name: str) -> DataFrame:
+        return cut_lineage(df, f"clean_{name}_{run}")
+
+    panel = once(Q.filter_from(raw, start), "bars")
     if period_start is None:
         period_start = str(Q.infer_period_start(panel).first()["period_start"])
-    days = Q.valid_days(panel, window=rolling_window, min_periods=ghost_min_periods, threshold_pct=threshold_pct)
+    days = once(Q.valid_days(panel, window=rolling_window, min_periods=ghost_min_periods, threshold_pct=threshold_pct), "days")
     panel = Q.drop_ghost_days(panel, days)
     dense = Q.densify(panel, days, fill_tail=fill_limit)
-    gaps = Q.gap_stats(dense, days)
+    gaps = once(Q.gap_stats(panel, days), "gaps")  # a hole of the grid is a valid day without a row
     if gap_threshold is not None:
         dense = Q.drop_gappy_tickers(dense, gaps, gap_threshold)
     filled = Q.ffill_limit(dense, fill_limit)
-    cleaned = Q.drop_invalid_ohlc(Q.drop_incomplete_ohlc(filled))
+    cleaned = once(Q.drop_invalid_ohlc(Q.drop_incomplete_ohlc(filled)), "panel")
     stats = Q.liquidity_stats(cleaned, liq_window)
     flags = Q.liquidity_flags(stats, min_price, min_vol, min_dvol)
     final = Q.keep_liquid(cleaned, flags) if liquidity else cleaned

@@ -152,7 +152,7 @@ def q_vertical_barrier(spark, sf_dir):
 
 # ------------------------------------------------------------------ cleaning (P-02 pieces)
 from panelspark.operators import quality as Q  # noqa: E402
-from panelspark.plans.jobs import clean_panel  # noqa: E402
+from panelspark.plans.jobs import clean_panel, quality_report  # noqa: E402
 
 # Parameters that exercise every filter on the driver tables (measured on
 # bars_flags at sf0.01); the reference's own defaults remain the defaults of
@@ -290,6 +290,58 @@ def q_panel_metadata(spark, sf_dir):
     return Q.panel_metadata(r.panel, r.period_start, r.period_end)
 
 
+# The panel of all suppliers: a bar on about every third day, hence a high share of gaps.
+SUPPLIER_CLEAN = dict(start="1995-01-01", period_start="1995-01-01", period_end="2025-12-31",
+                      gap_threshold=67.2, min_price=800.0, min_vol=10.0, min_dvol=21000.0)
+
+
+def _supplier_clean(spark, sf_dir):
+    return clean_panel(_bars(spark, sf_dir), **SUPPLIER_CLEAN)
+
+
+@query("clean_panel_supplier")
+def q_clean_panel_supplier(spark, sf_dir):
+    """P-02 with every filter over all suppliers."""
+    return round_doubles(_supplier_clean(spark, sf_dir).panel)
+
+
+@query("liquidity_stats_supplier")
+def q_liquidity_stats_supplier(spark, sf_dir):
+    """A-10, W-05 over all suppliers, before any of them is dropped for its gaps."""
+    return round_doubles(clean_panel(_bars(spark, sf_dir), **{**SUPPLIER_CLEAN, "gap_threshold": None}).ticker_stats)
+
+
+@query("pipeline_missing")
+def q_pipeline_missing(spark, sf_dir):
+    """A-13: missing values of the final panel."""
+    return round_doubles(Q.pipeline_missing(_supplier_clean(spark, sf_dir).panel))
+
+
+def _stacked(part: str, df, item, **values):
+    """Rows of one table of a report as ``part, item, measure, value``."""
+    stack = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), c.cast("double").alias("value")) for m, c in values.items()]))
+    return df.select(F.lit(part).alias("part"), item.cast("string").alias("item"), stack.alias("s")) \
+        .select("part", "item", "s.measure", "s.value")
+
+
+@query("quality_report")
+def q_quality_report(spark, sf_dir):
+    """P-08 over all suppliers: the tables behind the charts, stacked."""
+    raw = _bars(spark, sf_dir)
+    rep = quality_report(raw, clean_panel(raw, **SUPPLIER_CLEAN))
+    c = F.col
+    parts = [
+        _stacked("lifecycle", rep["lifecycle"], F.concat_ws(":", "kind", "bucket"), n=c("n_tickers")),
+        _stacked("daily_tickers", rep["daily_tickers"], c("date"), n=c("n_tickers"), median=c("rolling_median_21d")),
+        _stacked("gap_distribution", rep["gap_distribution"], c("bin"), lower=c("lower"), upper=c("upper"), n=c("n")),
+        _stacked("top_gaps", rep["top_gaps"], c("ticker"), gap_pct=c("gap_pct")),
+        _stacked("liquidity_funnel", rep["liquidity_funnel"], F.lit("all"), n=c("n_tickers"), price=c("pass_price"), vol=c("pass_vol"),
+                 dvol=c("pass_dvol"), valid=c("pass_all")),
+        _stacked("daily_flags", rep["daily_flags"], c("date"), valid=c("valid"), invalid=c("invalid"), price_ok=c("price_ok"),
+                 vol_ok=c("vol_ok"), dvol_ok=c("dvol_ok"))]
+    return round_doubles(M.union_results(*parts))
+
+
 # ------------------------------------------------------------------ validation (V-*, M-01, M-03, M-04, A-15)
 from panelspark.operators import validation as V  # noqa: E402
 from panelspark.operators.labels import forward_returns  # noqa: E402
@@ -483,7 +535,8 @@ def q_fastest_slowest(spark, sf_dir):
 # ------------------------------------------------------------------ feature table (P-03, P-04, F-06 .. F-11)
 from panelspark.operators import roles as RL  # noqa: E402
 from panelspark.operators import stats as ST  # noqa: E402
-from panelspark.plans.jobs import comparison_report, feature_table, global_feature_table, walk_forward_training  # noqa: E402
+from panelspark.plans.jobs import (comparison_report, exploratory_report, feature_table, global_feature_table,  # noqa: E402
+                                   walk_forward_training)
 
 
 @query("feature_table")
@@ -532,7 +585,7 @@ def q_mi_bands(spark, sf_dir):
 
 @query("mi_matrix")
 def q_mi_matrix(spark, sf_dir):
-    return round_doubles(ST.mi_matrix(_dep_frame(spark, sf_dir), DEP_FEATURES[:6]))
+    return round_doubles(ST.mi_matrix(_dep_frame(spark, sf_dir), DEP_FEATURES))
 
 
 @query("corr_matrix")
@@ -545,6 +598,30 @@ def q_histogram(spark, sf_dir):
     return round_doubles(ST.distribution(_dep_frame(spark, sf_dir), "ret_1", 50))
 
 
+@query("exploratory_report")
+def q_exploratory_report(spark, sf_dir):
+    """P-05: MI scores with bands, MI matrix, correlations and both distributions, stacked."""
+    tag = re.sub(r"[^A-Za-z0-9]+", "_", sf_dir.strip("/"))
+    x = cut_lineage(_dep_frame(spark, sf_dir), f"eda_{tag}_{uuid.uuid4().hex[:12]}")
+    rep = exploratory_report(x, "fwd_log_ret_05", "2001-06-30")
+    c, pair = F.col, F.concat_ws("~", "f1", "f2")
+    parts = [_stacked("mi_scores", rep["mi_scores"], c("feature"), mi=c("mi_score"), n_obs=c("n_obs")),
+             _stacked("bands", rep["bands"], F.concat_ws(":", "band", "feature"), mi=c("mi_score")),
+             _stacked("top_features", rep["top_features"], c("feature"), mi=c("mi_score")),
+             _stacked("mi_matrix", rep["mi_matrix"], pair, mi=c("mi")), _stacked("corr_matrix", rep["corr_matrix"], pair, corr=c("corr")),
+             _stacked("mi_distribution", rep["mi_distribution"], c("bin"), n=c("n")),
+             _stacked("target_distribution", rep["target_distribution"], c("bin"), lower=c("lower"), n=c("n"))]
+    return round_doubles(M.union_results(*parts))
+
+
+@query("mi_store")
+def q_mi_store(spark, sf_dir):
+    """S-17: MI scores as written and read back."""
+    path = os.path.join(checkpoint_dir(spark), "results", f"mi_{uuid.uuid4().hex}")
+    FS.write_mi_scores(ST.mi_scores(_dep_frame(spark, sf_dir).dropna(subset=["fwd_log_ret_05"]), DEP_FEATURES, "fwd_log_ret_05"), path)
+    return round_doubles(spark.read.parquet(path))
+
+
 # ------------------------------------------------------------------ Spark ML (M-02, M-05 .. M-14): rows-only checks
 from panelspark.operators import models as ML  # noqa: E402
 
@@ -569,10 +646,14 @@ def q_lag_vector(spark, sf_dir):
 
 @query("regime")
 def q_regime(spark, sf_dir):
+    """M-02 over all folds: one mixture a fold, fitted on its training rows."""
     x, _, _ = _model_table(spark, sf_dir)
-    f0 = V.purged_walk_forward(x).filter("fold = 0").first()
-    tr, te, _ = ML.market_regime(V.fold_rows(x, f0, "train"), V.fold_rows(x, f0, "test"))
-    return tr.select(*KEY, "market_regime").unionByName(te.select(*KEY, "market_regime"))
+    out = []
+    for f in V.purged_walk_forward(x).orderBy("fold").collect():  # n_splits rows
+        tr, te, _ = ML.market_regime(V.fold_rows(x, f, "train"), V.fold_rows(x, f, "test"))
+        out += [df.select(F.lit(f["fold"]).alias("fold"), F.lit(split).alias("split"), *KEY, "market_regime")
+                for split, df in (("train", tr), ("test", te))]
+    return M.union_results(*out)
 
 
 @query("forest_oos")
@@ -663,6 +744,13 @@ def q_file_audit(spark, sf_dir):
         .agg(F.sum("rows").alias("rows"), F.min("status").alias("status"))
 
 
+@query("narrow_floats")
+def q_narrow_floats(spark, sf_dir):
+    """S-05: every price as a float, shown as the double it stands for."""
+    x = FS.narrow_floats(_bars(spark, sf_dir))
+    return round_doubles(x.select(*KEY, *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "vol")]))
+
+
 @query("panel_roundtrip")
 def q_panel_roundtrip(spark, sf_dir):
     """S-12 / S-13: write the panel partitioned by year, read one range back (pruned)."""
