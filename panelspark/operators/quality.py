@@ -246,12 +246,11 @@ def liquidity_stats(df: DataFrame, window: int = 42) -> DataFrame:
     lo, hi = (window - 1) // 2, window // 2
 
     def med(c):
-        full = F.array_sort(F.filter(F.transform("_w", lambda s: s[c].cast("double")), lambda v: v.isNotNull()))
-        return F.when(F.size(full) >= window, 0.5 * F.get(full, F.lit(lo)) + 0.5 * F.get(full, F.lit(hi)))
+        return F.when(F.size(f"_{c}") >= window, 0.5 * F.get(f"_{c}", F.lit(lo)) + 0.5 * F.get(f"_{c}", F.lit(hi)))
 
     x = add_dollar_volume(df) if "dollar_vol" not in df.columns else df
-    # the three medians share one frame: its rows as an array, sorted per column
-    x = x.select("ticker", F.collect_list(F.struct("close", "vol", "dollar_vol")).over(w).alias("_w"))
+    # a frame's values without NULLs as one array of primitives, sorted once and read at its middle
+    x = x.select("ticker", *[F.sort_array(F.collect_list(F.col(c).cast("double")).over(w)).alias(f"_{c}") for c in ("close", "vol", "dollar_vol")])
     x = x.select("ticker", med("close").alias("med_price"), med("vol").alias("med_vol"),
                  med("dollar_vol").alias("med_dvol"))
     return x.groupBy("ticker").agg(F.min("med_price").alias("med_price"), F.min("med_vol").alias("med_vol"),
