@@ -8,10 +8,10 @@ estimate on quantile bins, which is a pure aggregation:
 
 with a = bin of X and b = bin of Y, bins cut at the exact k/B quantiles of the
 pairs used (a value equal to a cut point falls in the lower bin). Bin edges are
-a few scalars per column (distributed exact quantiles); every row then emits
-one small (pair, bin, bin) record per feature (pair) and the joint counts are
-a partially aggregated ``groupBy``: the shuffle carries at most
-pairs x B x B rows per task, whatever the data volume. No row-level self join.
+a few scalars per column (distributed exact quantiles); every task then counts
+its rows by (pair, bin, bin) with numpy and the joint counts are the sums of
+these: the shuffle carries at most pairs x B x B rows per task, whatever the
+data volume. No row-level self join.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import clip, finite, safe_div
@@ -30,15 +30,29 @@ from panelspark.session import cut_lineage
 CLIP = 1e10
 
 
-def _bin(c: Column, splits) -> Column:
-    """Number of cut points strictly below the value (0 .. len(splits))."""
-    if not splits:
-        return F.when(c.isNotNull(), F.lit(0))
-    acc = None
-    for s in splits:
-        term = F.when(c > F.lit(float(s)), 1).otherwise(0)
-        acc = term if acc is None else acc + term
-    return F.when(c.isNotNull(), acc)
+def _joint_counts(df: DataFrame, splits: list, pairs: list) -> DataFrame:
+    """``k, a, b, n``: for the ``k``-th pair (i, j) of the frame's columns the rows with bin ``a`` of column i and ``b`` of j.
+
+    A value's bin is the number of its column's cut points strictly below it (0 .. their number); rows without one of the two
+    don't count. Each task counts its rows in small tables (a batch of one column, or pair, at a time) and sends only these."""
+    cuts = [np.array(s, dtype=np.float64) for s in splits]
+    bins = max(len(c) for c in cuts) + 2  # the last one: no value
+
+    def run(batches):
+        counts = np.zeros((len(pairs), bins * bins), dtype=np.int64)
+        for batch in batches:
+            own = []
+            for i, c in enumerate(cuts):
+                v = batch.column(i).to_numpy(zero_copy_only=False)
+                own.append(np.where(np.isnan(v), bins - 1, np.searchsorted(c, v, side="left")))
+            for k, (i, j) in enumerate(pairs):
+                counts[k] += np.bincount(own[i] * bins + own[j], minlength=bins * bins)
+        counts = counts.reshape(len(pairs), bins, bins)[:, :-1, :-1]
+        k, a, b = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int32)) for v in (k, a, b)] + [pa.array(counts[k, a, b])], names=["k", "a", "b", "n"])
+
+    found = df.mapInArrow(run, "k int, a int, b int, n long").groupBy("k", "a", "b").agg(F.sum("n").alias("n"))
+    return cut_lineage(found, f"joint_{uuid.uuid4().hex}")  # pairs x bins x bins rows, read by whatever is made of the scores
 
 
 def _mi_from_joint(joint: DataFrame, key: str) -> DataFrame:
@@ -65,12 +79,8 @@ def mi_scores(df: DataFrame, features, target: str, bins: int = 10, min_obs: int
     # the narrow input feeds several passes (quantile rounds, joint counts):
     # written once under the checkpoint folder instead of recomputed each time
     x = cut_lineage(df.select(*cols), f"mi_input_{uuid.uuid4().hex}")
-    splits = exact_quantiles(x, [c for i in range(len(features)) for c in (f"x{i}", f"y{i}")], probs)
-    recs = [F.struct(F.lit(i).alias("k"), _bin(F.col(f"x{i}"), [s for s in splits[f"x{i}"] if s is not None]).alias("a"),
-                     _bin(F.col(f"y{i}"), [s for s in splits[f"y{i}"] if s is not None]).alias("b"))
-            for i in range(len(features))]
-    joint = x.select(F.explode(F.array(*recs)).alias("r")).filter(F.col("r.a").isNotNull()) \
-        .groupBy("r.k", "r.a", "r.b").agg(F.count(F.lit(1)).alias("n"))
+    splits = exact_quantiles(x, x.columns, probs, persist=False)
+    joint = _joint_counts(x, [[s for s in splits[c] if s is not None] for c in x.columns], [(2 * i, 2 * i + 1) for i in range(len(features))])
     mi = _mi_from_joint(joint, "k").filter(F.col("n_obs") >= min_obs)
     names = F.array(*[F.lit(f) for f in features])
     return mi.select(F.element_at(names, F.col("k") + 1).alias("feature"), F.lit(target).alias("target"),
@@ -102,14 +112,9 @@ def mi_matrix(df: DataFrame, features, bins: int = 10, min_obs: int = 100) -> Da
         complete = complete & finite(f).isNotNull()
     x = cut_lineage(df.filter(complete).select(*[clip(f, -CLIP, CLIP).alias(f"c{i}") for i, f in enumerate(features)]),
                     f"mi_matrix_input_{uuid.uuid4().hex}")
-    splits = exact_quantiles(x, [f"c{i}" for i in range(len(features))], [k / bins for k in range(1, bins)])
-    b = x.select(*[_bin(F.col(f"c{i}"), [s for s in splits[f"c{i}"] if s is not None]).alias(f"b{i}")
-                   for i in range(len(features))])
+    splits = exact_quantiles(x, x.columns, [k / bins for k in range(1, bins)], persist=False)
     pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    recs = [F.struct(F.lit(p).alias("k"), F.col(f"b{i}").alias("a"), F.col(f"b{j}").alias("b"))
-            for p, (i, j) in enumerate(pairs)]
-    joint = b.select(F.explode(F.array(*recs)).alias("r")).groupBy("r.k", "r.a", "r.b") \
-        .agg(F.count(F.lit(1)).alias("n"))
+    joint = _joint_counts(x, [[s for s in splits[c] if s is not None] for c in x.columns], pairs)
     mi = _mi_from_joint(joint, "k")
     spark = df.sparkSession
     pair_df = spark.createDataFrame([(p, features[i], features[j]) for p, (i, j) in enumerate(pairs)],

@@ -116,3 +116,32 @@ def test_unlabelled_test_rows_are_predicted(spark):
     got = pred.collect()
     assert len(got) == 20 and sum(r["actual"] is None for r in got) == 10 and m["test_size"] == 10
     assert abs(m["RMSE"]) < 1e-6
+
+
+def test_quantiles_do_not_hang_on_the_spread_of_values(spark, monkeypatch):
+    """Few passes also where one value is most of a column, or all values agree but for their last bits."""
+    from panelspark.functions import quantiles as QU
+    rnd = random.Random(7)
+    near = [1.0 + rnd.randint(0, 10 ** 6) * 2 ** -52 for _ in range(4000)]
+    rows = [(v, 0.25 if i % 10 else -rnd.random(), (-0.0, 0.0, float("nan"), -float("inf"))[i % 4]) for i, v in enumerate(near)]
+    df = spark.createDataFrame(rows, "near double, copies double, odd double").repartition(7)
+    passes = []
+    count = QU._cell_counts
+    monkeypatch.setattr(QU, "_cell_counts", lambda *a: passes.append(a) or count(*a))
+    probs = [0.0, 0.1, 0.5, 0.975]
+    got = exact_quantiles(df, ["near", "copies"], probs, max_collect=10)
+    for i, c in enumerate(("near", "copies")):
+        assert got[c] == pytest.approx(list(np.percentile([r[i] for r in rows], [p * 100 for p in probs])), rel=1e-15)
+    assert len(passes) <= 6
+    assert exact_quantiles(df, ["odd"], [0.0, 0.5])["odd"] == [-float("inf"), 0.0]
+    assert np.isnan(exact_quantiles(df, ["odd"], [1.0], persist=False)["odd"][0])
+
+
+def test_passes_for_a_discrete_column_are_few(spark, monkeypatch):
+    from panelspark.functions import quantiles as QU
+    passes = []
+    count = QU._cell_counts
+    monkeypatch.setattr(QU, "_cell_counts", lambda *a: passes.append(a) or count(*a))
+    df = spark.range(5000).selectExpr("cast(id % 7 as double) / 3 as v")
+    got = exact_quantiles(df, ["v"], [0.3, 0.9], max_collect=5)["v"]
+    assert got == pytest.approx(list(np.percentile([i % 7 / 3 for i in range(5000)], [30, 90]))) and len(passes) <= 3
