@@ -145,3 +145,16 @@ def test_passes_for_a_discrete_column_are_few(spark, monkeypatch):
     df = spark.range(5000).selectExpr("cast(id % 7 as double) / 3 as v")
     got = exact_quantiles(df, ["v"], [0.3, 0.9], max_collect=5)["v"]
     assert got == pytest.approx(list(np.percentile([i % 7 / 3 for i in range(5000)], [30, 90]))) and len(passes) <= 3
+
+
+def test_quantile_tasks_travel_without_the_package(tmp_path):
+    """A worker that cannot import this package must be able to load and run what is sent to it."""
+    import subprocess
+    import sys
+    from pyspark import cloudpickle
+    from panelspark.functions import quantiles as QU
+    (tmp_path / "f").write_bytes(cloudpickle.dumps([QU._cell_counts(False, None, 53, 11), QU._cell_values(False, {(None, 0): np.array([0])}, 64 - 1)]))
+    code = ("import pickle, sys, pyarrow as pa; fs = pickle.load(open('f', 'rb')); b = pa.record_batch([pa.array([1.0, None, -2.0])], names=['v']);"
+            "print(sum(sum(x.column(3).to_pylist()) for x in fs[0]([b])), sum(x.num_rows for x in fs[1]([b])), 'panelspark' in sys.modules)")
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert got.stdout.split() == ["2", "1", "False"], got.stderr
