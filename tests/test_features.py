@@ -198,3 +198,12 @@ def test_blocked_wilder_carries_across_blocks(spark):
         assert g == pytest.approx(e, rel=1e-12)
     with pytest.raises(ValueError):
         wilder_blocked(df, {"x": "y"}, "_i", 14, block=128)
+
+
+def test_rank_tasks_hold_a_few_days(spark):
+    """Small partitions were merged before the sorts, one of which each column adds: one task held many days' rows."""
+    df = make_panel(spark, {t: walk(60, seed=i) for i, t in enumerate("ABC")})
+    x = FE.cross_section_rank(FE.returns(df), ["ret_1", "ret_3"])
+    days = [len({r["date"] for r in part}) for part in x.select("date").rdd.glom().collect()]
+    assert len(days) == FE.RANK_PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(days) == 60
+    assert max(days) <= 15  # merged: all 60
