@@ -7,7 +7,7 @@
    the set bit is the key's slot. Keys are stored by slot, as a perfect hash answers for strangers too.
 3. Recount: bundles of shards, each of at most ``bundle_bytes``, are broadcast one after the other. A task looks up each
    distinct term of a chunk once, compares it with the stored key, and adds the occurrences to one dense array of slots
-   per (lang, source). Only slots that are not 0 leave the task; Spark adds them up.
+   per (lang, source). Slots that are not 0 leave the task as one row a (lang, source, shard); these are added up by groups.
 4. Sources are compared in tiles of at most about 256 sources by one shard of terms; sums over shards are Spark's.
 """
 
@@ -208,6 +208,39 @@ class TermSlots:
         return kept
 
 
+_COUNTED = "lang string, source string, sub long, slots binary, ns binary"
+ADDED_AT_ONCE = 64
+
+
+def _counted(lang: list, source: list, sub: list, slots: list, ns: list) -> pa.RecordBatch:
+    """One row a (lang, source, shard): the slots that occur and how often, as bytes."""
+    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(sub, pa.int64()),
+                                       pa.array([x.astype(np.int32).tobytes() for x in slots], pa.binary()), pa.array([x.astype(np.int64).tobytes() for x in ns], pa.binary())],
+                                      names=["lang", "source", "sub", "slots", "ns"])
+
+
+def _sum_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Slots that occur in any of the rows (of one lang, source and shard), and the sums of their counts."""
+    slots = [np.frombuffer(b, np.int32) for b in table.column("slots").to_pylist()]
+    total = np.zeros(max(int(s[-1]) for s in slots) + 1, np.int64)  # slots ascend
+    for s, n in zip(slots, table.column("ns").to_pylist()):
+        total[s] += np.frombuffer(n, np.int64)
+    at = np.flatnonzero(total)
+    return at, total[at]
+
+
+def _add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    at, n = _sum_of(table)
+    lang, source, sub = (k.as_py() for k in key[:3])
+    return pa.Table.from_batches([_counted([lang], [source], [sub], [at], [n])])
+
+
+def _add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    at, n = _sum_of(table)
+    lang, source, sub = (pa.repeat(k, len(at)) for k in key)
+    return pa.table({"lang": lang, "source": source, "sub": sub, "slot": pa.array(at.astype(np.int32)), "n": pa.array(n)})
+
+
 def _recount(shared, dense_slots: int):
     def run(batches):
         slots = TermSlots(shared.value)
@@ -218,9 +251,10 @@ def _recount(shared, dense_slots: int):
         def flush():
             for (lang, source), i in where.items():
                 at = np.flatnonzero(dense[i])
-                shard = np.searchsorted(slots.base, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), pa.array(sub_of[shard]),
-                                                  pa.array((at - slots.base[shard]).astype(np.int32)), pa.array(dense[i][at])], names=["lang", "source", "sub", "slot", "n"])
+                cut = np.searchsorted(at, slots.base)
+                some = np.flatnonzero(np.diff(cut))
+                own = [at[cut[k]:cut[k + 1]] for k in some]
+                yield _counted([lang] * len(some), [source] * len(some), sub_of[some].tolist(), [a - slots.base[k] for k, a in zip(some, own)], [dense[i][a] for a in own])
             where.clear()
             dense.clear()
 
@@ -325,8 +359,10 @@ def divergence(docs: DataFrame, min_docs: int = 30, top: int = 50, shard_terms:
         inside = (place >= F.struct(F.lit(lo["lang"]), F.lit(lo["sub"]).cast("long"))) & (place <= F.struct(F.lit(hi["lang"]), F.lit(hi["sub"]).cast("long")))
         shared = spark.sparkContext.broadcast([(r["lang"], r["sub"], subs[r["lang"]], bytes(r["sizes"]), bytes(r["bits"]), r["terms"])
                                                for r in hashes.filter(inside).orderBy("lang", "sub").collect()])
-        part = docs.filter(F.col("lang").between(lo["lang"], hi["lang"])).mapInArrow(_recount(shared, dense_slots), counts.schema)
-        counts = counts.union(scratch_table(part.groupBy("lang", "source", "sub", "slot").agg(F.sum("n").alias("n")), "counts", narrow=True))
+        part = docs.filter(F.col("lang").between(lo["lang"], hi["lang"])).mapInArrow(_recount(shared, dense_slots), _COUNTED)
+        # a group holds one row of each task and flush: first of some tasks at a time, then of these sums
+        part = part.withColumn("some", F.floor(F.spark_partition_id() / ADDED_AT_ONCE)).groupBy("lang", "source", "sub", "some").applyInArrow(_add, _COUNTED)
+        counts = counts.union(scratch_table(part.groupBy("lang", "source", "sub").applyInArrow(_add_up, counts.schema), "counts", narrow=True))
         shared.destroy()
 
     # a lang without kept terms has one shard of none

@@ -98,3 +98,27 @@ def test_query_and_sql_agree(spark, tmp_path):
     got = QUERIES["op11_divergence"](spark, str(tmp_path))
     want = con.execute(ORACLES["op11_divergence"]).fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want) == brute(rows, 30, 50)
+
+
+def test_recount_sends_one_row_a_shard():
+    """A task sent one row for every slot of every source, which cost more than the counting."""
+    import types
+
+    import pyarrow as pa
+
+    from panelspark.llm import divergence as D
+    texts = ["alpha beta gamma", "beta beta delta", "gamma alpha x"]
+    built = [D._build((pa.scalar("en"), pa.scalar(sub)), pa.table({"term": terms})).to_pylist()[0] for sub, terms in enumerate([["alpha", "beta", "gamma", "delta"]])]
+    shared = types.SimpleNamespace(value=[(r["lang"], r["sub"], 1, r["sizes"], r["bits"], r["terms"]) for r in built])
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 3, "source": ["a", "a", "b"], "text": texts})
+    out = pa.Table.from_batches(list(D._recount(shared, 1 << 20)([batch])))
+    assert out.num_rows == 2  # one shard, two sources
+    terms = built[0]["terms"]
+    found = {}
+    for r in range(2):
+        at, n = D._sum_of(out.slice(r, 1))
+        found[out.column("source")[r].as_py()] = {terms[i]: int(k) for i, k in zip(at, n)}
+    assert found == {"a": {"alpha": 1, "beta": 3, "gamma": 1, "delta": 1}, "b": {"alpha": 1, "gamma": 1}}
+    # of one source, by two tasks
+    at, n = D._sum_of(pa.concat_tables([out, out]).filter(pa.array([True, False, True, False]) if out.column("source")[0].as_py() == "a" else pa.array([False, True, False, True])))
+    assert {terms[i]: int(k) for i, k in zip(at, n)} == {"alpha": 2, "beta": 6, "gamma": 2, "delta": 2}
