@@ -71,14 +71,12 @@ def mi_scores(df: DataFrame, features, target: str, bins: int = 10, min_obs: int
     least ``min_obs`` complete finite pairs, sorted by score (desc)."""
     features = list(features)
     probs = [k / bins for k in range(1, bins)]
-    y = F.col(target)
-    cols = []
-    for i, f in enumerate(features):
-        ok = finite(f).isNotNull() & finite(y).isNotNull()
-        cols += [F.when(ok, clip(f, -CLIP, CLIP)).alias(f"x{i}"), F.when(ok, clip(y, -CLIP, CLIP)).alias(f"y{i}")]
-    # the narrow input feeds several passes (quantile rounds, joint counts):
-    # written once under the checkpoint folder instead of recomputed each time
-    x = cut_lineage(df.select(*cols), f"mi_input_{uuid.uuid4().hex}")
+    known = finite(target).isNotNull()
+    cols = [F.when(finite(f).isNotNull() & known, clip(f, -CLIP, CLIP)).alias(f"x{i}") for i, f in enumerate(features)]
+    # the narrow input feeds several passes (quantile rounds, joint counts): written once under the checkpoint folder instead of
+    # recomputed each time, the target once and not beside each feature; a pair has it where the feature is there
+    x = cut_lineage(df.select(*cols, F.when(known, clip(target, -CLIP, CLIP)).alias("y")), f"mi_input_{uuid.uuid4().hex}")
+    x = x.select(*[c for i in range(len(features)) for c in (F.col(f"x{i}"), F.when(F.col(f"x{i}").isNotNull(), F.col("y")).alias(f"y{i}"))])
     splits = exact_quantiles(x, x.columns, probs, persist=False)
     joint = _joint_counts(x, [[s for s in splits[c] if s is not None] for c in x.columns], [(2 * i, 2 * i + 1) for i in range(len(features))])
     mi = _mi_from_joint(joint, "k").filter(F.col("n_obs") >= min_obs)

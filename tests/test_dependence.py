@@ -43,3 +43,11 @@ def test_scores_are_counted_once_however_often_they_are_read(frame):
     assert len(rows) == 2 + 1 + 3 and seen.value == once
     assert "MapInArrow" not in mi._jdf.queryExecution().executedPlan().toString()
     assert mi.filter(F.col("mi_score") < -1e-12).isEmpty()
+
+
+def test_the_target_is_written_once(frame, monkeypatch):
+    written = []
+    own = ST.cut_lineage
+    monkeypatch.setattr(ST, "cut_lineage", lambda df, name=None: (written.append(df.columns), own(df, name))[1])
+    ST.mi_scores(frame, ["u", "v"], "y", bins=4)
+    assert written[0] == ["x0", "x1", "y"]
