@@ -12,11 +12,14 @@ Shapes to keep in mind at scale:
   otherwise.
 * The dense grid is never a cross product: each ticker gets only the valid
   days of its own life span (plus the forward-fill tail), generated with
-  ``sequence`` over day numbers and an equi-join to the day spine.
+  ``sequence`` over day numbers and an equi-join to the day spine; where only
+  the forward fill reads it, only the days which that fill can reach.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,7 +157,7 @@ def day_spine(days: DataFrame) -> DataFrame:
     return days.select("date").distinct().withColumn("day_idx", F.row_number().over(Window.orderBy("date")) - 1)
 
 
-def densify(df: DataFrame, days: DataFrame, fill_tail: int = 3) -> DataFrame:
+def densify(df: DataFrame, days: DataFrame, fill_tail: int = 3, reach: int | None = None) -> DataFrame:
     """Reindex every ticker on the valid days of its life span, missing rows NULL.
 
     The reference builds tickers x all valid days; the rows before a ticker's
@@ -162,8 +165,24 @@ def densify(df: DataFrame, days: DataFrame, fill_tail: int = 3) -> DataFrame:
     all-NULL through the forward fill and are dropped by the OHLC check, so
     only the span ``[first, last + fill_tail]`` is generated (``fill_tail=0``:
     inner span only). No cross join: one ``sequence`` per ticker + equi-joins.
+
+    ``reach``: of a hole only the first ``reach`` days are generated, which are
+    those that a forward fill of that limit can reach (the others stay all-NULL
+    in the same way; so do rows without a ticker). The bars then grow to
+    ``1 + reach`` times their rows at most, however sparse they are, and no
+    join of the grid with the bars is needed: each bar brings the days after it.
     """
     spine = day_spine(days)
+    if reach is not None:
+        x = df.filter(F.col("ticker").isNotNull()).join(spine, "date")
+        gap = F.lead("day_idx", 1).over(ticker_window()) - F.col("day_idx") - 1
+        x = x.withColumn("_n", F.greatest(F.lit(0), F.least(F.lit(reach), F.coalesce(gap, F.lit(fill_tail)))))
+        x = x.select("ticker", *[c for c in df.columns if c not in ("ticker", "date")], "day_idx",
+                     F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("_j"))
+        x = x.select("ticker", *[F.when(F.col("_j") == 0, F.col(c)).alias(c) for c in df.columns if c not in ("ticker", "date")],
+                     (F.col("day_idx") + F.col("_j")).alias("day_idx"))
+        # day numbers past the last valid day find no partner
+        return x.join(spine, "day_idx").select(*df.columns)
     span = df.join(spine, "date").groupBy("ticker").agg(F.min("day_idx").alias("_a"), F.max("day_idx").alias("_b"))
     # day numbers past the last valid day find no partner in the spine join
     grid = span.select("ticker", F.explode(F.sequence("_a", F.col("_b") + fill_tail)).alias("day_idx"))
@@ -215,10 +234,16 @@ def top_k(df: DataFrame, k: int, by: str, tie: str = "ticker", ascending: bool =
 # ---------------------------------------------------------------- W-06
 def ffill_limit(df: DataFrame, limit: int = 3, cols=VALUE_COLUMNS) -> DataFrame:
     """pandas ``groupby(ticker).ffill(limit)`` per column: the most recent
-    non-NULL value among the last ``limit`` rows and the current one."""
-    w = ticker_window().rowsBetween(-limit, 0)
-    return df.select(*[F.last(c, ignorenulls=True).over(w).alias(c) if c in cols else F.col(c)
-                       for c in df.columns])
+    non-NULL value among the last ``limit`` rows and the current one (for the
+    usual few rows by lags, which cost a row less than a sliding frame)."""
+    w = ticker_window()
+
+    def filled(c):
+        if limit <= 10:
+            return F.coalesce(F.col(c), *[F.lag(c, j).over(w) for j in range(1, limit + 1)])
+        return F.last(c, ignorenulls=True).over(w.rowsBetween(-limit, 0))
+
+    return df.select(*[filled(c).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 # ---------------------------------------------------------------- F-03, F-04, F-05
@@ -239,20 +264,67 @@ def add_dollar_volume(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- W-05, A-10 .. A-12, J-04 .. J-06
-def liquidity_stats(df: DataFrame, window: int = 42) -> DataFrame:
-    """Per ticker the minimum over time of the trailing ``window``-row medians
-    of close, vol and dollar volume (full windows only)."""
-    w = ticker_window().rowsBetween(-(window - 1), 0)
+def _least_medians(window: int):
+    """Task side of ``liquidity_stats``: rows sorted by ticker and date -> a row a ticker and batch with the least medians.
+    Nested, so that it travels with the tasks and the workers need not find this package."""
     lo, hi = (window - 1) // 2, window // 2
 
-    def med(c):
-        return F.when(F.size(f"_{c}") >= window, 0.5 * F.get(f"_{c}", F.lit(lo)) + 0.5 * F.get(f"_{c}", F.lit(hi)))
+    def medians(v, at, number, med):
+        """Medians of the frames that end at rows ``at``; NaN is above every number, in a frame's order and for the least median."""
+        if len(at):
+            frames = np.partition(np.lib.stride_tricks.sliding_window_view(v, window)[at + 1 - window], (lo, hi), axis=1)
+            m = 0.5 * frames[:, lo] + 0.5 * frames[:, hi]
+            number[at] = ~np.isnan(m)
+            med[at] = np.where(np.isnan(m), np.inf, m)
+
+    def run(batches):
+        tail = None
+        for batch in batches:
+            if tail is not None:
+                batch = pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
+            n = batch.num_rows
+            if n == 0:
+                continue
+            code = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            place = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
+            out = [batch.column(0).take(pa.array(first))]
+            for c in range(1, batch.num_columns):
+                missing = batch.column(c).is_null().to_numpy(zero_copy_only=False)
+                v = batch.column(c).fill_null(0.0).to_numpy(zero_copy_only=False)
+                holes = np.r_[0, np.cumsum(missing)]
+                at = np.flatnonzero(place >= window - 1)
+                at = at[holes[at + 1] == holes[at + 1 - window]]
+                any_value, number, med = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool), np.full(n, np.inf)
+                any_value[at] = True
+                some = place[at] % 8 == (window - 1) % 8
+                medians(v, at[some], number, med)
+                # a frame's median is below the least one so far only if more than ``lo`` of its values are
+                lengths = np.diff(np.r_[first, n])
+                least = np.repeat(np.minimum.reduceat(med, first), lengths)
+                below = np.r_[0, np.cumsum(v < least)]
+                rest = at[~some]
+                open_ = (below[rest + 1] - below[rest + 1 - window] > lo) | ~np.repeat(np.logical_or.reduceat(number, first), lengths)[rest]
+                medians(v, rest[open_], number, med)
+                least = np.where(np.logical_or.reduceat(number, first), np.minimum.reduceat(med, first), np.nan)
+                out.append(pa.array(least, mask=~np.logical_or.reduceat(any_value, first)))
+            yield pa.RecordBatch.from_arrays(out, names=["ticker", "med_price", "med_vol", "med_dvol"])
+            tail = batch.slice(max(0, n - (window - 1)))
+
+    return run
+
+
+def liquidity_stats(df: DataFrame, window: int = 42) -> DataFrame:
+    """Per ticker the minimum over time of the trailing ``window``-row medians
+    of close, vol and dollar volume (full windows only, without NULLs).
 
+    Spark deals the tickers out and sorts their days; a task slides over its
+    sorted rows a batch at a time and keeps ``window - 1`` rows between batches."""
     x = add_dollar_volume(df) if "dollar_vol" not in df.columns else df
-    # a frame's values without NULLs as one array of primitives, sorted once and read at its middle
-    x = x.select("ticker", *[F.sort_array(F.collect_list(F.col(c).cast("double")).over(w)).alias(f"_{c}") for c in ("close", "vol", "dollar_vol")])
-    x = x.select("ticker", med("close").alias("med_price"), med("vol").alias("med_vol"),
-                 med("dollar_vol").alias("med_dvol"))
+    x = x.repartition("ticker").sortWithinPartitions("ticker", "date")
+    x = x.select("ticker", *[F.col(c).cast("double").alias(c) for c in ("close", "vol", "dollar_vol")])
+    kind = df.schema["ticker"].dataType.simpleString()
+    x = x.mapInArrow(_least_medians(window), f"ticker {kind}, med_price double, med_vol double, med_dvol double")
     return x.groupBy("ticker").agg(F.min("med_price").alias("med_price"), F.min("med_vol").alias("med_vol"),
                                    F.min("med_dvol").alias("med_dvol"))
 

@@ -50,7 +50,7 @@ def clean_panel(raw: DataFrame, start: str = "2000-01-01", period_start: str | N
         period_start = str(Q.infer_period_start(panel).first()["period_start"])
     days = once(Q.valid_days(panel, window=rolling_window, min_periods=ghost_min_periods, threshold_pct=threshold_pct), "days")
     panel = Q.drop_ghost_days(panel, days)
-    dense = Q.densify(panel, days, fill_tail=fill_limit)
+    dense = Q.densify(panel, days, fill_tail=fill_limit, reach=fill_limit)  # the days that the fill below can reach
     gaps = once(Q.gap_stats(panel, days), "gaps")  # a hole of the grid is a valid day without a row
     if gap_threshold is not None:
         dense = Q.drop_gappy_tickers(dense, gaps, gap_threshold)

@@ -107,3 +107,40 @@ def test_clean_panel_works_its_input_out_once(spark):
     out = clean_panel(raw, start="2000-01-01", period_start="2000-01-01", gap_threshold=50.0)
     assert out.panel.count() > 0 and out.ticker_stats.count() == 2 and out.gap_stats.count() == 2
     assert seen.value == len(rows)
+
+
+def test_only_the_days_a_fill_reaches(spark):
+    """A sparse ticker's grid was its whole life span, though all days a fill cannot reach are dropped after it."""
+    present = {"G": [0, 1, 2, 6, 7, 8, 13, 14], "E": [0, 1, 2, 3], "S": [5], "L": [0, 28]}
+    rows = [(t, d(i), 1.0, 2.0, 0.5, None if i in (6, 14) else 1.0 + i, None if i == 7 else 10.0) for t, idx in present.items() for i in idx]
+    rows += [("D", d(1), 1.0, 2.0, 0.5, 3.0, 1.0), ("D", d(1), 1.0, 2.0, 0.5, 3.0, 1.0), (None, d(2), 1.0, 2.0, 0.5, 4.0, 1.0)]
+    df = spark.createDataFrame(rows, PANEL)
+    days = _days(spark, 30)
+    for limit in (1, 3):
+        whole, near = Q.densify(df, days, fill_tail=limit), Q.densify(df, days, fill_tail=limit, reach=limit)
+        # days 0 and 28, the days after day 0, and day 29, after which there is none
+        assert near.filter("ticker = 'L'").count() == 2 + limit + 1 and near.count() < whole.count()
+        a, b = (Q.drop_incomplete_ohlc(Q.ffill_limit(x, limit)) for x in (whole, near))
+        assert a.exceptAll(b.select(*a.columns)).count() == 0 and b.exceptAll(a.select(*b.columns)).count() == 0
+
+
+def test_liquidity_medians_over_batches(spark):
+    """Frames of each row were built as sorted arrays in the JVM; now tasks slide over batches, also over small ones."""
+    rows = [(t, d(i), 1.0, 1.0, 1.0, float((i * 7 + k) % 13), None if k == 1 and i == 30 else float((i * 5) % 11))
+            for k, t in enumerate(("A", "B", None)) for i in range(60)]
+    rows += [("N", d(i), 1.0, 1.0, 1.0, float("nan") if i < 9 else 2.0, float("nan")) for i in range(10)]
+    df = spark.createDataFrame(rows, PANEL)
+    whole = sorted(Q.liquidity_stats(df, 5).collect(), key=str)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert str(sorted(Q.liquidity_stats(df, 5).collect(), key=str)) == str(whole)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    got = {r["ticker"]: r for r in whole}
+    import statistics
+    for k, t in enumerate(("A", "B", None)):
+        close = [float((i * 7 + k) % 13) for i in range(60)]
+        assert got[t]["med_price"] == min(statistics.median(close[i - 4:i + 1]) for i in range(4, 60))
+    assert got["N"]["med_price"] != got["N"]["med_price"] and got["N"]["med_vol"] != got["N"]["med_vol"]
+    assert " Window" not in Q.liquidity_stats(df, 5)._jdf.queryExecution().optimizedPlan().toString()
