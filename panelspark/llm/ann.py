@@ -162,7 +162,8 @@ def _search(queries: DataFrame, n_queries: int, index: DataFrame, tree: KMeansTr
 
     parts = max(1, -(-n_queries // BLOCK))
     asked = queries.select("rep", "embedding").repartition(parts, "rep").mapInArrow(walk, "leaf long, reps binary, queries binary")
-    found = asked.join(index, "leaf").mapInArrow(meet, "rep long, ids array<long>, scores array<double>, leaves array<long>")
+    # a query stands in ``asked`` once a leaf it visits, but Spark takes the queries' own size for it and would broadcast it by the driver
+    found = asked.hint("merge").join(index, "leaf").mapInArrow(meet, "rep long, ids array<long>, scores array<double>, leaves array<long>")
     return found.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(max(1, -(-n_queries // 256))))).groupBy("part") \
         .applyInArrow(join, "rep long, ids array<long>, scores array<double>, leaves array<long>")
 

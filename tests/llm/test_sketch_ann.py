@@ -116,3 +116,22 @@ def test_few_vectors(spark):
     got = ann.nearest(vectors(spark, [[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]]), F.col("vec_id") == 0).collect()
     assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 1, 0.5), (2, 2, 0.0)]
     assert ann.nearest(vectors(spark, [[1.0, 0.0]]), F.lit(True)).collect() == []
+
+
+def test_visits_do_not_go_through_the_driver(spark, tmp_path):
+    """The rows that meet a leaf hold every query once a visited leaf: Spark took the queries' size for them and broadcast them."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    tree = ann.KMeansTree(x, 16)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:50])], "rep long, embedding array<float>")
+    leaf = tree.place(x.astype(np.float64))
+    rows = [(n, x[leaf == n].tobytes(), np.ones((leaf == n).sum(), np.int64).tobytes(), np.flatnonzero(leaf == n).astype(np.int64).tobytes()) for n in range(tree.leaves)]
+    index = spark.createDataFrame([(n, bytearray(a), bytearray(b), bytearray(c)) for n, a, b, c in rows], "leaf long, vectors binary, sizes binary, ids binary")
+    for name, df in (("queries", queries), ("index", index)):
+        df.write.parquet(f"{tmp_path}/{name}")
+    queries, index = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("queries", "index"))
+    found = ann._search(queries, 50, index, tree, tree.leaves, 5)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    for r in found.collect():
+        scores = x.astype(np.float64) @ x[r["rep"]].astype(np.float64)
+        assert r["ids"] == np.lexsort([np.arange(400), -scores])[:6].tolist()
