@@ -81,15 +81,15 @@ def test_a_table_that_is_read_once_is_not_written(spark, odd):
 
 
 def test_queries_write_what_they_read(spark, monkeypatch):
-    """``model_table`` wrote every feature and target first, the fits of lags and regimes as well."""
+    """``model_table`` wrote every feature and target first, the fits of lags as well."""
     seen, narrow = [], jobs._narrow_feature_table
     monkeypatch.setattr(jobs, "_narrow_feature_table", lambda x, read, once: narrow(x, read, lambda df: (seen.append(df.columns), once(df))[1]))
     monkeypatch.setattr(queries, "_bars", lambda *a: make_panel(spark, {"A": walk(160, 1)}))
     kept = tables(spark)
     queries.q_model_table(spark, "")
     assert not seen and not any(t.startswith("features_") for t in tables(spark) - kept)
-    for features, most in (((), 2), (("NATR", "RSI"), 4), (None, 43)):
-        queries._model_table(spark, "", features)
+    for narrow, most in (((), 2), (("NATR", "RSI"), 4), ("all", 43)):
+        queries._model_table(spark, "", narrow)
         assert len([c for c in seen[-1] if c not in ("ticker", "date") and not c.startswith("_")]) <= most
     assert len([t for t in tables(spark) - kept if t.startswith("ranked_")]) == 1  # that of the model table, which still reads it
 
