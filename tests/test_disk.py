@@ -88,8 +88,8 @@ def test_queries_write_what_they_read(spark, monkeypatch):
     kept = tables(spark)
     queries.q_model_table(spark, "")
     assert not seen and not any(t.startswith("features_") for t in tables(spark) - kept)
-    for narrow, most in (((), 2), (("NATR", "RSI"), 4), ("all", 43)):
-        queries._model_table(spark, "", narrow)
+    for names, most in (((), 2), (("NATR", "RSI"), 4), ("all", 43)):
+        queries._model_table(spark, "", names)
         assert len([c for c in seen[-1] if c not in ("ticker", "date") and not c.startswith("_")]) <= most
     assert len([t for t in tables(spark) - kept if t.startswith("ranked_")]) == 1  # that of the model table, which still reads it
 
